@@ -39,7 +39,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets_for(rows: int, each: int = 20_000) -> int:
+def buckets_for(rows: int, each: int = 4_000) -> int:
     """Buckets so that one of them holds about ``each`` rows."""
     return max(1, math.ceil(rows / each))
 
