@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, langid, mixing, packing, rules, sharding, tokencount, topk
+from . import arrowfile, langid, mixing, neardup, packing, rules, sharding, tokencount, topk
 from .tokens import public_path
 
 SEQUENCE, END_ID = 1024, 2
@@ -27,6 +27,10 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.exact_top_k(vectors, "vec_id", "embedding", F.col("id") % 50 == 0, k=5, scale=256)
@@ -57,6 +61,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_mix_sources,
         op3_language_mixture,
+        op4_near_duplicates,
         op5_exact_top_k,
         op6_arrow_files,
         op7_token_counts,
