@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, buckets_for, materialise, running_total, text_or_empty
+from ._common import SPACE, WORD, buckets_for, materialise, running_total, text_or_empty
 
 BLOCK_WORDS = 256
 OUT_SHARDS = 64
@@ -187,3 +187,26 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         .join(known, F.col("s.source").eqNullSafe(rows["source"]))
         .select("doc_id", rows["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs`` (``doc_id`` must be a
+    key): words taken once make a row, words taken again another one. A row
+    whose words are all taken keeps its text as it is; of others the runs of
+    words that the mix takes stay, one to a line. ``n_chars`` is counted anew.
+    """
+    rows = sized(docs)
+    _, mixed = mix(rows, **options)
+    keys = rows.select("_row", "doc_id", "size")
+    # a run of words that is taken m times belongs to copies 1 to m
+    runs = mixed.groupBy("_row", "doc_start").agg(F.sort_array(F.collect_list("n_words"), False).alias("took"))
+    runs = runs.select("_row", "doc_start", F.posexplode("took").alias("copy", "n"))
+    copies = runs.groupBy("_row", "copy").agg(F.sort_array(F.collect_list(F.struct("doc_start", "n"))).alias("runs"), F.sum("n").alias("words"))
+    copies = copies.join(keys, "_row").select("doc_id", "copy", "runs", (F.col("words") == F.col("size")).alias("_whole"))
+    texts = docs.join(copies.select("doc_id", "runs", "_whole"), "doc_id")
+    words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
+    pick = F.transform("runs", lambda r: F.array_join(F.slice(F.col("_words"), r["doc_start"].cast("int") + 1, r["n"].cast("int")), " "))
+    cut = texts.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(pick, "\n")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
+    return cut.select(docs.columns)

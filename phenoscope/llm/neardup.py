@@ -347,3 +347,18 @@ def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int
     # rows that share an id are one document: equal sets may tie it elsewhere
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """One document of each component: drops what ``judged`` doesn't keep, and
+    of rows that share a ``doc_id`` all but the smallest by text."""
+    gone = materialise(judged.where("not kept and doc_id is not null").select("doc_id").distinct(), "dup-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return left
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_m"))
+    one = one.select("doc_id", *[F.col("_m")[c].alias(c) for c in ["text", *rest]]).select(docs.columns)
+    return left.where("doc_id is null").unionByName(one)

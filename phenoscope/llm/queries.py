@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, langid, mixing, neardup, packing, rules, sharding, tokencount, topk
+from . import arrowfile, langid, mixing, neardup, packing, quality, rules, sharding, tokencount, topk
 from .tokens import public_path
 
 SEQUENCE, END_ID = 1024, 2
@@ -46,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -65,6 +69,7 @@ QUERIES = {
         op5_exact_top_k,
         op6_arrow_files,
         op7_token_counts,
+        op8_quality_classifier,
         op9_quality_rules,
         op10_kd_sharding,
     )
