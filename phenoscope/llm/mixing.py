@@ -203,10 +203,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     runs = runs.select("_row", "doc_start", F.posexplode("took").alias("copy", "n"))
     copies = runs.groupBy("_row", "copy").agg(F.sort_array(F.collect_list(F.struct("doc_start", "n"))).alias("runs"), F.sum("n").alias("words"))
     copies = copies.join(keys, "_row").select("doc_id", "copy", "runs", (F.col("words") == F.col("size")).alias("_whole"))
-    texts = docs.join(copies.select("doc_id", "runs", "_whole"), "doc_id")
+    whole = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
+    texts = whole.join(copies.select("doc_id", "runs", "_whole"), "doc_id")
     words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
     pick = F.transform("runs", lambda r: F.array_join(F.slice(F.col("_words"), r["doc_start"].cast("int") + 1, r["n"].cast("int")), " "))
-    cut = texts.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(pick, "\n")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
-    return cut.select(docs.columns)
+    cut = texts.withColumn("_words", F.when(~F.col("_whole"), words))
+    cut = cut.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(pick, "\n")))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -258,5 +258,24 @@ def with_scores(docs: DataFrame, model: Model | None, threshold: float = THRESHO
     return views.mapInArrow(run, schema).withColumn("kept", F.col("score") >= threshold)
 
 
+def kept_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that reach ``threshold``, whatever other columns
+    they have."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WORDS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                text, source, lang = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "source", "lang"))
+                text = [t or "" for t in text]
+                good = shared.value.scores(word_view(text), page_view(text, source, lang))[:, 0] >= threshold
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return with_scores(docs.select("doc_id", "text", "source", "lang"), learn(docs, labels)).drop("text", "source", "lang")
