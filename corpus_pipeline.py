@@ -9,6 +9,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phenoscope.llm import mixing, neardup, packing, quality, rules
 from phenoscope.llm._common import materialise
@@ -24,12 +25,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
     model = quality.learn(docs, _labels(spark, sf_dir))
-    return quality.with_scores(docs, model).where("kept").select(docs.columns)
+    return quality.kept_documents(docs, model)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    return rules.with_verdict(docs, _labels(spark, sf_dir)).where("kept").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
+    return rules.with_verdict(rows, _labels(spark, sf_dir)).where("kept").select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
