@@ -107,9 +107,9 @@ def srt01_chronological(spark, sf_dir):
     return series.chronological(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", F.col("seq").cast("long").alias("seq"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")
 def grp01_daily(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -188,11 +188,11 @@ def jn03_greedy_pairs(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT user_id, CAST(ts AS DATE) AS d, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2), b AS (SELECT user_id, CAST(ts AS DATE) AS d, avg(value) AS v FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
- j AS (SELECT a.user_id, a.d, a.v AS v1, b.v AS v2, count(*) OVER (PARTITION BY a.d) AS n FROM a JOIN b USING (user_id, d)) SELECT d, user_id, round(v1, 6) AS v1, round(v2, 6) AS v2, n FROM j WHERE n > 10""")
+ j AS (SELECT a.user_id, a.d, a.v AS v1, b.v AS v2, count(*) OVER (PARTITION BY a.d) AS n FROM a JOIN b USING (user_id, d)) SELECT CAST(d AS VARCHAR) AS d, user_id, round(v1, 6) AS v1, round(v2, 6) AS v2, n FROM j WHERE n > 10""")
 def jn04_paired_distributions(spark, sf_dir):
     daily = lambda e: table(spark, sf_dir, "events").where(e).groupBy("user_id", F.to_date("ts").alias("d")).agg(F.round(F.avg("value"), 6).alias("v"))
     both = daily("event_type = 'click'").withColumnRenamed("v", "v1").join(daily("event_type <> 'click'").withColumnRenamed("v", "v2"), ["user_id", "d"])
-    return both.withColumn("n", F.count("*").over(Window.partitionBy("d"))).where("n > 10").select("d", "user_id", "v1", "v2", "n")
+    return both.withColumn("n", F.count("*").over(Window.partitionBy("d"))).where("n > 10").select(F.col("d").cast("string").alias("d"), "user_id", "v1", "v2", "n")
 
 
 @query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')), event_id) AS n FROM events) SELECT user_id, event_id FROM r WHERE n = 1""")
@@ -203,7 +203,7 @@ def jn05_closest_frame(spark, sf_dir):
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS aod FROM events WHERE event_type = 'click' AND user_id % 7 = 0 GROUP BY 1),
  t AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), p AS (SELECT t.day, d.day AS used, d.aod, row_number() OVER (PARTITION BY t.day ORDER BY abs(t.day - d.day), d.day) AS n FROM t, d)
- SELECT day, used, round(aod, 6) AS aod FROM p WHERE n = 1""")
+ SELECT CAST(day AS VARCHAR) AS day, CAST(used AS VARCHAR) AS used, round(aod, 6) AS aod FROM p WHERE n = 1""")
 def jn06_exact_or_nearest_day(spark, sf_dir):
     """The day's value, else the nearest day's; both sides are calendars."""
     ev = table(spark, sf_dir, "events")
@@ -211,7 +211,7 @@ def jn06_exact_or_nearest_day(spark, sf_dir):
     days = ev.select(F.to_date("ts").alias("day")).distinct()
     calendar = d.agg(F.array_sort(F.collect_list(F.struct("used", "aod"))).alias("c"))  # one entry a day
     best = F.array_min(F.transform("c", lambda x: F.struct(F.abs(F.datediff(F.col("day"), x["used"])).alias("g"), x["used"].alias("used"), x["aod"].alias("aod"))))
-    return days.join(F.broadcast(calendar)).select("day", best.alias("b")).select("day", "b.used", F.round("b.aod", 6).alias("aod"))
+    return days.join(F.broadcast(calendar)).select("day", best.alias("b")).select(F.col("day").cast("string").alias("day"), F.col("b.used").cast("string").alias("used"), F.round("b.aod", 6).alias("aod"))
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, least(a.t, b.t) AS first_at FROM (SELECT user_id, min(ts) AS t FROM events WHERE value > 300 GROUP BY 1) a FULL JOIN (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.user_id = b.user_id")

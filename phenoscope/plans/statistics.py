@@ -11,9 +11,9 @@ from ..operators import series, stats
 from .registry import query, table
 
 
-@query("SELECT event_type, CAST(ts AS DATE) AS frame, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS frame, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1, 2")
 def agg01_frame_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("frame")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("value").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("frame")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("value").alias("n"))
 
 
 @query("""WITH v AS (SELECT event_type, ln(value) AS x FROM events WHERE value > 0), m AS (SELECT event_type, avg(x) AS mu FROM v GROUP BY 1), c AS (SELECT event_type, mu, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM v JOIN m USING (event_type) GROUP BY 1, 2)
