@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _own_root: str | None = None
+_cache: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What an operator remembers between the batches and tasks of a Python
+    worker. A worker keeps the memory of one operator only: the next one that
+    asks for its own drops it, so stages that follow each other don't add up."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
 
 
 def scratch_root(spark: SparkSession) -> str:

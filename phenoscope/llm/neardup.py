@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, worker_cache
 from .mixing import _mix64
 
 COORDS = 64
@@ -41,7 +41,7 @@ BLOCK_SHINGLES = 600_000
 #: Clustered documents whose ids may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Words whose hashes a worker remembers: bounds memory only.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Standard deviations by which a sketch may fall short of the threshold.
 MARGIN = 4.4
 
@@ -56,16 +56,14 @@ class _Hashes(dict):
         return h
 
 
-_words = _Hashes()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted. Lower-cases A-Z;
     words are what ASCII white space separates."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    hashes = worker_cache("shingle words", _Hashes)
+    w = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     n = max(1, len(w) - width + 1)
     h = np.full(n, np.uint64(min(len(w), width)))
     for k in range(min(width, len(w))):

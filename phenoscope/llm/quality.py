@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import worker_cache
+
 #: Bounds of the fitted samples.
-LABELLED_ROWS, POOL_ROWS = 8_000, 6_000
+LABELLED_ROWS, POOL_ROWS = 6_000, 4_000
 #: Hashed words, hashed metadata values, layout figures.
 WORDS, VALUES = 1 << 14, 64
 FIGURES = 12
@@ -38,7 +40,7 @@ ROUNDS, SHARE, SURE = 4, 0.05, 0.97
 HELD_BACK = 5
 #: Documents below this probability of being good are rejected.
 THRESHOLD = 0.2
-BATCH_ROWS, MEMO_WORDS = 128, 400_000
+BATCH_ROWS, MEMO_WORDS = 128, 250_000
 
 
 class _Places(dict):
@@ -51,8 +53,6 @@ class _Places(dict):
         return h
 
 
-_places = _Places()
-
 _KIND = np.full(256, 5, np.int64)  # other bytes, letters beyond ASCII among them
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\x0c\r", b".,;:'\"?-()")):
     _KIND[list(_chars)] = _k
@@ -75,7 +75,7 @@ class Rows:
         return total[self.start[1:]] - total[self.start[:-1]]
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.index, self.value * np.repeat(g, np.diff(self.start)), width)
+        return np.bincount(self.index, self.value * np.repeat(g.astype(np.float32), np.diff(self.start)), width)
 
     def take(self, rows: np.ndarray) -> Rows:
         size = np.diff(self.start)[rows]
@@ -88,7 +88,8 @@ def word_view(texts: list[str]) -> Rows:
     """Logarithmic counts of hashed words, each row of length one."""
     split = [t.encode().split() for t in texts]
     size = [len(w) for w in split]
-    place = np.fromiter((p for w in split for p in map(_places.__getitem__, w)), np.int64, sum(size))
+    places = worker_cache("quality words", _Places)
+    place = np.fromiter((p for w in split for p in map(places.__getitem__, w)), np.int64, sum(size))
     counts = np.bincount(np.repeat(np.arange(len(texts)), size) * WORDS + place, minlength=len(texts) * WORDS).reshape(-1, WORDS)
     row, col = np.nonzero(counts)
     value = np.log1p(counts[row, col])
@@ -228,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not ((y == 0).sum() >= 2 * HELD_BACK and (y == 1).sum() >= 2 * HELD_BACK):
         return None
     index = [np.frombuffer(b, "<i4") for b in got["index"].to_pylist()]
-    text = Rows(np.concatenate(index).astype(np.int64), np.concatenate([np.frombuffer(b, "<f4") for b in got["value"].to_pylist()]).astype(float), np.concatenate(([0], np.cumsum([len(i) for i in index]))))
+    text = Rows(np.concatenate(index), np.concatenate([np.frombuffer(b, "<f4") for b in got["value"].to_pylist()]), np.concatenate(([0], np.cumsum([len(i) for i in index]))))
     page = np.frombuffer(b"".join(got["page"].to_pylist()), "<f4").reshape(len(y), -1).astype(float)
     held = np.zeros(len(y), bool)
     for kind in (0, 1):

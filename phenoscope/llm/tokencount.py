@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import text_or_empty
+from ._common import text_or_empty, worker_cache
 from .tokens import _drops_space, byte_symbols
 
 #: Distinct words whose counts a worker remembers: bounds memory, not texts.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 #: Documents whose new words are merged together.
 BATCH_ROWS = 400
 
@@ -147,22 +147,18 @@ class TokenCounter:
         return [sum(map(get, ws)) for ws in split]
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def with_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``docs`` with ``text`` replaced by its number of tokens."""
     fields = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField(out, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path)
+        counter = worker_cache(f"counter {path}", lambda: TokenCounter(path))
         for batch in batches:
             at = batch.schema.get_field_index(text)
             got: list[int] = []
             for k in range(0, batch.num_rows, BATCH_ROWS):
-                got += _counters[path].counts([t or "" for t in batch.column(at).slice(k, BATCH_ROWS).to_pylist()])
+                got += counter.counts([t or "" for t in batch.column(at).slice(k, BATCH_ROWS).to_pylist()])
             cols = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.int64())], [*(f.name for f in fields), out])
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import worker_cache
+
 #: Distinct words a worker remembers: bounds its memory, not the texts.
 MEMO_WORDS = 350_000
 #: Rows handed to Spark at once.
@@ -150,15 +152,9 @@ def _drops_space(spec: dict) -> bool:
     )
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """One encoder for each file in each worker; its memory outlives a task."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return worker_cache(f"encoder {path}", lambda: TextEncoder(path))
 
 
 def with_ids(docs: DataFrame, path: str, end_id: int | None, text: str = "text", out: str = "ids") -> DataFrame:
