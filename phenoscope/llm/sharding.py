@@ -4,6 +4,8 @@
 widest metadata dimension until every leaf carries its share of the bytes.
 The medians come from distributed histograms: per level one pass for the
 ranges and a few for the bins around the cut; the driver sees one row a node.
+Documents can't be divided: where a heavy one lies across a cut, it goes right,
+and light ones from beyond the cut go left in its place.
 
 Defined results
     null text counts as no bytes; null metadata sorts first; rows with equal
@@ -27,6 +29,8 @@ from ._common import buckets_for, materialise, running_total, text_or_empty
 ROW_BYTES = 16
 #: A group of equal texts up to this share of a leaf stays whole.
 GROUP_SHARE = 0.05
+#: Groups up to this share of a leaf may pass a cut to even out its sides.
+LIGHT = 0.04
 #: Bins of one histogram, and the share of a leaf by which a cut may miss.
 BINS, SLACK = 512, 0.004
 
@@ -37,24 +41,11 @@ def _prefix_number(name: str) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _cuts(points: DataFrame, open_nodes: dict[int, int], dims: list[str], spans: dict[str, float], slack: float) -> list[tuple]:
-    """For every open node (id to leaves below it) the dimension and place of
-    its cut: ``(node, dim, value, tie)``; rows strictly below go left."""
-    spark = points.sparkSession
-    stats = points.groupBy("_kd_node").agg(
-        F.sum("_kd_w").alias("w"),
-        *[F.min(d).alias(f"{d}_lo") for d in dims],
-        *[F.max(d).alias(f"{d}_hi") for d in dims],
-    )
-    state = {}
-    for r in stats.collect():  # one row a node
-        k = open_nodes.get(r["_kd_node"])
-        if k is None:
-            continue
-        widths = [((r[f"{d}_hi"] - r[f"{d}_lo"]) / spans[d], -i) for i, d in enumerate(dims)]
-        i = -max(widths)[1]
-        state[r["_kd_node"]] = {"dim": i, "lo": r[f"{dims[i]}_lo"], "hi": r[f"{dims[i]}_hi"], "below": 0, "want": r["w"] * (k // 2) / k, "eq": None}
-    done = []
+def _search(points: DataFrame, state: dict[int, dict], dims: list[str], slack: float) -> list[tuple]:
+    """Places where the weights along each node's dimension reach ``want``:
+    ``(node, dim, value, tie, short)``. Rows strictly below lie left; ``short``
+    is what a document that can't be divided leaves missing there."""
+    spark, done = points.sparkSession, []
     value = F.element_at(F.array(*dims), F.col("dim") + 1)
     while state:
         todo = spark.createDataFrame(
@@ -83,17 +74,19 @@ def _cuts(points: DataFrame, open_nodes: dict[int, int], dims: list[str], spans:
             .where("n = 1")
             .collect()  # one row a node
         )
+        for n in state.keys() - {r["_kd_node"] for r in found}:  # all of it is too little
+            done.append((n, state[n]["dim"], math.inf, -math.inf, 0.0))
+            del state[n]
         for r in found:
             n, s = r["_kd_node"], state[r["_kd_node"]]
             before = r["upto"] - r["w"]
             low, high = s["want"] - before, r["upto"] - s["want"]
             single = r["x_lo"] == r["x_hi"]
             if min(low, high) <= slack or (single and s["eq"] is not None):
-                # the bin goes to the side where the halves come out closer
-                edge = r["x_lo"] if low <= high else r["next"]
-                if edge is None:
-                    edge = math.inf
-                done.append((n, s["dim"], s["eq"], edge) if s["eq"] is not None else (n, s["dim"], edge, -math.inf))
+                after = high <= slack and high < low
+                edge = (math.inf if r["next"] is None else r["next"]) if after else r["x_lo"]
+                short = 0.0 if after else max(0.0, low)
+                done.append((n, s["dim"], s["eq"], edge, short) if s["eq"] is not None else (n, s["dim"], edge, -math.inf, short))
                 del state[n]
             elif single:  # equal values: cut by their tie numbers
                 s.update(eq=r["x_lo"], lo=0.0, hi=1.0, below=before)
@@ -102,6 +95,38 @@ def _cuts(points: DataFrame, open_nodes: dict[int, int], dims: list[str], spans:
     return done
 
 
+def _cuts(points: DataFrame, open_nodes: dict[int, int], dims: list[str], spans: dict[str, float], leaf: float) -> list[tuple]:
+    """For every open node (id to leaves below it) its cut: ``(node, dim,
+    value, tie, light_value, light_tie)``. Rows below the first place go left,
+    and light ones below the second, which make up for a document too heavy to
+    be divided at the first."""
+    stats = points.groupBy("_kd_node").agg(
+        F.sum("_kd_w").alias("w"),
+        *[F.min(d).alias(f"{d}_lo") for d in dims],
+        *[F.max(d).alias(f"{d}_hi") for d in dims],
+    )
+    state = {}
+    for r in stats.collect():  # one row a node
+        k = open_nodes.get(r["_kd_node"])
+        if k is None:
+            continue
+        widths = [((r[f"{d}_hi"] - r[f"{d}_lo"]) / spans[d], -i) for i, d in enumerate(dims)]
+        i = -max(widths)[1]
+        state[r["_kd_node"]] = {"dim": i, "lo": r[f"{dims[i]}_lo"], "hi": r[f"{dims[i]}_hi"], "below": 0, "want": r["w"] * (k // 2) / k, "eq": None}
+    tops = {n: s["hi"] for n, s in state.items()}
+    first = {c[0]: c for c in _search(points, state, dims, SLACK * leaf)}
+    missing = {n: c for n, c in first.items() if c[4] > SLACK * leaf}
+    second = {}
+    if missing:
+        at = points.sparkSession.createDataFrame([(n, c[1], float(c[2]), float(c[3])) for n, c in missing.items()], "_kd_node int, _d int, _v double, _t double")
+        x = F.element_at(F.array(*dims), F.col("_d") + 1)
+        right = (x > F.col("_v")) | ((x == F.col("_v")) & (F.col("_kd_tie") >= F.col("_t")))
+        light = points.where(F.col("_kd_w") <= LIGHT * leaf).join(F.broadcast(at), "_kd_node").where(right).select(*points.columns)
+        state = {n: {"dim": c[1], "lo": c[2], "hi": max(tops[n], c[2]), "below": 0, "want": c[4], "eq": None} for n, c in missing.items()}
+        second = {c[0]: c for c in _search(light, state, dims, SLACK * leaf)}
+    return [(n, d, v, t, *(second[n][2:4] if n in second else (-math.inf, -math.inf))) for n, (_, d, v, t, _) in first.items()]
+
+
 def kd_shards(df: DataFrame, weight: str, dims: dict[str, Column], group: list[str], leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Adds ``shard`` (0 up to the number of leaves less one).
 
@@ -133,23 +158,24 @@ def kd_shards(df: DataFrame, weight: str, dims: dict[str, Column], group: list[s
     below, first, fresh = {0: leaves}, {0: 0}, 1  # leaves under a node, its first shard
     while True:
         open_nodes = {n: k for n, k in below.items() if k > 1}
-        cuts = _cuts(points, open_nodes, names, spans, SLACK * leaf) if open_nodes and total else []
+        cuts = _cuts(points, open_nodes, names, spans, leaf) if open_nodes and total else []
         if not cuts:
             break
         rows_ = []
-        for n, dim, v, t in cuts:
+        for n, dim, v, t, v2, t2 in cuts:
             k, f = below.pop(n), first.pop(n)
             below |= {fresh: k // 2, fresh + 1: k - k // 2}
             first |= {fresh: f, fresh + 1: f + k // 2}
-            rows_.append((n, dim, float(v), float(t), fresh))
+            rows_.append((n, dim, float(v), float(t), float(v2), float(t2), fresh))
             fresh += 2
-        step = spark.createDataFrame(rows_, "_kd_node int, dim int, v double, t double, next int")
+        step = spark.createDataFrame(rows_, "_kd_node int, dim int, v double, t double, v2 double, t2 double, next int")
         x = F.element_at(F.array(*names), F.col("dim") + 1)
-        left = (x < F.col("v")) | ((x == F.col("v")) & (F.col("_kd_tie") < F.col("t")))
+        under = lambda v, t: (x < F.col(v)) | ((x == F.col(v)) & (F.col("_kd_tie") < F.col(t)))
+        left = under("v", "t") | ((F.col("_kd_w") <= LIGHT * leaf) & under("v2", "t2"))
         points = (
             points.join(F.broadcast(step), "_kd_node", "left")  # one row a node
             .withColumn("_kd_node", F.when(F.col("next").isNull(), F.col("_kd_node")).when(left, F.col("next")).otherwise(F.col("next") + 1))
-            .drop("dim", "v", "t", "next")
+            .drop("dim", "v", "t", "v2", "t2", "next")
         )
     places = spark.createDataFrame(list(first.items()), "_kd_node int, shard int")
     placed = points.join(F.broadcast(places), "_kd_node").select(*group, "_kd_piece", "shard")
@@ -168,11 +194,11 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
         F.xxhash64(text).alias("_text_hash"),
         _prefix_number("source").alias("_source"),
         _prefix_number("lang").alias("_lang"),
-        F.log2(F.octet_length(text) + ROW_BYTES).alias("_log_size"),
     )
     meta = materialise(meta, "kd-meta")
-    dims = {"source": F.col("_source"), "lang": F.col("_lang"), "size": F.col("_log_size")}
-    placed = kd_shards(meta, "size", dims, ["text_crc32", "_text_hash", "_log_size"], leaves=shards)
+    # not the size: every leaf needs light documents to come out even
+    dims = {"source": F.col("_source"), "lang": F.col("_lang"), "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
+    placed = kd_shards(meta, "size", dims, ["text_crc32", "_text_hash", "size"], leaves=shards)
     per_shard = buckets_for(meta.count() // shards)
     placed = placed.select("doc_id", "size", "text_crc32", "shard")
     return running_total(placed, ["shard"], ["doc_id", "text_crc32"], F.lit(1), "slot", per_shard)
