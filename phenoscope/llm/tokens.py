@@ -12,9 +12,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from ._common import worker_cache
 
 #: Distinct words a worker remembers: bounds its memory, not the texts.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 400_000
 #: Rows handed to Spark at once.
 OUT_ROWS = 1000
 
@@ -48,6 +49,13 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+def _pack(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Memo(dict):
     """Ids by word; computes what is missing and keeps it while there is room."""
 
@@ -81,7 +89,7 @@ class TextEncoder:
 
             # the byte-level pattern that the library names use_regex (fixed value)
             self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-            self._piece = _Memo(self._model, MEMO_WORDS // 4)
+            self._piece = _Memo(self._model, MEMO_WORDS // 2)
             self._first, self._next = _Memo(lambda w: self._spaced("", w), MEMO_WORDS // 8), _Memo(lambda w: self._spaced(" ", w), MEMO_WORDS)
             self._line = self.whole("\n")
             self.of = self.by_spaces
@@ -90,16 +98,17 @@ class TextEncoder:
 
             self._split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
             self._lower = re.compile(r"[!-~]+").fullmatch
+            self._piece = _Memo(self._model, MEMO_WORDS // 2)
             self._word = _Memo(self._spaceless, MEMO_WORDS)
             self.of = self.by_words
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model(self, piece: str) -> bytes:
         """Ids of one pre-token from the library's model."""
         mapped = piece.encode().decode("latin-1").translate(self._bytes)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        return _pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
 
     # byte-level vocabularies: a word takes the space before it along
 
@@ -127,9 +136,9 @@ class TextEncoder:
     def _spaceless(self, word: bytes) -> bytes:
         text = word.decode()
         if self._lower(text) and not any(s in text for s in self.special):
-            return b"".join(map(self._model, self._split(text.lower())))
+            return b"".join(map(self._piece.__getitem__, self._split(text.lower())))
         if max(text) <= "\u024f" and not any(s in text for s in self.special):
-            return b"".join(map(self._model, self._split(self.tokenizer.normalizer.normalize_str(text))))
+            return b"".join(map(self._piece.__getitem__, self._split(self.tokenizer.normalizer.normalize_str(text))))
         return self.whole(text)
 
     def by_words(self, text: str) -> bytes:
