@@ -19,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -223,13 +224,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
                     ["doc_id", "quality", "index", "value", "page"],
                 )
 
-    got = rows.mapInArrow(views, "doc_id long, quality int, index binary, value binary, page binary").toArrow()
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        model = _fit(pa.Table.from_batches(held)) if held else None
+        if model is not None:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    # the bounded sample is fitted in one task; the driver gets the weights
+    sample = rows.mapInArrow(views, "doc_id long, quality int, index binary, value binary, page binary")
+    found = sample.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
+
+
+def _fit(got: pa.Table) -> Model | None:
     got = got.sort_by("doc_id").combine_chunks()
     y = got["quality"].to_numpy().astype(float)
     if not ((y == 0).sum() >= 2 * HELD_BACK and (y == 1).sum() >= 2 * HELD_BACK):
         return None
     index = [np.frombuffer(b, "<i4") for b in got["index"].to_pylist()]
-    text = Rows(np.concatenate(index), np.concatenate([np.frombuffer(b, "<f4") for b in got["value"].to_pylist()]), np.concatenate(([0], np.cumsum([len(i) for i in index]))))
+    value = np.concatenate([np.frombuffer(b, "<f4") for b in got["value"].to_pylist()])
+    text = Rows(np.concatenate(index), value, np.concatenate(([0], np.cumsum([len(i) for i in index]))))
     page = np.frombuffer(b"".join(got["page"].to_pylist()), "<f4").reshape(len(y), -1).astype(float)
     held = np.zeros(len(y), bool)
     for kind in (0, 1):
