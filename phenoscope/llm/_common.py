@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ def worker_cache(name: str, make: Callable[[], object]):
     asks for its own drops it, so stages that follow each other don't add up."""
     if name not in _cache:
         _cache.clear()
+        pa.default_memory_pool().release_unused()
         _cache[name] = make()
     return _cache[name]
 

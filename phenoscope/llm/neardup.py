@@ -41,7 +41,7 @@ BLOCK_SHINGLES = 600_000
 #: Clustered documents whose ids may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Words whose hashes a worker remembers: bounds memory only.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000
 #: Standard deviations by which a sketch may fall short of the threshold.
 MARGIN = 4.4
 

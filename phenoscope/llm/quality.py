@@ -41,7 +41,7 @@ ROUNDS, SHARE, SURE = 4, 0.05, 0.97
 HELD_BACK = 5
 #: Documents below this probability of being good are rejected.
 THRESHOLD = 0.2
-BATCH_ROWS, MEMO_WORDS = 128, 250_000
+BATCH_ROWS, MEMO_WORDS = 128, 100_000
 
 
 class _Places(dict):

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ._common import worker_cache
 
 #: Distinct words a worker remembers: bounds its memory, not the texts.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Rows handed to Spark at once.
 OUT_ROWS = 1000
 
