@@ -56,7 +56,7 @@ class SequenceWriter:
         self.held.append(ids.astype(self.dtype))
         self.count += len(ids)
         if self.count >= self.length * BATCH:
-            self._flush(self.count // self.length)
+            self._flush(self.count // (self.length * BATCH) * BATCH)  # batches before the last are full
 
     def _flush(self, rows: int) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
