@@ -65,17 +65,19 @@ def running_total(
     value: Column,
     out: str,
     buckets: int,
+    deal: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one among
     the rows with equal ``keys`` (which must not be null).
 
-    The rows of a key are dealt over ``buckets`` by a hash of ``order``, summed
+    The rows of a key are dealt over ``buckets`` by a hash of ``deal`` (by default
+    ``order``; leave out what differs between reruns), summed
     per bucket, and only the bucket sums are accumulated in sequence, so a key
     that holds a large share of the rows is still spread over many tasks. The
     order is by bucket, then by ``order``; it depends on the rows alone.
     """
     b, v, off, start = "_rt_bucket", "_rt_value", "_rt_sum", "_rt_start"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn(v, value.cast("long"))
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*(deal or order)), F.lit(buckets)).cast("int")).withColumn(v, value.cast("long"))
     sums = dealt.groupBy(*keys, b).agg(F.sum(v).alias(off))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(start))

@@ -163,7 +163,7 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2
 
     coded = rows.where("size > 0").join(F.broadcast(sources.select("source", "code").alias("s")), F.col("s.source").eqNullSafe(rows["source"])).select(rows["*"], "code")
     biggest = max((r["rows"] for r in found), default=0)
-    placed = running_total(coded, ["code"], ["doc_id", "size", "_row"], F.col("size"), "at", buckets_for(biggest))
+    placed = running_total(coded, ["code"], ["doc_id", "size", "_row"], F.col("size"), "at", buckets_for(biggest), ["doc_id", "size"])
     parts = placed.select("code", "source", "_row", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     begin = F.col("block") * block
     parts = parts.select(
