@@ -29,7 +29,9 @@ def _per_series(df: DataFrame, keys: list[str], order: list[str], run: Callable[
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return df.groupBy(*keys).applyInPandas(grouped, "".join(f"{k} {types[k]}, " for k in keys) + schema)
+    # a series costs far more time than bytes, so partitions must not be merged by size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).groupBy(*keys).applyInPandas(grouped, "".join(f"{k} {types[k]}, " for k in keys) + schema)
 
 
 def train_and_scan(df: DataFrame, keys: list[str], t: str, y: str, valid: str, end: float, periods=(1.0, 0.5), least: int = 15, factor: float = 3.5, run: int = 3, floor: float = 1e-5) -> DataFrame:

@@ -136,7 +136,7 @@ def hrm07_configuration_sweep(spark, sf_dir):
     out = None
     for periods in ((1.0,), (1.0, 0.5), (1.19, 1.499, 1.0)):
         for linear in (False, True):
-            got = harmonic.harmonized(_series(spark, sf_dir).where("pixel < 20"), ["pixel"], "t", "v", "ok", periods=periods, linear=linear)
+            got = harmonic.harmonized(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", periods=periods, linear=linear)
             got = got.agg(F.avg("mean_rmse").alias("mean_rmse"), F.sum("change_count").alias("changes")).withColumns({"periods": F.lit(str(periods)), "linear": F.lit(linear)})
             out = got if out is None else out.unionByName(got)
     return out
@@ -144,12 +144,12 @@ def hrm07_configuration_sweep(spark, sf_dir):
 
 @query()
 def hrm08_dhr(spark, sf_dir):
-    return harmonic.dynamic(_series(spark, sf_dir).where("pixel < 40"), ["pixel"], "t", "v", "ok", window=2.0, bins=40)
+    return harmonic.dynamic(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0, bins=40)
 
 
 @query()
 def hrm09_dhr_refined(spark, sf_dir):
-    return harmonic.dynamic(_series(spark, sf_dir).where("pixel < 8"), ["pixel"], "t", "v", "ok", window=2.0, bins=40, estimator="nomp", k=1)
+    return harmonic.dynamic(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0, bins=40, estimator="nomp", k=1)
 
 
 @query("""SELECT event_id, round(120 + 10 * cos(2 * pi() * d / 7e0) + 5 * sin(2 * pi() * d / 7e0), 6) AS base, round(120 + 10 * cos(2 * pi() * d / 7e0) + 5 * sin(2 * pi() * d / 7e0) + 2 * 30, 6) AS upper FROM (SELECT event_id, (epoch_us(ts) % 604800000000) / 8.64e10 AS d FROM events)""")
@@ -180,22 +180,22 @@ def srt02_top_frequencies(spark, sf_dir):
 
 @query()
 def frq02_distinct_peaks(spark, sf_dir):
-    return harmonic.dynamic(_series(spark, sf_dir).where("pixel < 8"), ["pixel"], "t", "v", "ok", window=2.0, bins=40, estimator="ndft")
+    return harmonic.dynamic(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0, bins=40, estimator="ndft")
 
 
 @query()
 def frq04_refined_frequency(spark, sf_dir):
-    return harmonic.pooled_frequencies(_series(spark, sf_dir).where("pixel < 30"), ["pixel"], "t", "v", "nomp")
+    return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v", "nomp")
 
 
 @query()
 def frq05_sparse_l1(spark, sf_dir):
-    return harmonic.pooled_frequencies(_series(spark, sf_dir).where("pixel < 30"), ["pixel"], "t", "v", "bpdn")
+    return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v", "bpdn")
 
 
 @query()
 def frq06_sparse_log(spark, sf_dir):
-    return harmonic.pooled_frequencies(_series(spark, sf_dir).where("pixel < 30"), ["pixel"], "t", "v", "cirl")
+    return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v", "cirl")
 
 
 @query()
@@ -205,7 +205,7 @@ def frq07_pooled_frequency(spark, sf_dir):
 
 @query()
 def frq08_alft(spark, sf_dir):
-    return harmonic.spectral_features(_series(spark, sf_dir).where("pixel < 20"), ["pixel"], "t", "v", "ok", windows=(0.5, 1.0, 3.0), bins=30)
+    return harmonic.spectral_features(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", windows=(0.5, 1.0, 3.0), bins=30)
 
 
 
