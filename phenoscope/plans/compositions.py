@@ -55,12 +55,14 @@ def fn18_daily_gap_fill(spark, sf_dir):
 
 @query()
 def win03_cube_complexity_zscores(spark, sf_dir):
-    """Complexity of a small cube and its three z-scores."""
+    """Complexity of a cube, two frames for each raster of vectors, and its three
+    z-scores."""
     from ..model import Cube
 
-    rows = _grid(spark, sf_dir, 20).select("y", "x", F.col("s").alias("spectrum"), F.lit(False).alias("invalid"))
-    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("frame_idx")).withColumn("spectrum", F.transform("spectrum", lambda v, i: v * (1 + F.col("frame_idx") * 0.1 * i)))
-    frames = spark.createDataFrame([(0, "a", 0), (1, "a", 1)], "frame_idx int, spacecraft string, ts int")
+    rows = _grid(spark, sf_dir, 20, 25).select((2 * F.col("frame")).cast("int").alias("first"), "y", "x", F.col("s").alias("spectrum"), F.lit(False).alias("invalid"))
+    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")).withColumn("spectrum", F.transform("spectrum", lambda v, i: v * (1 + F.col("turn") * 0.1 * i)))
+    rows = rows.withColumn("frame_idx", F.col("first") + F.col("turn")).drop("first", "turn")
+    frames = rows.select("frame_idx").distinct().select("frame_idx", F.lit("a").alias("spacecraft"), F.col("frame_idx").alias("ts"))
     return Cube(rows, frames, 25, 20).standardised(band_rows=8).drop("ts")
 
 

@@ -93,11 +93,12 @@ def det09_outlier_pixels(spark, sf_dir):
 
 @query()
 def det11_frame_shifts(spark, sf_dir):
-    """A raster against itself, moved by one row and two columns a frame."""
+    """Rasters of 900 parts, each against itself, moved by one row and two columns
+    a frame; numbers of frames leave one out between rasters."""
     k = F.col("p_partkey") % 900
-    g = table(spark, sf_dir, "part").where("p_partkey < 900").select(F.floor(k / 30).cast("int").alias("y0"), (k % 30).cast("int").alias("x0"), "p_size")
+    g = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 900).alias("r"), F.floor(k / 30).cast("int").alias("y0"), (k % 30).cast("int").alias("x0"), "p_size")
     frames = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("f"))
-    moved = frames.select(F.col("f").cast("long").alias("f"), ((F.col("y0") + F.col("f")) % 30).cast("int").alias("y"), ((F.col("x0") + 2 * F.col("f")) % 30).cast("int").alias("x"), F.col("p_size").cast("double").alias("v"))
+    moved = frames.select((5 * F.col("r") + F.col("f")).cast("long").alias("f"), ((F.col("y0") + F.col("f")) % 30).cast("int").alias("y"), ((F.col("x0") + 2 * F.col("f")) % 30).cast("int").alias("x"), F.col("p_size").cast("double").alias("v"))
     return detect.frame_shifts(moved, "f", "v", 30, 30)
 
 

@@ -101,10 +101,12 @@ def fn19_smoothed_spectra(spark, sf_dir):
     return complexity.smoothed_spectra(_tiles(spark, sf_dir), "vec_id", "embedding")
 
 
-def _grid(spark, sf_dir, side=40):
-    """A raster of spectra: vector ``n`` at row ``n div side``."""
-    at = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where(at < side * side).select((at % 3 * 0).alias("frame"), F.floor(at / side).cast("int").alias("y"), (at % side).cast("int").alias("x"), F.slice("embedding", 1, 10).alias("s"))
+def _grid(spark, sf_dir, side=40, height=None):
+    """A raster of spectra: vector ``n`` at row ``n div side`` of one tall frame,
+    or of the next frame after every ``height`` rows."""
+    n = F.col("vec_id")
+    frame, at = (F.floor(n / (side * height)), n % (side * height)) if height else (F.lit(0).cast("long"), n)
+    return table(spark, sf_dir, "embeddings").select(frame.alias("frame"), F.floor(at / side).cast("int").alias("y"), (at % side).cast("int").alias("x"), F.slice("embedding", 1, 10).alias("s"))
 
 
 @query()
@@ -114,12 +116,12 @@ def win01_tile_complexity(spark, sf_dir):
 
 @query()
 def win02_sliding_complexity(spark, sf_dir):
-    return complexity.sliding_complexity(_grid(spark, sf_dir, 20), ["frame"], "s", 3, 1, 7, 25, 20, band_rows=8)
+    return complexity.sliding_complexity(_grid(spark, sf_dir, 20, 25), ["frame"], "s", 3, 1, 7, 25, 20, band_rows=8)
 
 
 @query()
 def win04_sliding_use_rest(spark, sf_dir):
-    rows = _grid(spark, sf_dir, 20).withColumn("s", F.when((F.col("y") != 5) | (F.col("x") != 5), F.col("s")))
+    rows = _grid(spark, sf_dir, 20, 25).withColumn("s", F.when((F.col("y") != 5) | (F.col("x") != 5), F.col("s")))
     return complexity.sliding_complexity(rows, ["frame"], "s", 3, 1, 7, 25, 20, band_rows=8, on_invalid="use_rest")
 
 

@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from phenoscope.operators import harmonic
+from phenoscope.operators import harmonic, kernels
 from phenoscope.plans import detection, registry
 
+from .test_operators import plain_sliding
+
 registry.load()
 
 #: Pixels of the fixture; most lie above any bound that the queries ever had.
@@ -76,3 +78,44 @@ def test_sweep_of_all_series(spark, orders, monkeypatch):
             each = harmonic.harmonized(pdf, ["pixel"], "t", "v", "ok", periods=periods, linear=linear)
             error, changes = got[str(periods), linear]
             assert error == pytest.approx(each["mean_rmse"].mean(), rel=1e-9) and changes == each["change_count"].sum()
+
+
+@pytest.fixture(scope="module")
+def rasters(spark, tmp_path_factory):
+    """Two full frames of 500 vectors and 1,900 parts."""
+    rng, folder = np.random.default_rng(6), str(tmp_path_factory.mktemp("rasters"))
+    vectors = rng.random((1000, 12)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(i, int(s)) for i, s in enumerate(rng.integers(1, 51, 1900))], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return folder, vectors[:, :10].astype(float)
+
+
+def test_tiles_of_all_vectors(spark, rasters):
+    folder, vectors = rasters
+    cube = vectors.reshape(50, 20, 10)
+    got = {(r.ty, r.tx): r.value for r in registry.QUERIES["win01_tile_complexity"](spark, folder).collect()}
+    want = {(y, x): kernels.complexity(cube[4 * y : 4 * y + 4, 4 * x : 4 * x + 4].reshape(1, 16, 10), 7)[0] for y in range(12) for x in range(5)}
+    assert {k: v for k, v in got.items() if k[0] < 12} == pytest.approx(want) and len(got) == 65
+    tiles = {r.tile for r in registry.QUERIES["win07_legacy_reductions"](spark, folder).collect()}
+    assert tiles == set(range(10))
+
+
+@pytest.mark.parametrize("name", ["win02_sliding_complexity", "win04_sliding_use_rest", "win03_cube_complexity_zscores"])
+def test_windows_over_all_vectors(spark, rasters, name):
+    folder, vectors = rasters
+    got = registry.QUERIES[name](spark, folder).toPandas()
+    if name == "win03_cube_complexity_zscores":
+        assert sorted(got["frame_idx"].value_counts().items()) == [(f, 500) for f in range(4)]
+        got = got[got["frame_idx"] % 2 == 0].assign(frame=lambda d: d["frame_idx"] // 2)
+    assert len(got) == 1000
+    if name != "win04_sliding_use_rest":
+        for f in (0, 1):
+            want = plain_sliding(vectors.reshape(2, 25, 20, 10)[f], 3, 1, 7, np.ones((25, 20), bool))
+            one = got[got["frame"] == f]
+            assert {(y, x): v for y, x, v in zip(one["y"], one["x"], one["complexity"])} == pytest.approx(want)
+
+
+def test_shifts_of_all_rasters(spark, rasters):
+    got = registry.QUERIES["det11_frame_shifts"](spark, rasters[0]).toPandas()
+    assert sorted(got["pair"]) == [1, 2, 3, 6, 7, 8, 11, 12, 13]
+    assert got["dy"].abs().round(3).eq(1).all() and got["dx"].abs().round(3).eq(2).all()
