@@ -117,10 +117,19 @@ def _draws(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` in words and a row number."""
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """``doc_id``, ``source``, ``size`` in words, a hash of the text, a row
+    number and ``more``, written together: ids may be null or repeated, so
+    only the row number says which row is meant."""
     size = F.coalesce(F.regexp_count(text_or_empty(), F.lit(WORD)), F.lit(0)).cast("long")
-    return materialise(docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("_row")), "mix-sizes")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"), *more)
+    return materialise(rows, "mix-docs" if more else "mix-sizes")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``source``, ``size`` in words, ``_hash`` of the text and a
+    row number."""
+    return _keyed(docs)
 
 
 def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = BLOCK_WORDS, shards: int = OUT_SHARDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +172,7 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2
 
     coded = rows.where("size > 0").join(F.broadcast(sources.select("source", "code").alias("s")), F.col("s.source").eqNullSafe(rows["source"])).select(rows["*"], "code")
     biggest = max((r["rows"] for r in found), default=0)
-    placed = running_total(coded, ["code"], ["doc_id", "size", "_row"], F.col("size"), "at", buckets_for(biggest), ["doc_id", "size"])
+    placed = running_total(coded, ["code"], ["doc_id", "size", "_hash", "_row"], F.col("size"), "at", buckets_for(biggest), ["doc_id", "size"])
     parts = placed.select("code", "source", "_row", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     begin = F.col("block") * block
     parts = parts.select(
@@ -190,21 +199,22 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with the columns of ``docs`` (``doc_id`` must be a
-    key): words taken once make a row, words taken again another one. A row
-    whose words are all taken keeps its text as it is; of others the runs of
-    words that the mix takes stay, one to a line. ``n_chars`` is counted anew.
+    """The mix as documents with the columns of ``docs``: words of a row taken
+    once make a row, words taken again another one, also where ``doc_id`` is
+    null or repeated. A row whose words are all taken keeps its text as it is;
+    of others the runs of words that the mix takes stay, one to a line.
+    ``n_chars`` is counted anew.
     """
-    rows = sized(docs)
+    kept = _keyed(docs, F.struct("*").alias("_doc"))
+    rows = kept.drop("_doc")
     _, mixed = mix(rows, **options)
-    keys = rows.select("_row", "doc_id", "size")
+    keys = rows.select("_row", "size")
     # a run of words that is taken m times belongs to copies 1 to m
     runs = mixed.groupBy("_row", "doc_start").agg(F.sort_array(F.collect_list("n_words"), False).alias("took"))
     runs = runs.select("_row", "doc_start", F.posexplode("took").alias("copy", "n"))
     copies = runs.groupBy("_row", "copy").agg(F.sort_array(F.collect_list(F.struct("doc_start", "n"))).alias("runs"), F.sum("n").alias("words"))
-    copies = copies.join(keys, "_row").select("doc_id", "copy", "runs", (F.col("words") == F.col("size")).alias("_whole"))
-    whole = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
-    texts = whole.join(copies.select("doc_id", "runs", "_whole"), "doc_id")
+    copies = copies.join(keys, "_row").select("_row", "runs", (F.col("words") == F.col("size")).alias("_whole"))
+    texts = kept.select("_row", "_doc", F.col("_doc")["text"].alias("text")).join(copies, "_row")
     words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
     pick = F.transform("runs", lambda r: F.array_join(F.slice(F.col("_words"), r["doc_start"].cast("int") + 1, r["n"].cast("int")), " "))
     cut = texts.withColumn("_words", F.when(~F.col("_whole"), words))

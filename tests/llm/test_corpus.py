@@ -68,6 +68,27 @@ def test_mixed_texts(spark):
     assert {i: n for i, n in taken.items() if n} == dict(words)
 
 
+def test_mixed_texts_of_null_and_repeated_ids(spark):
+    ids = [None, None, None, 1, 1, 1, 2, 2, 3, 4, 5, 5]
+    data = [(i, " ".join(f"r{k}w{j}" for j in range(20 + 7 * k)), "xx", ("s0", "s1", None)[k % 3], k) for k, i in enumerate(ids)]
+    docs = with_clashes(documents(spark, data)).withColumn("tag", F.col("n_chars"))
+    out = mixing.mixed_texts(docs, block=16, shards=7).collect()
+    again = mixing.mixed_texts(docs.repartition(5), block=16, shards=7).collect()
+    assert sorted((r.tag, r.text) for r in out) == sorted((r.tag, r.text) for r in again)
+    words = Counter()
+    for r in out:
+        assert r.doc_id == ids[r.tag] and set(r.text.split()) <= set(data[r.tag][1].split())
+        words[r.tag] += n_words(r.text)
+    sizes = {k: n_words(d[1]) for k, d in enumerate(data)}
+    assert all(n <= 2 * sizes[k] for k, n in words.items())
+    mix = mixing.mix_documents(docs, block=16, shards=7).collect()
+    assert {r.size: r.taken for r in mix if r.taken} == {sizes[k]: n for k, n in words.items()}
+    by = Counter()
+    for k, n in words.items():
+        by[data[k][3]] += n
+    assert all(abs(by[r.source] - r.target) <= 1 for r in mix)
+
+
 # sharding
 
 
