@@ -8,7 +8,7 @@ tasks report are read, so a repeated or abandoned attempt does no harm.
 
 Defined results
     null text is empty and gives the end id alone; a null ``doc_id`` sorts
-    first; repeated rows are written each, in order of their texts; an empty
+    first; rows that share an id are written each, by a hash of their texts; an empty
     table gives no tokens; masks are false on the padding after the last token
     of a file.
 """
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, scratch_root
-from .tokens import encoder
+from .tokens import encoder, slices
 
 SEQUENCE = 1024
 #: Sequences in a record batch.
@@ -88,11 +89,13 @@ class SequenceFile:
         self.reader = ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
 
-    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and masks of each batch, flat; the ids are views of the file."""
+    def ids(self) -> Iterator[np.ndarray]:
+        """The ids of each batch up to the padding, as views of the file. The
+        mask ends with the last token, so only its number of set bits counts."""
         for k in range(self.reader.num_record_batches):
             batch = self.reader.get_batch(k)
-            yield batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            real = pc.sum(batch.column(1).flatten()).as_py() or 0
+            yield batch.column(0).flatten().to_numpy()[:real]
 
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``n``."""
@@ -110,8 +113,9 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, length: in
     in document order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // TASK_BYTES))
-    # equal ids and texts can't be told apart: any order of theirs is the same
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash parts rows that share an id; equal texts can't be told apart
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(parts, "doc_id", "_hash")
+    rows = rows.sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
@@ -125,13 +129,11 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, length: in
         with system.open_output_stream(f"{name}.arrow") as sink:
             out = SequenceWriter(sink, length, wide)
             for batch in batches:
-                counts = np.empty(batch.num_rows, np.int64)
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.frombuffer(code.of(text) if text else b"", "<u4")
-                    out.add(np.append(ids, np.uint32(end_id)))
-                    counts[i] = len(ids) + 1
-                docs_seen.append((batch.column(0), counts))
-                total += int(counts.sum())
+                for rows in slices(batch, "text"):
+                    ids, counts = code.many(rows.column(1).to_pylist(), end_id)
+                    out.add(ids)
+                    docs_seen.append((rows.column(0), counts))
+                    total += len(ids)
             out.close()
         if not docs_seen:
             return
@@ -162,21 +164,21 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(inner) as f:
                     index = ipc.open_file(f).read_all()
                 doc_ids, lengths = index["doc_id"].to_pylist(), index["n_tokens"].to_pylist()
-                data, tail, k = SequenceFile(f"{path}.arrow"), np.zeros(0, "<u4"), 0
-                for ids, mask in data.batches():
-                    tail = np.concatenate((tail, ids[mask].astype("<u4")))
-                    first, at = k, 0
-                    rows = []
-                    while k < len(doc_ids) and at + lengths[k] <= len(tail):
-                        rows.append(tail[at : at + lengths[k]].tobytes())
-                        at += lengths[k]
-                        k += 1
-                    tail = tail[at:]
+                data, ends, k = SequenceFile(f"{path}.arrow"), np.cumsum(lengths, dtype=np.int64), 0
+                at, held = 0, []  # tokens before this batch, and views of a document that goes on
+                for ids in data.ids():
+                    upto = int(np.searchsorted(ends, at + len(ids), "right"))  # documents that end in this batch
+                    rows, lo = [], 0
+                    for end in (ends[k:upto] - at).tolist():
+                        rows.append(b"".join([*held, ids[lo:end].astype("<u4")]))
+                        held, lo = [], end
+                    if lo < len(ids):
+                        held.append(ids[lo:].astype("<u4"))
                     if rows:
-                        sizes = np.array(lengths[first:k], np.int64)
-                        starts = start + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                        start += int(sizes.sum())
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[first:k], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(sizes), "ids": pa.array(rows, pa.binary())})
+                        sizes = np.array(lengths[k:upto], np.int64)
+                        starts = start + ends[k:upto] - sizes
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[k:upto], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(sizes), "ids": pa.array(rows, pa.binary())})
+                    at, k = at + len(ids), upto
                 data.close()
 
     spread = files.select("path", "before").repartition(F.col("path"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import text_or_empty, worker_cache
-from .tokens import _drops_space, byte_symbols
+from .tokens import drops_space, byte_symbols
 
 #: Distinct words whose counts a worker remembers: bounds memory, not texts.
 MEMO_WORDS = 600_000
@@ -94,7 +94,7 @@ class TokenCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or not _drops_space(spec):
+        if spec["model"]["type"] != "BPE" or not drops_space(spec):
             raise ValueError(f"{path}: only byte-pair vocabularies of independent words are counted here")
         self.tokenizer = Tokenizer.from_file(path)
         self.merger = RankMerger(spec["model"])
