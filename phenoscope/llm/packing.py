@@ -27,42 +27,53 @@ from .tokens import with_ids
 
 
 class ComplementIndex:
-    """Lengths, pairs and triples by their sum, as far as the counts last."""
+    """Combinations of lengths by their sum: singles are the counts themselves,
+    pairs are listed under their sum, and triples as a longest length and the
+    sum of a pair below it. A combination that the counts no longer allow is
+    dropped when it is met: counts only fall, so it never comes back."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self._pairs = counts, {}
+        self.counts, top = counts, len(counts) - 1
+        there = np.flatnonzero(counts).tolist()
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for a in there:
+            for b in there:
+                if b > a or a + b > top:
+                    break
+                self.pairs.setdefault(a + b, []).append((a, b))
+        self.triples: dict[int, list[int]] = {}
+        for a in there:
+            for pair in self.pairs:
+                if a + pair <= top and pair <= 2 * a:
+                    self.triples.setdefault(a + pair, []).append(a)
 
     def has(self, *lengths: int) -> bool:
-        return all(self.counts[x] >= n for x, n in Counter(lengths).items())
-
-    def pair(self, total: int, top: int) -> tuple[int, ...] | None:
-        """Two lengths that add up to ``total``, neither above ``top``."""
-        at = self._pairs.setdefault(total, min(total - 1, len(self.counts) - 1))
-        # counts only fall, so a length that failed before needs no second look
-        while at * 2 >= total and not self.counts[at]:
-            at -= 1
-        self._pairs[total] = at
-        a = np.arange(min(at, top), (total - 1) // 2, -1)
-        if not len(a):
-            return None
-        ok = (self.counts[a] > 0) & (self.counts[total - a] > (a * 2 == total))
-        k = int(ok.argmax())
-        return (int(a[k]), total - int(a[k])) if ok[k] else None
+        return all(self.counts[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, beside: int | None = None) -> tuple[int, ...] | None:
+        """The pair with the longest length that fills ``total``; with
+        ``beside``, none above it and one of ``beside`` left over."""
+        found = self.pairs.get(total, [])
+        for k in range(len(found) - 1, -1, -1):
+            if not self.has(*found[k]):
+                if k == len(found) - 1:
+                    found.pop()
+            elif beside is None or (found[k][0] <= beside and self.has(beside, *found[k])):
+                return found[k]
+        return None
 
     def exact(self, total: int) -> tuple[int, ...] | None:
         """One, two or three lengths that fill ``total``, longest first."""
         if total < len(self.counts) and self.counts[total]:
             return (total,)
-        if found := self.pair(total, total):
+        if found := self.pair(total):
             return found
-        for a in np.flatnonzero(self.counts[: max(0, total - 1)])[::-1]:
-            if 3 * a < total:
-                break
-            self.counts[a] -= 1
-            rest = self.pair(total - int(a), int(a))
-            self.counts[a] += 1
-            if rest:
-                return (int(a), *rest)
+        firsts = self.triples.get(total, [])
+        while firsts:
+            a = firsts[-1]
+            if self.counts[a] and (rest := self.pair(total - a, a)):
+                return (a, *rest)
+            firsts.pop()
         return None
 
     def best(self, room: int) -> int | None:
