@@ -33,11 +33,13 @@ def worker_cache(name: str, make: Callable[[], object]):
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or
-    a temporary folder where the session names none (local tests)."""
+    a temporary folder where a local session names none (tests)."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="phenoscope-")
     return _own_root
@@ -53,7 +55,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets_for(rows: int, each: int = 4_000) -> int:
+#: Rows of ids or other short rows that may be broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` marked for a broadcast if it has few enough rows; a join with
+    it is a shuffle otherwise. ``table`` is counted: give a written one."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def buckets_for(rows: int, each: int = 500) -> int:
     """Buckets so that one of them holds about ``each`` rows."""
     return max(1, math.ceil(rows / each))
 
@@ -79,8 +91,7 @@ def running_total(
     b, v, off, start = "_rt_bucket", "_rt_value", "_rt_sum", "_rt_start"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*(deal or order)), F.lit(buckets)).cast("int")).withColumn(v, value.cast("long"))
     sums = dealt.groupBy(*keys, b).agg(F.sum(v).alias(off))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(start))
+    starts = _bucket_starts(sums, keys, b, off, start, buckets)
     inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         dealt.join(starts, [*keys, b])
@@ -89,5 +100,17 @@ def running_total(
     )
 
 
+def _bucket_starts(sums: DataFrame, keys: list[str], b: str, off: str, start: str, buckets: int) -> DataFrame:
+    """Sums of the buckets before each one; of many buckets in two levels."""
+    if buckets <= 1 << 14:
+        before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*keys, b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(start))
+    wide, first = "_rt_wide", "_rt_first"
+    sums = sums.withColumn(wide, (F.col(b) / (1 << 12)).cast("int"))
+    tops = _bucket_starts(sums.groupBy(*keys, wide).agg(F.sum(off).alias(off)), keys, wide, off, first, 1)
+    inside = Window.partitionBy(*keys, wide).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.join(tops, [*keys, wide]).select(*keys, b, (F.col(first) + F.coalesce(F.sum(off).over(inside), F.lit(0))).alias(start))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
