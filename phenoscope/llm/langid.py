@@ -11,7 +11,8 @@ Defined results
     null texts and texts without a letter are ``und`` with score 0, as is
     everything if nothing could be learned; of equally likely languages the
     first in code point order is taken; repeated rows are predicted each; an
-    empty table gives an empty result.
+    empty table gives an empty result. Any number of languages is learned; the
+    model takes 64 KB for each.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 BUCKETS = 1 << 14
 #: Documents that are counted or fitted together.
 BATCH_ROWS = 128
 #: Pseudo-count of a trigram, log-likelihood a further language must gain for
 #: each of the log of the text's trigrams, and steps of a fit.
 ALPHA, PENALTY, STEPS = 0.5, 3.0, 12
-#: The model has a row of BUCKETS numbers for each language.
-MAX_LANGUAGES = 256
+#: Numbers (n-grams of the documents times languages) that a fit holds at
+#: once, and languages whose counts travel together.
+FIT_CELLS, BLOCK_LANGS = 8_000_000, 64
 
 
 def _trigrams(texts: list[str]) -> np.ndarray:
@@ -49,28 +53,41 @@ def _trigrams(texts: list[str]) -> np.ndarray:
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities from ``text`` and ``lang``.
     Tasks add up their documents and send one count a language and bucket."""
-    found = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(r["lang"] for r in found)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
     index = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            langs = np.array([*total], np.int64)
+            which, bucket = np.nonzero(np.stack([*total.values()]))
+            n = np.concatenate([t[t > 0] for t in total.values()])
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs[which]), pa.array(bucket, pa.int64()), pa.array(n)], ["l", "b", "n"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(k, BATCH_ROWS)
+                grams = _trigrams(part.column(0).to_pylist())
                 which = np.array([index[x] for x in part.column(1).to_pylist()])
-                np.add.at(total, which, _trigrams(part.column(0).to_pylist()))
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(bucket, pa.int64()), pa.array(total[lang, bucket])], ["l", "b", "n"])
-
-    parts = rows.select("text", "lang").mapInArrow(count, "l long, b long, n long")
-    counts = np.full((len(names), BUCKETS), ALPHA)
+                for lang in np.unique(which).tolist():
+                    add = grams[which == lang].sum(0)
+                    total[lang] = total[lang] + add if lang in total else add
+                if len(total) > BLOCK_LANGS:
+                    yield told()
+        if total:
+            yield told()
+
+    counts = np.full((len(names), BUCKETS), ALPHA, np.float32)
     if names:
-        sums = parts.groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS
-        counts[sums["l"], sums["b"]] += sums["n"]
-    return names, counts / counts.sum(1, keepdims=True)
+        parts = rows.select("text", "lang").mapInArrow(count, "l long, b long, n long")
+        sums = materialise(parts.groupBy("l", "b").agg(F.sum("n").alias("n")), "lang-counts")
+        for lo in range(0, len(names), BLOCK_LANGS):
+            some = sums.where(F.col("l").between(lo, lo + BLOCK_LANGS - 1)).toPandas()  # BLOCK_LANGS x BUCKETS at most
+            counts[some["l"], some["b"]] += some["n"]
+    counts /= counts.sum(1, keepdims=True, dtype=np.float64)
+    return names, counts
 
 
 def fit(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -78,7 +95,7 @@ def fit(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     n_docs, n_langs = len(counts), len(probs)
     doc, bucket = np.nonzero(counts)
     c = counts[doc, bucket].astype(float)
-    p = probs.T[bucket]
+    p = probs[:, bucket].T.astype(float)
     total = counts.sum(1).astype(float)
 
     def add(values: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -128,17 +145,20 @@ def predict(docs: DataFrame, names: list[str], probs: np.ndarray) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name != "text"]
     letter = r"\p{L}"
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(probs.astype(np.float64))  # languages x BUCKETS
+    shared = spark.sparkContext.broadcast(probs)  # BUCKETS numbers of four bytes for each language
 
     def of(texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         has = regex.compile(letter).search
         out = [("und", 0.0, 0)] * len(texts)
         known = [i for i, t in enumerate(texts) if t and names and has(t)]
         if known:
-            weights = fit(_trigrams([texts[i] for i in known]), shared.value)
-            for i, w in zip(known, weights):
-                k = int(w.argmax())
-                out[i] = (names[k], min(1.0, float(w[k])), int((w > 0).sum()))
+            grams = _trigrams([texts[i] for i in known])
+            cells = np.cumsum((grams > 0).sum(1) * len(names)) // FIT_CELLS
+            for turn in np.unique(cells):
+                here = np.flatnonzero(cells == turn)
+                for i, w in zip(here, fit(grams[here], shared.value)):
+                    k = int(w.argmax())
+                    out[known[i]] = (names[k], min(1.0, float(w[k])), int((w > 0).sum()))
         return tuple(map(list, zip(*out)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,16 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACE, WORD, buckets_for, materialise, running_total, text_or_empty
+from ._common import BROADCAST_ROWS, SPACE, WORD, buckets_for, materialise, running_total, text_or_empty
 
 BLOCK_WORDS = 256
 OUT_SHARDS = 64
-#: A mix names its sources one by one; their list is held by the driver.
-MAX_SOURCES = 100_000
 _ROUNDS = 4
 
 
@@ -106,7 +105,8 @@ def _draws(slots: list[int], shards: int, seed: int) -> np.ndarray:
     """Slots by shard and source: a multinomial draw for each shard out of what
     is left, so that the columns add up to ``slots``."""
     rng, left = np.random.default_rng(seed), np.array(slots, dtype=np.int64)
-    sizes = [len(x) for x in np.array_split(np.empty(int(left.sum()), np.int8), shards)]
+    each, over = divmod(int(left.sum()), shards)
+    sizes = [each + (k < over) for k in range(shards)]
     out = np.zeros((shards, len(slots)), dtype=np.int64)
     for k, room in enumerate(sizes):
         while room:
@@ -140,28 +140,26 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2
     words of a document in a block.
     """
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    # the driver holds a few numbers for each source
+    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in found]
     aims = targets_for(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, limit)
     need = [_slots(n, round(t), block, i, seed) for i, (n, t) in enumerate(zip(sizes, aims))]
-    plan, at = [], [0] * len(sizes)
-    for k, row in enumerate(_draws([m for m, _ in need], shards, seed)):
-        for i, c in enumerate(row.tolist()):
-            if c:
-                plan.append((k, i, at[i], at[i] + c))
-                at[i] += c
+    draws = _draws([m for m, _ in need], shards, seed)
+    upto = np.cumsum(draws, 0)
+    shard, code = np.nonzero(draws)
+    plan = pa.table({"shard": pa.array(shard, pa.int32()), "code": pa.array(code, pa.int32()), "lo": (upto - draws)[shard, code], "hi": upto[shard, code]})
     table = [(r["source"], i, n, t, m, last, max(1, -(-n // block))) for i, (r, n, t, (m, last)) in enumerate(zip(found, sizes, aims, need))]
     sources = spark.createDataFrame(table, "source string, code int, source_size long, target double, slots long, last_words long, blocks long")
+    few = F.broadcast if len(table) <= BROADCAST_ROWS else lambda side: side
 
     # a row for each slot: first runs of 4096 slots, dealt evenly, then each
     runs = spark.createDataFrame(plan, "shard int, code int, lo long, hi long")
     runs = runs.select("shard", "code", "hi", F.explode(F.expr("sequence(lo, hi - 1, 4096L)")).alias("lo")).repartition("shard", "code", "lo")
     slots = runs.select("shard", "code", F.explode(F.expr("sequence(lo, least(lo + 4095L, hi - 1))")).alias("slot"))
     info = sources.select("code", "slots", "last_words", "blocks")
-    slots = slots.join(F.broadcast(info), "code")  # at most MAX_SOURCES rows
+    slots = slots.join(few(info), "code")
     turn = F.floor(F.col("slot") / F.col("blocks"))
     key = (F.lit(seed * 1_000_003) + F.col("code")) * 8 + turn
     slots = slots.select(
@@ -170,7 +168,7 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2
         F.when(F.col("slot") == F.col("slots") - 1, F.col("last_words")).otherwise(F.lit(block)).alias("words"),
     )
 
-    coded = rows.where("size > 0").join(F.broadcast(sources.select("source", "code").alias("s")), F.col("s.source").eqNullSafe(rows["source"])).select(rows["*"], "code")
+    coded = rows.where("size > 0").join(few(sources.select("source", "code").alias("s")), F.col("s.source").eqNullSafe(rows["source"])).select(rows["*"], "code")
     biggest = max((r["rows"] for r in found), default=0)
     placed = running_total(coded, ["code"], ["doc_id", "size", "_hash", "_row"], F.col("size"), "at", buckets_for(biggest), ["doc_id", "size"])
     parts = placed.select("code", "source", "_row", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
@@ -190,7 +188,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     rows = sized(docs)
     sources, mixed = mix(rows, **options)
     taken = mixed.groupBy("_row").agg(F.sum("n_words").alias("taken"))
-    known = F.broadcast(sources.alias("s"))  # at most MAX_SOURCES rows
+    known = sources.alias("s")
+    if sources.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     return (
         rows.join(taken, "_row", "left")
         .join(known, F.col("s.source").eqNullSafe(rows["source"]))

@@ -1,8 +1,8 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into ``BUCKETS``. Two multinomials are counted,
-one over every document and one over trusted documents (labelled good, at most
-``TRUSTED_ROWS`` of them), both smoothed by matching pseudo-counts.
+one over every document and one over every trusted document (labelled good),
+both smoothed by matching pseudo-counts.
 A document's score is the mean of ``log(trusted / raw)`` over its n-grams, and
 it is kept if that reaches ``THRESHOLD``. Everything is DataFrame expressions;
 the two passes over the texts shuffle no more than bucket counts.
@@ -23,11 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, text_or_empty
+from ._common import SPACE, materialise, small_side, text_or_empty
 
 BUCKETS = 1 << 16
-#: Bound of the trusted sample (smallest hashes of doc_id first).
-TRUSTED_ROWS = 50_000
 #: Raw pseudo-count of each bucket; the trusted one is in proportion, so an
 #: n-gram that is seen seldom says little either way.
 PRIOR = 50.0
@@ -111,15 +109,15 @@ def _bucket(h: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of documents labelled good and not toxic: ``TRUSTED_ROWS`` at most."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS).select(F.col("doc_id").alias("_q_id"))
+    """Ids of all documents labelled good and not toxic."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
+    return materialise(good.select(F.col("doc_id").alias("_q_id")).distinct(), "trusted-ids")
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """``log(trusted / raw)`` for each bucket; the driver gets the counts of
     ``BUCKETS`` buckets, whatever the corpus."""
-    ids = F.broadcast(trusted)  # at most TRUSTED_ROWS ids
+    ids = small_side(trusted)
     marked = with_hashes(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_q_id"), "left"))
     grams = marked.select(F.col("_q_id").isNotNull().cast("long").alias("t"), F.explode(_ngrams()).alias("h"))
     counts = grams.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
