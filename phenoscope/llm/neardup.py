@@ -5,14 +5,17 @@ tokens. A tree starts with all documents in one node; a node picks one
 coordinate, and now and then a second, by a hash of its path, and each
 document moves to the child named by its minwise token there, so similar sets
 stay together and others part. Nodes of up to ``NODE_ROWS`` documents are
-compared exhaustively; larger ones branch again, and what is still larger after
-``DEPTH`` levels is compared in blocks, all against all. Independent trees
-repeat this until a pair at the threshold is missed by none of them but for a
-negligible chance.
-
-Candidates join into clusters, whose full sets are compared; only confirmed
-links make components. Equal sets are one class from the start, found by a
-128-bit fingerprint of the whole set, and take part once.
+compared exhaustively; larger ones branch again. A large node of similar
+documents would hardly part: its members are compared with one of them first,
+the pivot. Those near it are linked already, so only the others still have to
+meet everyone; if these are few, the near ones are dealt into small nodes that
+each hold all others. Independent trees repeat this until a pair at the
+threshold is missed by none of them but for a negligible chance.
+
+Candidates join into clusters, whose full sets are compared, large clusters
+with a pivot first in the same way; only confirmed links make components. Equal
+sets are one class from the start, found by a 128-bit fingerprint of the whole
+set, and take part once; so do equal sketches until sets are compared.
 
 Defined results
     null and wordless texts have the empty set and link with nothing; a text
@@ -25,21 +28,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, worker_cache
+from ._common import materialise, small_side, worker_cache
 from .mixing import _mix64
 
 COORDS = 64
-TREES, DEPTH, NODE_ROWS = 12, 3, 1024
-#: Shingles that are compared in one piece; larger clusters go in blocks.
-BLOCK_SHINGLES = 600_000
-#: Clustered documents whose ids may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+TREES, NODE_ROWS = 12, 1024
+#: Levels after which what still is large meets in blocks, all against all.
+LEVELS = 16
+#: Shingles and documents that are compared in one piece.
+BLOCK_SHINGLES, BLOCK_ROWS = 600_000, 1024
+#: Pivot texts, ids of clustered documents and links that may be broadcast;
+#: more are joined by shuffle. Classes of more copies than HOT_COPIES are few.
+PIVOT_ROWS, BROADCAST_ROWS, HOT_COPIES = 2_000, 100_000, 10_000
 #: Words whose hashes a worker remembers: bounds memory only.
 MEMO_WORDS = 100_000
 #: Standard deviations by which a sketch may fall short of the threshold.
@@ -160,8 +167,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _grow(items: DataFrame, trees: int, depth: int, threshold: float) -> DataFrame:
-    """``node, id``: members of the nodes that are to be compared."""
+def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the nodes that are to be compared (``node, id``), and the
+    links to pivots that were found on the way (``a, b``)."""
+    least = _least(threshold)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,24 +193,45 @@ def _grow(items: DataFrame, trees: int, depth: int, threshold: float) -> DataFra
 
         return run
 
-    rows, ready = items.select("id", "sig").mapInArrow(roots, "node long, id long"), []
-    for level in range(1, depth + 1):
-        rows = materialise(rows, f"paths-{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = rows.join(sizes, "node")
-        if level == depth:
-            ready.append(sized)
-            break
-        sized = materialise(sized, f"paths-{level}-sized")
-        ready.append(sized.where(F.col("n") <= NODE_ROWS))
-        large = sized.where(F.col("n") > NODE_ROWS)
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_signatures(batch.column(3)) == _signatures(batch.column(4))).sum(1) >= least
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], ["node", "id", "pivot", "near"])
+
+    sketches = items.select("id", "sig")
+    rows, ready, links = materialise(sketches.mapInArrow(roots, "node long, id long"), "paths-1"), [], []
+    for level in range(1, LEVELS + 1):
+        large = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where(F.col("n") > node_rows), "paths-large")
         if large.isEmpty():
+            ready.append(rows)
             break
-        rows = large.join(items.select("id", "sig"), "id").select("node", "id", "sig").mapInArrow(deeper(level), "node long, id long")
-    found = ready[0]
-    for more in ready[1:]:
-        found = found.unionByName(more)
-    return _in_blocks(found, "node", "id", F.ceil(F.col("n") / F.lit(NODE_ROWS))).drop("n")
+        side = small_side(large)
+        ready.append(rows.join(side.select("node"), "node", "left_anti"))
+        pivots = materialise(large.join(sketches.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot"), "paths-pivots")
+        big = rows.join(small_side(pivots, BROADCAST_ROWS), "node").join(sketches, "id").select("node", "id", "pivot", "sig", "pivot_sig")
+        tested = materialise(big.mapInArrow(against, "node long, id long, pivot long, near boolean"), "paths-tested")
+        links.append(tested.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        far = materialise(tested.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0"), "paths-far")
+        tested = tested.join(small_side(far), "node")
+        ready.append(_dealt(tested.where(F.col("far") <= node_rows), "node", F.ceil(F.col("n") / F.lit(node_rows))).select("node", "id"))
+        rows = tested.where(F.col("far") > node_rows)
+        if level == LEVELS:
+            ready.append(_in_blocks(rows.select("node", "id", "n"), "node", "id", F.ceil(F.col("n") / F.lit(node_rows))).drop("n"))
+        else:
+            again = rows.join(sketches, "id").select("node", "id", "sig")
+            rows = materialise(again.mapInArrow(deeper(level), "node long, id long"), f"paths-{level + 1}")
+    empty = items.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, links, empty)
+
+
+def _dealt(rows: DataFrame, key: str, parts) -> DataFrame:
+    """Groups whose ``near`` rows need not meet each other: these are dealt
+    into parts, and each part meets all other rows of its group."""
+    rows = rows.withColumn("_parts", F.greatest(parts.cast("int"), F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_part", F.explode(F.when(F.col("near"), own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))))
+    return rows.withColumn(key, F.xxhash64(key, "_part")).drop("_parts", "_part")
 
 
 def _in_blocks(rows: DataFrame, key: str, by: str, parts) -> DataFrame:
@@ -215,10 +245,15 @@ def _in_blocks(rows: DataFrame, key: str, by: str, parts) -> DataFrame:
     return rows.withColumn(key, F.when(F.col("_other") >= 0, pair).otherwise(F.col(key))).drop("_parts", "_block", "_other")
 
 
+def _least(threshold: float) -> int:
+    """Agreeing coordinates that make a candidate."""
+    return math.floor(COORDS * threshold - MARGIN * math.sqrt(COORDS * threshold * (1 - threshold)))
+
+
 def _candidates(nodes: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """``a, b``: documents of a node joined by sketches that agree enough, as
     links to the smallest of those connected."""
-    least = math.floor(COORDS * threshold - MARGIN * math.sqrt(COORDS * threshold * (1 - threshold)))
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, 4096):
@@ -248,15 +283,16 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` (the smallest id reachable) of the linked ids, by
     alternating large and small stars; the driver sees counts only."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
+    before, few = None, edges.count() <= BROADCAST_ROWS
+    side = F.broadcast if few else lambda table: table
     while True:
         # each node's larger neighbours take its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        big = both.where("v > u").join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # each node's smaller neighbours, and itself, take the smallest
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = big.join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -316,33 +352,91 @@ def _confirmed(clusters: DataFrame, width: int, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return clusters.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
+    return clusters.select("key", "id", "text").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def _near_pivots(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key, id, near, linked`` of clusters too large for one piece: whether
+    all texts of a document, or any, link with the pivot, whose id is the
+    cluster's key. The pivot is near itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pivots = batch.column(1).to_numpy(), {}
+            hit = []
+            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if other not in pivots:
+                    pivots = {other: shingles(other, width)}
+                a, b = shingles(text, width), pivots[other]
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                hit.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(hit, pa.bool_())], ["key", "id", "hit"])
+
+    pivots = materialise(texts.where("id = key").groupBy("key").agg(F.min("text").alias("pivot_text")), "dup-pivots")
+    tested = texts.select("key", "id", "text").join(small_side(pivots, PIVOT_ROWS), "key").mapInArrow(run, "key long, id long, hit boolean")
+    return materialise(tested.groupBy("key", "id").agg(F.min("hit").alias("near"), F.max("hit").alias("linked")), "dup-tested")
+
+
+def _shared_ids(told: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: classes of the texts that share a ``doc_id``."""
+    several = told.groupBy("doc_id").agg(F.count_distinct("s0", "s1", "n_shingles").alias("k")).where("k > 1").select("doc_id")
+    several = materialise(several, "dup-shared")
+    rows = told.join(small_side(several), "doc_id").select("doc_id", "s0", "s1", "n_shingles").distinct()
+    rows = rows.join(classes.select("s0", "s1", "n_shingles", "id"), ["s0", "s1", "n_shingles"])
+    first = rows.groupBy("doc_id").agg(F.min("id").alias("first"))
+    return rows.join(first, "doc_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
+
+
+def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int = TREES, node_rows: int = NODE_ROWS) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``. Sets link when
     ``100 * intersection >= percent * union``."""
-    threshold = percent / 100
+    threshold, sets = percent / 100, ["s0", "s1", "n_shingles"]
     told = materialise(_describe(docs, width), "dup-sets")
     some = told.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("s0", "s1", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    items = materialise(classes.select("s0", "s1", "n_shingles", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")), "dup-classes")
-
-    pairs = _candidates(_grow(items, trees, depth, threshold), items, threshold)
-    clusters = components(pairs)
+    classes = some.groupBy(*sets).agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("copies"))
+    items = materialise(classes.select(*sets, "copies", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")), "dup-classes")
+
+    # equal sketches, by two hashes, are linked with the first of them at once
+    sketched = items.withColumns({"g0": F.xxhash64("sig"), "g1": F.xxhash64(F.lit(1), "sig")})
+    twins = materialise(sketched.groupBy("g0", "g1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "dup-twins")
+    alike = sketched.join(small_side(twins), ["g0", "g1"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    alike = materialise(alike, "dup-alike")
+    heads = items.join(small_side(alike.select(F.col("a").alias("id"))), "id", "left_anti")
+
+    nodes, links = _grow(heads, trees, threshold, node_rows)
+    clusters = components(_candidates(nodes, heads, threshold).unionByName(links).unionByName(alike))
     members = clusters.join(items.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
-    weights = members.groupBy("component").agg(F.sum("n").alias("total"))
-    members = materialise(members.join(weights, "component").select("id", "component", "total"), "dup-members")
-    # ids only, and only as many as are known to be small
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    weights = members.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
+    parts = F.greatest(F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)), F.ceil(F.col("docs") / F.lit(BLOCK_ROWS))).cast("int")
+    weights = weights.select("component", parts.alias("parts"))
+    members = materialise(members.join(weights, "component").select("id", F.col("component").alias("key"), "n", "parts"), "dup-members")
+    wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members  # four numbers a row
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(wanted, "id")
-    texts = texts.select(F.col("component").alias("key"), "id", "text", "total")
-    texts = _in_blocks(texts, "key", "id", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES))).drop("total")
-    final = components(_confirmed(texts, width, percent))
-
-    lead = items.join(final, "id", "left").select("s0", "s1", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = told.select("doc_id", "n_shingles", "s0", "s1").join(lead, ["s0", "s1", "n_shingles"], "left")
-    # rows that share an id are one document: equal sets may tie it elsewhere
+    confirmed = [_confirmed(texts.where("parts <= 1"), width, percent)]
+    if not members.where("parts > 1").isEmpty():
+        large = texts.where("parts > 1")
+        near = _near_pivots(large, width, percent)
+        confirmed.append(near.where("linked and id <> key").select(F.col("id").alias("a"), F.col("key").alias("b")))
+        far = near.where("not near").join(members.select("id", "n"), "id").groupBy("key").agg(F.sum("n").alias("far_total"), F.count("*").alias("far_docs"))
+        far = materialise(far, "dup-far")
+        # clusters that are near their pivot all over are done
+        rest = large.join(small_side(near.join(small_side(far), "key")), ["key", "id"])
+        few = (F.col("far_total") * 2 <= BLOCK_SHINGLES) & (F.col("far_docs") * 2 <= BLOCK_ROWS)
+        confirmed.append(_confirmed(_dealt(rest.where(few), "key", F.col("parts") * 2), width, percent))
+        confirmed.append(_confirmed(_in_blocks(rest.where(~few), "key", "id", F.col("parts")), width, percent))
+    confirmed.append(_shared_ids(told.where("n_shingles > 0 and doc_id is not null"), items))
+    final = components(reduce(DataFrame.unionByName, confirmed))
+
+    lead = items.join(final, "id", "left").select(*sets, "copies", F.coalesce("component", "id").alias("component_id"))
+    lead = materialise(lead, "dup-lead")
+    # classes of very many copies are few: broadcast; the others by shuffle
+    hot = materialise(lead.where(F.col("copies") > HOT_COPIES).drop("copies"), "dup-hot")
+    out = told.select("doc_id", *sets)
+    none, full = out.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")), out.where("n_shingles > 0")
+    full = full.join(small_side(hot.withColumnRenamed("component_id", "_hot")), sets, "left")
+    cold = full.where("_hot is null").drop("_hot").join(lead.where(F.col("copies") <= HOT_COPIES).drop("copies"), sets, "left")
+    hot_rows = full.where("_hot is not null").withColumnRenamed("_hot", "component_id")
+    out = none.unionByName(cold.select(none.columns)).unionByName(hot_rows.select(none.columns))
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

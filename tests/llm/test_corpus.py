@@ -147,12 +147,12 @@ def components_of(sets, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, width, percent, monkeypatch):
+@pytest.mark.parametrize("width,percent,blocks,node_rows", [(3, 85, 2000, 16), (5, 80, 600_000, 4), (3, 70, 500, 1024)])
+def test_near_duplicates(spark, width, percent, blocks, node_rows, monkeypatch):
     import random
 
-    monkeypatch.setattr(neardup, "NODE_ROWS", 16)  # small nodes: deep paths and blocks
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks)  # small: pivots and blocks
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8 if blocks < 600_000 else 1024)
     rng, data = random.Random(5), rows(40)
     for g in range(6):
         base = prose(rng, 120).split()
@@ -161,7 +161,7 @@ def test_near_duplicates(spark, width, percent, monkeypatch):
             for _ in range(c % 5):
                 w[rng.randrange(len(w))] = "changed"
             data.append((1000 + g * 100 + c, " ".join(w).upper() if c == 3 else " ".join(w), "xx", "s0", 1))
-    got = neardup.group_near_duplicates(with_clashes(documents(spark, data)), width, percent).collect()
+    got = neardup.group_near_duplicates(with_clashes(documents(spark, data)), width, percent, node_rows=node_rows).collect()
     sets = sets_of(data, width)
     want = components_of(sets, percent)
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i]), want[i], want[i] == i) for i in sets}
@@ -177,6 +177,25 @@ def test_near_duplicate_edges(spark):
     assert sorted(r.doc_id or 0 for r in neardup.keep_one(docs, judged).collect()) == [0, 1, 3, 4]
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    data = [(1, a, "xx", "s", 1), (2, a, "xx", "s", 1), (2, b, "xx", "s", 1), (3, b, "xx", "s", 1), (4, "", "xx", "s", 1), (4, None, "xx", "s", 1)]
+    got = neardup.group_near_duplicates(documents(spark, data), 3, 85)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect()) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+    assert neardup.group_near_duplicates(documents(spark, []), 3, 85).collect() == []
+
+
+def test_many_near_equal_short_texts(spark):
+    words = "this page was made from a template by the same people as ever before and after".split()
+    data = [(i, " ".join([*words[: i % 7], f"n{i}", *words]), "xx", "s", 1) for i in range(3000)]
+    got = neardup.group_near_duplicates(documents(spark, data), 3, 60).collect()
+    sets = sets_of(data[:120], 3)
+    want = components_of(sets, 60)
+    assert len(got) == 3000
+    by = {r.doc_id: r.component_id for r in got}
+    assert all((by[i] == by[j]) for i in sets for j in sets if want[i] == want[j])
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (60, 100)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
