@@ -65,6 +65,25 @@ def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], count: str, hot: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key
+    and says in ``count`` how many of ``rows`` have it. Keys of more than
+    ``hot`` rows are few: they are broadcast, so none is one task's work."""
+    often = materialise(table.where(F.col(count) > hot).drop(count), "hot-keys")
+    rest = table.where(F.col(count) <= hot).drop(count)
+    out = rows.join(small_side(often), keys).unionByName(rows.join(small_side(often.select(keys)), keys, "left_anti").join(rest, keys))
+    return out if often.limit(1).count() else rows.join(rest, keys)
+
+
+def each_copy(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name`` numbering the copies of equal rows from 0; a row's
+    copies are laid out over many tasks."""
+    runs = df.groupBy(*df.columns).agg(F.count("*").alias("_rt_n"))
+    lows = F.explode(F.expr("sequence(0L, _rt_n - 1, 4096L)"))
+    runs = runs.withColumn("_rt_lo", lows).repartition(*df.columns, "_rt_lo")
+    return runs.withColumn(name, F.explode(F.expr("sequence(_rt_lo, least(_rt_lo + 4095L, _rt_n - 1))"))).select(*df.columns, name)
+
+
 def buckets_for(rows: int, each: int = 500) -> int:
     """Buckets so that one of them holds about ``each`` rows."""
     return max(1, math.ceil(rows / each))

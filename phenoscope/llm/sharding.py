@@ -11,7 +11,7 @@ Defined results
     null text counts as no bytes; null metadata sorts first; rows with equal
     text stay in one shard unless the group weighs more than both the heaviest
     document and ``GROUP_SHARE`` of a leaf, in which case it is dealt in pieces
-    of about that weight; repeated rows are separate rows; an empty table gives
+    of about that weight, equal rows included; an empty table gives
     an empty result; further columns are carried along, and internal names
     start with ``_kd_``.
 """
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, materialise, running_total, text_or_empty
+from ._common import buckets_for, each_copy, join_skewed, materialise, running_total, small_side, text_or_empty
 
 #: Bytes that each document costs besides its text.
 ROW_BYTES = 16
@@ -35,10 +35,13 @@ LIGHT = 0.04
 BINS, SLACK = 512, 0.004
 
 
-def _prefix_number(name: str) -> Column:
-    """A number that sorts like the first six bytes of a string."""
-    digits = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(-1.0))
+def with_rank(df: DataFrame, name: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the place of column ``name`` among its distinct
+    values in order, -1 for null."""
+    # the window sorts distinct values only, not rows
+    ranks = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)))
+    ranks = materialise(ranks, f"kd-rank-{name}")
+    return df.join(small_side(ranks), name, "left").withColumn(out, F.coalesce(F.col(out).cast("double"), F.lit(-1.0))).select(*df.columns, out)
 
 
 def _search(points: DataFrame, state: dict[int, dict], dims: list[str], slack: float) -> list[tuple]:
@@ -147,11 +150,14 @@ def kd_shards(df: DataFrame, weight: str, dims: dict[str, Column], group: list[s
     # at most 1 / GROUP_SHARE * leaves groups can be heavier than the limit
     heavy = base.groupBy(*group).agg(F.sum("_kd_w0").alias("_kd_gw")).where(F.col("_kd_gw") > limit)
     heavy = heavy.select(*group, F.ceil(F.col("_kd_gw") / limit).cast("int").alias("_kd_n"))
-    salt = F.pmod(F.hash(*[c for c in df.columns if c not in group]), F.coalesce("_kd_n", F.lit(1)))
-    rows = base.join(F.broadcast(heavy), group, "left").withColumn("_kd_piece", salt).drop("_kd_n")
+    heavy = materialise(heavy, "kd-heavy")
+    light = base.join(F.broadcast(heavy), group, "left_anti").select(*base.columns, F.lit(0).alias("_kd_piece"))
+    copies = each_copy(base.join(F.broadcast(heavy), group).select(*base.columns, "_kd_n"), "_kd_copy")
+    dealt = F.pmod(F.hash(*[c for c in df.columns if c not in group], "_kd_copy"), "_kd_n")  # equal rows part by their copy number
+    rows = materialise(light.unionByName(copies.select(*base.columns, dealt.alias("_kd_piece"))), "kd-rows")
 
     tie = F.shiftrightunsigned(F.xxhash64(*group, "_kd_piece"), 12).cast("double") / float(1 << 52)
-    points = rows.groupBy(*group, "_kd_piece").agg(F.sum("_kd_w0").alias("_kd_w"), *[F.min(n).alias(n) for n in names])
+    points = rows.groupBy(*group, "_kd_piece").agg(F.sum("_kd_w0").alias("_kd_w"), F.count("*").alias("_kd_rows"), *[F.min(n).alias(n) for n in names])
     points = materialise(points.withColumn("_kd_tie", tie), "kd-points").withColumn("_kd_node", F.lit(0))
 
     spark = df.sparkSession
@@ -177,9 +183,10 @@ def kd_shards(df: DataFrame, weight: str, dims: dict[str, Column], group: list[s
             .withColumn("_kd_node", F.when(F.col("next").isNull(), F.col("_kd_node")).when(left, F.col("next")).otherwise(F.col("next") + 1))
             .drop("dim", "v", "t", "v2", "t2", "next")
         )
+        points = materialise(points, "kd-level")
     places = spark.createDataFrame(list(first.items()), "_kd_node int, shard int")
-    placed = points.join(F.broadcast(places), "_kd_node").select(*group, "_kd_piece", "shard")
-    return rows.join(placed, [*group, "_kd_piece"]).select(*df.columns, "shard")
+    placed = points.join(F.broadcast(places), "_kd_node").select(*group, "_kd_piece", "shard", "_kd_rows")
+    return join_skewed(rows, placed, [*group, "_kd_piece"], "_kd_rows").select(*df.columns, "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
@@ -192,10 +199,11 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_text_hash"),
-        _prefix_number("source").alias("_source"),
-        _prefix_number("lang").alias("_lang"),
+        F.col("source").alias("_source_name"),
+        F.col("lang").alias("_lang_name"),
     )
     meta = materialise(meta, "kd-meta")
+    meta = with_rank(with_rank(meta, "_source_name", "_source"), "_lang_name", "_lang").drop("_source_name", "_lang_name")
     # not the size: every leaf needs light documents to come out even
     dims = {"source": F.col("_source"), "lang": F.col("_lang"), "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
     placed = kd_shards(meta, "size", dims, ["text_crc32", "_text_hash", "size"], leaves=shards)

@@ -89,6 +89,14 @@ def test_mixed_texts_of_null_and_repeated_ids(spark):
     assert all(abs(by[r.source] - r.target) <= 1 for r in mix)
 
 
+def test_mixture_of_nothing_and_of_many_sources(spark):
+    assert mixing.mix_documents(documents(spark, [])).collect() == []
+    data = [(i, "word " * 40, "xx", f"s{i:05d}", 1) for i in range(2000)]
+    got = mixing.mix_documents(documents(spark, data), block=16, shards=3).collect()
+    assert len(got) == 2000 and sum(r.taken for r in got) == pytest.approx(1.5 * 80_000, rel=0.02)
+    assert all(r.taken <= 80 for r in got)
+
+
 # sharding
 
 
@@ -118,6 +126,16 @@ def test_even_shards_and_heavy_groups(spark):
     assert len(sizes) == 10 and max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_repeated_rows_are_dealt_and_sources_may_share_a_prefix(spark):
+    data = [(7, "again and again " * 4, "xx", "source_01", 1)] * 400 + [(i, f"text {i:05d} of its own " * 3, "xx", f"source_{i % 9}", 1) for i in range(100, 500)]
+    got = sharding.shard_documents(documents(spark, data), 8).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 800 and len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert sharding.shard_documents(documents(spark, []), 8).collect() == []
+
+
 # near-duplicates
 
 
@@ -224,9 +242,37 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0, 5, 256).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(v) for v in rng.integers(-5, 5, 4) * 10.0**12], 0) for i in range(60)] + [(60, [1e300, 0.0, 0.0, 0.0], 0), (61, [1e300, 1.0, 0.0, 0.0], 0)]
+    data += [(100 + i, [float(v) for v in rng.integers(-9, 9, 4) * 2.0**25 + 1], 0) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = topk.exact_top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0, 5, 256).collect()
+    top = (1 << 63) - 1
+    cut = lambda v: max(-top - 1, min(top, v))
+    ints = {i: [cut(int(np.floor(256 * v)) if abs(v) < 1e17 else int(256 * v)) for v in e] for i, e, _ in data}
+    want = set()
+    for q in (0, 50, 100, 150):
+        scored = sorted((-cut(sum(a * b for a, b in zip(ints[q], ints[c]))), c) for c in ints if c != q)
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:5])}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
+
+
 # languages
 
 
+def test_more_languages_than_one_block(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = ["".join(rng.sample(letters, 4)) for _ in range(300)]
+    data = [(n * 3 + k, " ".join("".join(rng.choice(kind) for _ in range(5)) for _ in range(40)), f"l{n:03d}", "s", 1) for n, kind in enumerate(kinds) for k in range(3)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(documents(spark, data)).collect()}
+    learned = {d[2] for d in data if zlib.crc32(str(d[0]).encode()) % 5}
+    assert np.mean([got[d[0]] == d[2] for d in data if d[2] in learned]) > 0.9
+
+
 def test_languages(spark):
     got = {r.doc_id: r for r in langid.identify(with_clashes(documents(spark))).collect()}
     truth = {d[0]: d[2] for d in rows()}
@@ -337,6 +383,11 @@ def test_classifier(spark):
     left = quality.kept_documents(docs, model)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in got if r.kept)
+    clash = docs.withColumns({"score": F.lit("own"), "_c_x": F.lit("own"), "text_score": F.lit("own")})
+    scored = quality.with_scores(clash, model)
+    assert scored.where("_c_x = 'own' and score between 0 and 1").count() == len(data)
+    long = documents(spark, [(1, "word " * 200_000, "xx", "s", 1), (None, "x" * 200_000, None, None, None)])
+    assert quality.score_documents(long, labels(spark, known)).count() == 2
     plain = quality.score_documents(documents(spark), labels(spark, []))
     assert {(r.score, r.kept) for r in plain.collect()} == {(0.5, True)}
     assert quality.score_documents(documents(spark, []), labels(spark)).collect() == []
