@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels, series, stats
 
@@ -92,20 +94,78 @@ class Drift:
         return ((0.0, 1.0, 0, 0) if status == 2 else state), status
 
 
+    def steps(self, score: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Statuses of many series at once (rows: series, columns: time), each
+        from the start; the same rules as ``step``."""
+        n = len(score)
+        mean, std = np.full(n, self.START[0]), np.full(n, self.START[1])
+        counter, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        out = np.zeros(score.shape, np.int32)
+        for k in range(score.shape[1]):
+            s, v, warming = score[:, k], valid[:, k], seen < self.warm
+            far = s > mean + self.drift * std
+            calm = s <= mean + self.warning * std
+            counter = np.where(v, np.where(far & ~warming, counter + 1, 0), counter)
+            drifted = far & (counter >= self.run)
+            status = np.where(drifted, 2, np.where(~far & ~calm, 1, 0))
+            status = np.where(v, np.where(warming, 3, status), 0)
+            moved = v & (calm | warming)
+            gap = np.where(moved, s - mean, 0.0)
+            mean = mean + self.alpha * gap
+            std = np.where(moved, np.sqrt((1 - self.alpha) * std**2 + self.alpha * gap**2), std)
+            seen = seen + v
+            anew = status == 2
+            mean, std = np.where(anew, 0.0, mean), np.where(anew, 1.0, std)
+            counter, seen = np.where(anew, 0, counter), np.where(anew, 0, seen)
+            out[:, k] = status
+        return out
+
+
+#: Rows whose series are stepped together.
+STEP_ROWS = 50_000
+
+
 def drift_statuses(df: DataFrame, keys: list[str], order: list[str], score: str, valid: str, detector: Drift | None = None) -> DataFrame:
     """Batch form: every row of a key, in order, with its ``status``."""
     detector = detector or Drift()
-    types = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = Drift.START, []
-        for s, v in zip(pdf[score], pdf[valid]):
-            state, status = detector.step(state, float(s) if v else 0.0, bool(v))
-            out.append(status)
-        return pdf[[*keys, *order]].assign(status=np.array(out, np.int32))
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*keys, *order)) + ", status int")
+    names = [*keys, *order]
+
+    def judged(table: pa.Table) -> pa.Table:
+        changed = np.zeros(len(table), bool)
+        for k in keys:
+            codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+            changed[1:] |= codes[1:] != codes[:-1]
+        lane = np.cumsum(changed)
+        first = np.concatenate(([0], np.flatnonzero(changed)))
+        place = np.arange(len(lane)) - first[lane]
+        s, v = np.zeros((len(first), place.max() + 1)), np.zeros((len(first), place.max() + 1), bool)
+        ok = np.nan_to_num(table[valid].to_numpy(zero_copy_only=False).astype(float)) > 0
+        s[lane, place] = np.where(ok, np.nan_to_num(table[score].to_numpy(zero_copy_only=False).astype(float)), 0.0)
+        v[lane, place] = ok
+        return table.select(names).append_column("status", pa.array(detector.steps(s, v)[lane, place], pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < STEP_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = [table[k][-1] for k in keys]
+            cut = len(table) - 1
+            while cut and all(table[k][cut - 1] == x for k, x in zip(keys, last)):
+                cut -= 1
+            if cut:
+                yield from judged(table.slice(0, cut)).to_batches()
+            held, count = table.slice(cut).to_batches(), len(table) - cut
+        if count:
+            yield from judged(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    rows = df.select(*names, score, valid)
+    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("status", T.IntegerType())])
+    return rows.repartition(*keys).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def frame_shifts(df: DataFrame, frame: str, value: str, height: int, width: int, upsample: int = 10) -> DataFrame:
@@ -127,6 +187,3 @@ def frame_shifts(df: DataFrame, frame: str, value: str, height: int, width: int,
         return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "dy": [dy], "dx": [dx]})
 
     return nxt.unionByName(own).groupBy("pair").applyInPandas(shift, "pair long, dy double, dx double")
-
-
-Batches = Iterator[pd.DataFrame]

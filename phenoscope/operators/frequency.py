@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import with_group
+
 
 def spectrum(df: DataFrame, keys: list[str], t: str, y: str, freqs: list[float]) -> DataFrame:
     """``k`` (from 1) and ``amp`` of the centred series at each frequency. The
     grid is exploded per row and summed before the shuffle, so the shuffle
     carries one row a key, frequency and task."""
-    centred = df.select(*keys, t, (F.col(y) - F.avg(y).over(Window.partitionBy(*keys))).alias("_v"))
+    means = df.groupBy(*keys).agg(F.avg(y).alias("_mean"))
+    centred = with_group(df.select(*keys, t, y), means, keys).select(*keys, t, (F.col(y) - F.col("_mean")).alias("_v"))
     grid = F.posexplode(F.array(*[F.lit(f) for f in freqs])).alias("_k", "_f")
     rows = centred.select(*keys, t, "_v", grid)
     angle = 2 * math.pi * F.col("_f") * F.col(t)

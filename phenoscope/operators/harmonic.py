@@ -90,33 +90,77 @@ def sliding_baseline(df: DataFrame, keys: list[str], t: str, y: str, valid: str,
     return _per_series(df, keys, [t], series, "change_at double, n_fits long, rmse double")
 
 
-def harmonized(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window: float = 3.0, least: int = 12, widest: float = 5.0, periods=PERIODS, factor: float = 3.0, run: int = 4, floor: float = 1e-5, linear: bool = True, quadratic: bool = False) -> DataFrame:
+def _trailing_fits(tt: np.ndarray, yy: np.ndarray, window: float, least: int, widest: float, periods, linear: bool, quadratic: bool, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the observations that have a trailing window, and for each
+    the prediction and the fit's error. All windows are differences of running
+    sums of one design, solved together; those near singular one by one."""
+    i = np.arange(len(tt))
+    lo = np.searchsorted(tt, tt - window)
+    short = i - lo < least
+    lo = np.where(short, i - least, lo)
+    fine = (tt - tt[0] >= window) & (lo >= 0) if len(tt) else np.zeros(0, bool)
+    fine &= ~short | (tt - tt[np.maximum(lo, 0)] <= widest)
+    i, lo = i[fine], lo[fine]
+    if not len(i):
+        return i, np.zeros(0), np.zeros(0)
+    a = kernels.harmonics(tt - tt.mean(), list(periods), linear, quadratic)
+    sums = lambda x: np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, 0)))
+    part = lambda x: (s := sums(x))[i] - s[lo]
+    g, b, q, n = part(a[:, :, None] * a[:, None]), part(a * yy[:, None]), part(yy**2), i - lo
+    sound = (np.linalg.cond(g) < 1e8) & (n > a.shape[1])
+    predicted, square = np.zeros(len(i)), np.zeros(len(i))
+    if sound.any():
+        c = np.linalg.solve(g[sound], b[sound][..., None])[..., 0]
+        predicted[sound] = (a[i[sound]] * c).sum(1)
+        square[sound] = q[sound] - 2 * (c * b[sound]).sum(1) + np.einsum("ni,nij,nj->n", c, g[sound], c)
+    for k in np.flatnonzero(~sound):
+        own = kernels.harmonics(tt[lo[k] : i[k] + 1] - tt[i[k]], list(periods), linear, quadratic)
+        coef, rmse = kernels.least_squares(own[:-1], yy[lo[k] : i[k]])
+        predicted[k], square[k] = own[-1] @ coef, rmse**2 * n[k]
+    return i, predicted, np.maximum(np.sqrt(np.maximum(square, 0) / n), floor)
+
+
+def harmonized_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window: float = 3.0, least: int = 12, widest: float = 5.0, periods=PERIODS, factor: float = 3.0, run: int = 4, floor: float = 1e-5, linear: bool = True, quadratic: bool = False) -> DataFrame:
     """Refits for every valid observation on the trailing ``window`` years (or
     the last ``least`` observations, if they span no more than ``widest``).
-    Anomalies beyond ``factor`` times the error count in rows of valid
-    observations; each one from the ``run``-th on counts as a change."""
+    Per row: ``predicted`` and ``rmse`` (null without a fit), ``anomaly``
+    (beyond ``factor`` times the error), ``streak`` (anomalies in a row of
+    fitted observations) and ``change`` (the streak has reached ``run``)."""
+
+    def series(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok = np.flatnonzero(pdf[valid].to_numpy(bool))
+        tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
+        i, predicted, rmse = _trailing_fits(tt[ok], yy[ok], window, least, widest, periods, linear, quadratic, floor)
+        at = ok[i]
+        odd = np.abs(yy[at] - predicted) > factor * rmse
+        count = np.cumsum(odd)
+        streak = count - np.maximum.accumulate(np.where(odd, 0, count)) if len(i) else count
+        out = pd.DataFrame({t: tt, y: yy, "predicted": np.nan, "rmse": np.nan, "anomaly": False, "streak": 0, "change": False})
+        for name, values in (("predicted", predicted), ("rmse", rmse), ("anomaly", odd), ("streak", streak), ("change", streak >= run)):
+            out.loc[at, name] = values
+        return out.astype({"predicted": object, "rmse": object}).where(out.notna(), None)
+
+    return _per_series(df, keys, [t], series, f"{t} double, {y} double, predicted double, rmse double, anomaly boolean, streak long, change boolean")
+
+
+def harmonized(df: DataFrame, keys: list[str], t: str, y: str, valid: str, run: int = 4, **options) -> DataFrame:
+    """Per series what ``harmonized_rows`` finds: the time its first change
+    begins, the number of observations in a change, and the mean error."""
+    window, least, widest = options.get("window", 3.0), options.get("least", 12), options.get("widest", 5.0)
+    periods, factor, floor = options.get("periods", PERIODS), options.get("factor", 3.0), options.get("floor", 1e-5)
+    terms = options.get("linear", True), options.get("quadratic", False)
 
     def series(pdf: pd.DataFrame) -> dict:
         ok = pdf[valid].to_numpy(bool)
         tt, yy = pdf[t].to_numpy(float)[ok], pdf[y].to_numpy(float)[ok]
-        hits, count, first, errors = 0, 0, None, []
-        for i in range(len(tt)):
-            if tt[i] - tt[0] < window:
-                continue
-            lo = int(np.searchsorted(tt, tt[i] - window))
-            if i - lo < least:
-                lo = i - least
-                if lo < 0 or tt[i] - tt[lo] > widest:
-                    continue
-            a = kernels.harmonics(tt[lo : i + 1] - tt[i], list(periods), linear, quadratic)
-            coef, rmse = kernels.least_squares(a[:-1], yy[lo:i])
-            rmse = max(rmse, floor)
-            errors.append(rmse)
-            hits = hits + 1 if abs(yy[i] - a[-1] @ coef) > factor * rmse else 0
+        i, predicted, rmse = _trailing_fits(tt, yy, window, least, widest, periods, *terms, floor)
+        hits, count, first = 0, 0, None
+        for k, odd in zip(i, np.abs(yy[i] - predicted) > factor * rmse):
+            hits = hits + 1 if odd else 0
             if hits >= run:
                 count += 1
-                first = float(tt[i - run + 1]) if first is None else first
-        return {"change_at": first, "change_count": count, "mean_rmse": float(np.mean(errors)) if errors else None}
+                first = float(tt[k - run + 1]) if first is None else first
+        return {"change_at": first, "change_count": count, "mean_rmse": float(rmse.mean()) if len(i) else None}
 
     return _per_series(df, keys, [t], series, "change_at double, change_count long, mean_rmse double")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import ensure_checkpoints
+
 
 def bbox_intersects(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Closed boxes ``(x0, y0, x1, y1)``: touching counts."""
@@ -53,6 +53,13 @@ def greedy_pairs(left: DataFrame, right: DataFrame, time: str, id: str, reach: i
     row still free. The candidates are found by a distributed join; only
     their assignment, which depends on order, runs inside a key's group."""
     pairs = asof_interval(left, right, time, reach, keys)
+    # nothing beyond a gap of more than twice the reach between left rows can
+    # want the same right row: each stretch without such a gap is a group
+    w = Window.partitionBy(*[f"l_{k}" for k in keys]).orderBy(f"l_{time}", f"l_{id}")
+    firsts = pairs.select(*[f"l_{k}" for k in keys], f"l_{time}", f"l_{id}").distinct()
+    fresh = F.coalesce(F.col(f"l_{time}") - F.lag(f"l_{time}").over(w) > 2 * reach, F.lit(True))
+    stretch = firsts.withColumn("_fresh", fresh.cast("long")).withColumn("_s", F.sum("_fresh").over(w)).drop("_fresh", f"l_{time}")
+    pairs = pairs.join(stretch, [*[f"l_{k}" for k in keys], f"l_{id}"])
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(gap=(pdf[f"l_{time}"] - pdf[f"r_{time}"]).abs())
@@ -65,7 +72,7 @@ def greedy_pairs(left: DataFrame, right: DataFrame, time: str, id: str, reach: i
                 rows.append((a, b, gap))
         return pd.DataFrame(rows, columns=["left_id", "right_id", "gap"]).astype("int64")
 
-    return pairs.groupBy(*[f"l_{k}" for k in keys]).applyInPandas(assign, "left_id long, right_id long, gap long")
+    return pairs.groupBy(*[f"l_{k}" for k in keys], "_s").applyInPandas(assign, "left_id long, right_id long, gap long")
 
 
 def closest(df: DataFrame, distance: Column, id: str, keys: list[str]) -> DataFrame:
@@ -105,13 +112,13 @@ def overlapping_boxes(boxes: DataFrame, id: str, cell: float, share: float) -> D
     return both.where(here & (w >= 0) & (h >= 0) & (cover >= share)).select(F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b"), cover.alias("cover"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id, component``: the smallest id reachable over ``a``-``b`` edges, by
     passing labels until none changes. Each round's labels are checkpointed."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    _ensure_checkpoints(edges)
+    ensure_checkpoints(edges)
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         # and the label of the label, which halves long chains
@@ -119,18 +126,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         step = step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old").checkpoint()
         labels = step.select("id", "component")
         if step.where("component < old").isEmpty():
-            break
-    return labels
-
-
-def _ensure_checkpoints(df: DataFrame) -> None:
-    """``spark.checkpoint.dir`` of the session, or a temporary folder where it
-    is unset (local runs)."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="phenoscope-"))
+            return labels
 
 
 def nearest_in_radius(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
@@ -157,6 +153,3 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key: the first in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-Rows = Iterator[pd.DataFrame]

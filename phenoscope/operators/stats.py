@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Median absolute deviation to standard deviation of a normal variable.
@@ -24,6 +24,49 @@ def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: floa
     return counts.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) * width))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 4096, keep: int = 20_000) -> list[float | None]:
+    """Quantiles with linear interpolation, as ``percentile`` gives them, of all
+    non-null values. Histograms narrow the range of each rank down to at most
+    ``keep`` values (or equal ones), which the driver sorts: no task gathers
+    the distinct values."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    ranks = sorted({f(s * (n - 1)) for s in shares for f in (math.floor, math.ceil)})
+    found: dict[int, float] = {}
+    todo = [(low, high, 0, n, ranks)]  # value range, values before it, values in it, ranks
+    while todo:
+        small = [t for t in todo if t[3] <= keep or t[0] == t[1]]
+        wide = [t for t in todo if t not in small]
+        for lo, hi, before, count, wanted in small:
+            if lo == hi:
+                found |= dict.fromkeys(wanted, lo)
+            else:
+                values = sorted(r["v"] for r in rows.where(F.col("v").between(lo, hi)).collect())
+                found |= {r: values[r - before] for r in wanted}
+        todo = []
+        if wide:
+            # one pass for all ranges that are still wide
+            spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t[0]).alias("lo"), F.lit(t[1]).alias("hi")) for i, t in enumerate(wide)])
+            at = rows.select("v", F.explode(F.filter(spans, lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("s"))
+            place = F.least(F.floor((F.col("v") - F.col("s.lo")) / (F.col("s.hi") - F.col("s.lo")) * bins), F.lit(bins - 1))
+            cells = at.groupBy(F.col("s.i").alias("i"), place.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("i", "b").collect()
+            for i, (_, _, before, _, wanted) in enumerate(wide):
+                upto = before
+                for c in (c for c in cells if c["i"] == i):
+                    here = [r for r in wanted if upto <= r < upto + c["m"]]
+                    if here:
+                        todo.append((c["a"], c["z"], upto, c["m"], here))
+                    upto += c["m"]
+    out = []
+    for s in shares:
+        at = s * (n - 1)
+        lo, hi = found[math.floor(at)], found[math.ceil(at)]
+        out.append(lo if lo == hi else lo * (math.ceil(at) - at) + hi * (at - math.floor(at)))
+    return out
+
+
 def scale_factor(df: DataFrame, keys: list[str], x: str, y: str, digits: int) -> DataFrame:
     ratio = F.col(y) / F.nullif(F.col(x), F.lit(0.0))
     xy, xx = F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))
@@ -33,9 +76,9 @@ def scale_factor(df: DataFrame, keys: list[str], x: str, y: str, digits: int) ->
 def quantile_pairs(a: DataFrame, b: DataFrame, value: str, digits: int) -> DataFrame:
     """Percentiles 1 to 99 of two samples side by side."""
     shares = [i / 100 for i in range(1, 100)]
-    q = lambda d, n: d.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q")).select(F.posexplode("q").alias("i", n))
-    both = q(a, "qa").join(q(b, "qb"), "i")
-    return both.select((F.col("i") + 1).alias("p"), F.round("qa", digits).alias("qa"), F.round("qb", digits).alias("qb"))
+    rows = [(i + 1, x, y) for i, (x, y) in enumerate(zip(exact_quantiles(a, value, shares), exact_quantiles(b, value, shares)))]
+    both = a.sparkSession.createDataFrame(rows, "p int, qa double, qb double")
+    return both.select("p", F.round("qa", digits).alias("qa"), F.round("qb", digits).alias("qb"))
 
 
 def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -56,8 +99,8 @@ def difference_report(df: DataFrame, keys: list[str], a: str, b: str, digits: in
 
 def contamination(df: DataFrame, value: str, share: float) -> DataFrame:
     """Flags what lies above the percentile that leaves ``share``."""
-    limit = F.broadcast(df.agg(F.percentile(value, F.lit(1 - share)).alias("_q")))  # one row
-    return df.join(limit).withColumn("flag", F.col(value) > F.col("_q")).drop("_q")
+    limit = exact_quantiles(df, value, [1 - share])[0]
+    return df.withColumn("flag", F.col(value) > F.lit(limit).cast("double"))
 
 
 def mad_sigma(df: DataFrame, keys: list[str], value: str, floor: float = 1e-6) -> DataFrame:
@@ -125,6 +168,3 @@ def discrete_bound(spark: SparkSession, total: int) -> DataFrame:
     a = spark.range(total + 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(total) - F.col("id"))).alias("b"))
     c = total - F.col("a") - F.col("b")
     return a.agg((F.max(F.pow(F.col("a") + F.col("b"), F.lit(2)) * (F.col("a") + 4 * F.col("b") + 3 * c)) / float(total) ** 3).alias("squared"))
-
-
-Expression = Column

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import with_group
+
 
 def log_zscore(df: DataFrame, value: str, keys: list[str], valid: Column | None = None, least: int = 1, score: str = "valid", out: str = "z", strict: bool = False) -> DataFrame:
     """``(ln v - mean) / sd`` over the rows of ``keys`` that are valid and
     positive (sd with n - 1). Null where fewer than ``least`` rows take part or
     they are all equal; ``strict`` raises on the latter. ``score='positive'``
-    also scores positive rows that are not valid."""
-    w = Window.partitionBy(*keys)
+    also scores positive rows that are not valid. The statistics are sums before
+    the shuffle, so a key may hold any share of the rows."""
     positive = F.coalesce(F.col(value) > 0, F.lit(False))
     used = positive if valid is None else positive & F.coalesce(valid, F.lit(False))
     # ln of a non-positive value must never be asked for
     log = F.ln(F.when(positive, F.col(value)))
     counted = F.when(used, log)
-    mean, sd, n = F.avg(counted).over(w), F.stddev_samp(counted).over(w), F.count(counted).over(w)
+    stats = df.groupBy(*keys).agg(F.avg(counted).alias("_mean"), F.stddev_samp(counted).alias("_sd"), F.count(counted).alias("_n"))
+    mean, sd, n = F.col("_mean"), F.col("_sd"), F.col("_n")
     scored = log if score == "positive" else counted
     flat = F.raise_error(F.lit("constant group")).cast("double") if strict else F.lit(None).cast("double")
     z = F.when((n >= max(least, 2)) & (sd == 0), flat).otherwise((scored - mean) / F.nullif(sd, F.lit(0.0)))
-    return df.withColumn(out, F.when(n >= least, z))
+    return with_group(df, stats, keys).withColumn(out, F.when(n >= least, z)).drop("_mean", "_sd", "_n")
 
 
 def interval_coverage(df: DataFrame, keys: list[str], z: str, bound: float = 1.645) -> DataFrame:

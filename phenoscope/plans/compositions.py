@@ -36,13 +36,13 @@ def mos03_nearest_reprojection(spark, sf_dir):
     return at.join(g, ["y", "x"]).select("ty", "tx", "v")
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events WHERE user_id % 29 = 0 AND event_type = 'click' GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(CAST(ts AS DATE)) FROM events) AS TIMESTAMP), CAST((SELECT max(CAST(ts AS DATE)) FROM events) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day),
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(CAST(ts AS DATE)) FROM events) AS TIMESTAMP), CAST((SELECT max(CAST(ts AS DATE)) FROM events) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day),
  j AS (SELECT s.day, (SELECT max(d.day) FROM d WHERE d.day <= s.day) AS a, (SELECT min(d.day) FROM d WHERE d.day >= s.day) AS b FROM s)
  SELECT CAST(j.day AS VARCHAR) AS day, round(CASE WHEN a IS NULL THEN y.v WHEN b IS NULL OR a = b THEN x.v ELSE x.v + (y.v - x.v) * (j.day - a) / (b - a) END, 6) AS v FROM j LEFT JOIN d x ON x.day = a LEFT JOIN d y ON y.day = b""")
 def fn18_daily_gap_fill(spark, sf_dir):
     """Daily means on a whole calendar: gaps filled linearly, ends held."""
     ev = table(spark, sf_dir, "events")
-    daily = ev.where("user_id % 29 = 0 and event_type = 'click'").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    daily = ev.where("event_type = 'click'").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
     spine = ev.agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).alias("d")).select(F.explode("d").alias("day"))
     rows = spine.join(daily, "day", "left").withColumn("n", F.unix_date("day"))
     w = Window.orderBy("n")  # one row a day

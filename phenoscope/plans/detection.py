@@ -131,6 +131,12 @@ def hrm06_harmonic_ccd(spark, sf_dir):
     return harmonic.harmonized(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", factor=1.2, run=3)
 
 
+@query()
+def hrm06_prediction_rows(spark, sf_dir):
+    """Prediction, error and flags of every observation."""
+    return harmonic.harmonized_rows(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", factor=1.2, run=3)
+
+
 @query()
 def hrm07_configuration_sweep(spark, sf_dir):
     """Mean error and changes for several sets of terms, by full setting."""

@@ -241,11 +241,11 @@ def spx15_spx16_norm_and_reduction(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(spectral.scalar_reduction(v), 12).alias("reduced"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 12).alias("total"))
 
 
-@query("""WITH c AS (SELECT unnest(range(0, 64)) AS code), v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 20)
+@query("""WITH c AS (SELECT unnest(range(0, 64)) AS code), v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
  SELECT vec_id, CAST(code AS INTEGER) AS code, round((code & 1) * e[1] + ((code >> 1) & 1) * e[2] + ((code >> 2) & 1) * e[3] + ((code >> 3) & 1) * e[4] + ((code >> 4) & 1) * e[5] + ((code >> 5) & 1) * e[6], 7) AS vertex FROM v, c""")
 def spx22_parallelotope_vertices(spark, sf_dir):
     """Sums of all subsets of the spanning vectors (here one component)."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", F.slice("embedding", 1, 6).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("code"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 6).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("code"))
     bits = F.transform("e", lambda x, i: x.cast("double") * F.expr("0") + F.when(F.getbit(F.col("code").cast("long"), i.cast("int")) == 1, x.cast("double")).otherwise(0.0))
     return v.select("vec_id", "code", F.round(F.aggregate(bits, F.lit(0.0), lambda s, x: s + x), 7).alias("vertex"))
 

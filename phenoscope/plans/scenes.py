@@ -109,10 +109,10 @@ def src13_paired_files(spark, sf_dir):
     return metadata.paired_files(files, "path").select("stem", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("""SELECT user_id, event_type AS category, event_id, value FROM events WHERE user_id < 20""")
+@query("""SELECT user_id, event_type AS category, event_id, value FROM events""")
 def src19_pixel_json(spark, sf_dir):
     """Nested ``{category: {key: value}}`` texts flattened to rows."""
-    ev = table(spark, sf_dir, "events").where("user_id < 20")
+    ev = table(spark, sf_dir, "events")
     inner = ev.groupBy("user_id", "event_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), "value"))).alias("m"))
     text = inner.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "m")))).alias("js"))
     return metadata.flatten_pixels(text, "js", ["user_id"]).select("user_id", "category", F.col("key").cast("long").alias("event_id"), "value")

@@ -142,12 +142,12 @@ def grp06_tile_id(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.split(item, r"\.")[2].alias("tile")).distinct()
 
 
-_FUSED = "SELECT 'order' AS grid, o_orderkey AS local_idx, o_orderdate AS ts FROM orders WHERE o_custkey % 10 = 0 UNION ALL SELECT 'ship' AS grid, l_orderkey * 100 + l_linenumber AS local_idx, min(l_shipdate) AS ts FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2"
+_FUSED = "SELECT 'order' AS grid, o_orderkey AS local_idx, o_orderdate AS ts FROM orders UNION ALL SELECT 'ship' AS grid, l_orderkey * 100 + l_linenumber AS local_idx, min(l_shipdate) AS ts FROM lineitem GROUP BY 1, 2"
 
 
 def _timeline(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select(F.lit("order").alias("grid"), F.col("o_orderkey").alias("local_idx"), F.col("o_orderdate").alias("ts"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("local_idx")).agg(F.min("l_shipdate").alias("ts"))
+    a = table(spark, sf_dir, "orders").select(F.lit("order").alias("grid"), F.col("o_orderkey").alias("local_idx"), F.col("o_orderdate").alias("ts"))
+    b = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("local_idx")).agg(F.min("l_shipdate").alias("ts"))
     return a.unionByName(b.select(F.lit("ship").alias("grid"), "local_idx", "ts"))
 
 
@@ -158,9 +158,9 @@ def jn01_timeline(spark, sf_dir):
     return series.chronological(rows, ["y"], ["ts", "grid", "local_idx"], "frame_idx").select("grid", "local_idx", F.col("frame_idx").cast("long").alias("frame_idx"), "y")
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, o_orderdate, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, o_orderdate, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def jn02_provenance(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "o_orderdate", "o_orderstatus")
 
 
@@ -201,13 +201,13 @@ def jn05_closest_frame(spark, sf_dir):
     return joins.closest(_events(spark, sf_dir).select("user_id", "event_id", "us"), F.abs(F.col("us") - aim), "event_id", ["user_id"]).select("user_id", "event_id")
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS aod FROM events WHERE event_type = 'click' AND user_id % 7 = 0 GROUP BY 1),
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS aod FROM events WHERE event_type = 'click' GROUP BY 1),
  t AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), p AS (SELECT t.day, d.day AS used, d.aod, row_number() OVER (PARTITION BY t.day ORDER BY abs(t.day - d.day), d.day) AS n FROM t, d)
  SELECT CAST(day AS VARCHAR) AS day, CAST(used AS VARCHAR) AS used, round(aod, 6) AS aod FROM p WHERE n = 1""")
 def jn06_exact_or_nearest_day(spark, sf_dir):
     """The day's value, else the nearest day's; both sides are calendars."""
     ev = table(spark, sf_dir, "events")
-    d = ev.where("event_type = 'click' and user_id % 7 = 0").groupBy(F.to_date("ts").alias("used")).agg(F.avg("value").alias("aod"))
+    d = ev.where("event_type = 'click'").groupBy(F.to_date("ts").alias("used")).agg(F.avg("value").alias("aod"))
     days = ev.select(F.to_date("ts").alias("day")).distinct()
     calendar = d.agg(F.array_sort(F.collect_list(F.struct("used", "aod"))).alias("c"))  # one entry a day
     best = F.array_min(F.transform("c", lambda x: F.struct(F.abs(F.datediff(F.col("day"), x["used"])).alias("g"), x["used"].alias("used"), x["aod"].alias("aod"))))
@@ -244,10 +244,10 @@ def mos01_last_valid(spark, sf_dir):
     return raster.mosaic(rows, ["user_id", "event_type"], "value", ["event_id"]).where("value is not null")
 
 
-@query("SELECT user_id, coalesce(min(m) FILTER (WHERE m <> 255), 255) AS m FROM (SELECT user_id, CASE WHEN value < 30 THEN 255 WHEN value < 60 THEN 0 ELSE 1 END AS m FROM events WHERE event_id % 40 = 0) GROUP BY 1")
+@query("SELECT user_id, coalesce(min(m) FILTER (WHERE m <> 255), 255) AS m FROM (SELECT user_id, CASE WHEN value < 30 THEN 255 WHEN value < 60 THEN 0 ELSE 1 END AS m FROM events) GROUP BY 1")
 def mos02_mask_mosaic(spark, sf_dir):
     m = F.when(F.col("value") < 30, 255).when(F.col("value") < 60, 0).otherwise(1)
-    return raster.mosaic_mask(table(spark, sf_dir, "events").where("event_id % 40 = 0").select("user_id", m.alias("m")), ["user_id"], "m", 255)
+    return raster.mosaic_mask(table(spark, sf_dir, "events").select("user_id", m.alias("m")), ["user_id"], "m", 255)
 
 
 @query("SELECT DISTINCT event_type FROM events")

@@ -189,3 +189,84 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "p")).where("user_id = 7").select("user_id", "value")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,7)" in plan and "other" not in plan
+
+
+def test_prediction_rows_are_those_of_single_fits(spark):
+    import numpy as np
+
+    from phenoscope.operators import harmonic, kernels
+
+    rng = np.random.default_rng(4)
+    data = []
+    for key, n in ((1, 120), (2, 14), (3, 0), (4, 40)):
+        t = np.sort(rng.uniform(2000, 2009, n))
+        y = np.sin(2 * np.pi * t) + 0.1 * rng.normal(size=n)
+        y[n // 2 : n // 2 + 4] += 4
+        data += [(key, float(a), float(b), bool(rng.random() > 0.1)) for a, b in zip(t, y)]
+    df = spark.createDataFrame(data, "k int, t double, v double, ok boolean")
+    got = {(r.k, r.t): r for r in harmonic.harmonized_rows(df, ["k"], "t", "v", "ok", run=2).collect()}
+    assert len(got) == len(data)
+    fitted = 0
+    for key in (1, 2, 4):
+        rows = sorted(d for d in data if d[0] == key)
+        use = [d for d in rows if d[3]]
+        tt, yy = np.array([d[1] for d in use]), np.array([d[2] for d in use])
+        streak = 0
+        for i, d in enumerate(use):
+            lo = int(np.searchsorted(tt, tt[i] - 3))
+            lo = lo if i - lo >= 12 else i - 12
+            r = got[key, d[1]]
+            if tt[i] - tt[0] < 3 or lo < 0 or (i - lo == 12 and tt[i] - tt[lo] > 5):
+                assert r.predicted is None and r.rmse is None and not r.anomaly
+                continue
+            a = kernels.harmonics(tt[lo : i + 1] - tt[i], list(harmonic.PERIODS))
+            coef, rmse = kernels.least_squares(a[:-1], yy[lo:i])
+            assert r.predicted == pytest.approx(a[-1] @ coef, abs=1e-6) and r.rmse == pytest.approx(max(rmse, 1e-5), rel=1e-5)
+            streak = streak + 1 if abs(yy[i] - a[-1] @ coef) > 3 * max(rmse, 1e-5) else 0
+            assert (r.streak, r.anomaly, r.change) == (streak, streak > 0, streak >= 2)
+            fitted += 1
+        assert all(got[d[0], d[1]].predicted is None for d in rows if not d[3])
+    assert fitted > 60
+
+
+def test_drift_of_many_series_is_that_of_each(spark):
+    import numpy as np
+
+    from phenoscope.operators.detect import Drift, drift_statuses
+
+    rng, detector = np.random.default_rng(8), Drift(warm=5)
+    data = [(k, i, float(rng.exponential() * (5 if i > 30 else 1)), bool(rng.random() > 0.15)) for k in range(40) for i in range(int(rng.integers(1, 60)))]
+    data += [(None, i, 1.0, True) for i in range(3)] + [(50, 0, None, None)]
+    df = spark.createDataFrame(data, "k int, i int, s double, ok boolean").repartition(3)
+    got = {(r.k, r.i): r.status for r in drift_statuses(df, ["k"], ["i"], "s", "ok", detector).collect()}
+    for key in {d[0] for d in data}:
+        state = Drift.START
+        for _, i, s, v in sorted((d for d in data if d[0] == key), key=lambda d: d[1]):
+            state, status = detector.step(state, s if v else 0.0, bool(v))
+            assert got[key, i] == status
+    assert drift_statuses(df.limit(0), ["k"], ["i"], "s", "ok").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["spread", "lumps", "one"])
+def test_exact_quantiles(spark, kind):
+    import numpy as np
+
+    from phenoscope.operators.stats import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    x = {"spread": rng.lognormal(0, 6, 3000), "lumps": rng.integers(0, 5, 3000) * 1.0, "one": np.full(10, 3.5)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    shares = [0.0, 0.013, 0.5, 0.98, 1.0]
+    assert exact_quantiles(df, "v", shares, bins=16, keep=50) == pytest.approx(np.quantile(x, shares).tolist())
+    assert exact_quantiles(df.limit(0), "v", shares) == [None] * 5
+
+
+def test_scores_of_null_keys(spark):
+    import math
+
+    from phenoscope.operators.zscore import log_zscore
+
+    df = spark.createDataFrame([(None, 1.0), (None, math.e), ("a", 2.0), ("a", None), ("a", -1.0)], "k string, v double")
+    got = log_zscore(df, "v", ["k"]).collect()
+    assert len(got) == 5
+    assert sorted(r.z for r in got if r.z is not None) == pytest.approx([-(0.5**0.5), 0.5**0.5])
