@@ -71,7 +71,14 @@ def det05_coherence(spark, sf_dir):
     return n.where("n >= 2").select("y", "x", F.round("c", 7).alias("coherence"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, value / 100 AS s, event_id % 7 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS m, CAST(1e-5 AS DOUBLE) AS sd, 0 AS c, 0 AS k, -1 AS st FROM events UNION ALL
+ SELECT user_id, n, CASE WHEN st = 2 THEN 0 ELSE m2 END, CASE WHEN st = 2 THEN 1 ELSE sd2 END, CASE WHEN st = 2 THEN 0 ELSE c2 END, CASE WHEN st = 2 THEN 0 ELSE k2 END, st FROM (
+  SELECT user_id, n, c2, k + CAST(ok AS INTEGER) AS k2, CASE WHEN NOT ok THEN 0 WHEN warming THEN 3 WHEN far AND c2 >= 3 THEN 2 WHEN NOT far AND NOT calm THEN 1 ELSE 0 END AS st,
+   CASE WHEN ok AND (calm OR warming) THEN m + 5e-2 * (s - m) ELSE m END AS m2, CASE WHEN ok AND (calm OR warming) THEN sqrt(95e-2 * sd * sd + 5e-2 * (s - m) * (s - m)) ELSE sd END AS sd2 FROM (
+   SELECT *, CASE WHEN NOT ok THEN c WHEN far AND NOT warming THEN c + 1 ELSE 0 END AS c2 FROM (
+    SELECT e.user_id, e.n, e.s, e.ok, r.m, r.sd, r.c, r.k, r.k < 20 AS warming, e.s > r.m + 3 * r.sd AS far, e.s <= r.m + 2 * r.sd AS calm FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))))
+ SELECT e.user_id, ts, event_id, st AS status FROM r JOIN e USING (user_id, n)""")
 def det06_ema_drift(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") / 100).alias("score"), (F.col("event_id") % 7 != 0).alias("ok"))
     return detect.drift_statuses(rows, ["user_id"], ["ts", "event_id"], "score", "ok")
@@ -91,7 +98,7 @@ def det09_outlier_pixels(spark, sf_dir):
     return stats.contamination(g, "s", 0.2).select("user_id", F.col("flag").alias("outlier"), "at")
 
 
-@query()
+@query("""SELECT 5 * r + f AS pair, -1e0 AS dy, -2e0 AS dx FROM (SELECT DISTINCT p_partkey // 900 AS r FROM part), (SELECT unnest(range(1, 4)) AS f)""")
 def det11_frame_shifts(spark, sf_dir):
     """Rasters of 900 parts, each against itself, moved by one row and two columns
     a frame; numbers of frames leave one out between rasters."""
@@ -205,9 +212,14 @@ def frq06_sparse_log(spark, sf_dir):
     return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v", "cirl")
 
 
-@query()
+@query("""WITH s AS (SELECT o_custkey % 150 AS pixel, o_totalprice / 1e5 AS v, year(o_orderdate) + CAST(epoch_us(o_orderdate) - epoch_us(make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0)) AS DOUBLE)
+  / (epoch_us(make_timestamp(year(o_orderdate) + 1, 1, 1, 0, 0, 0)) - epoch_us(make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0))) AS t FROM orders),
+ c AS (SELECT pixel, t, v - avg(v) OVER (PARTITION BY pixel) AS z, count(*) OVER (PARTITION BY pixel) AS n FROM s), f AS (SELECT unnest(range(1, 61)) * 2e-1 AS f),
+ a AS (SELECT pixel, n, f, 2 * sqrt(pow(sum(z * cos(2 * pi() * f * t)), 2) + pow(sum(z * sin(2 * pi() * f * t)), 2)) / n AS amp FROM c, f GROUP BY 1, 2, 3)
+ SELECT pixel, CASE WHEN n >= 10 THEN round(max_by(f, amp), 6) END AS frequency, CASE WHEN n >= 10 THEN round(max(amp), 6) END AS amplitude FROM a GROUP BY pixel, n""")
 def frq07_pooled_frequency(spark, sf_dir):
-    return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v")
+    got = harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v")
+    return got.select("pixel", F.round("frequency", 6).alias("frequency"), F.round("amplitude", 6).alias("amplitude"))
 
 
 @query()

@@ -130,9 +130,12 @@ def agg19_mad_sigma(spark, sf_dir):
     return stats.mad_sigma(table(spark, sf_dir, "events"), ["user_id"], "value").withColumn("sigma", F.round("sigma", 6))
 
 
-@query()
+@query("""WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -2e-1) AS h FROM events GROUP BY 1),
+ c AS (SELECT event_type, floor(value / (500e0 / 4096)) AS c, count(value) AS m, avg(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT unnest(range(0, 51)) * 10e0 AS x)
+ SELECT event_type, x AS at, round(sum(m * exp(-pow((x - v) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM c JOIN s USING (event_type), g GROUP BY 1, 2""")
 def agg09_kernel_density(spark, sf_dir):
-    return stats.kernel_density(table(spark, sf_dir, "events"), ["event_type"], "value", 0.0, 500.0, 51)
+    got = stats.kernel_density(table(spark, sf_dir, "events"), ["event_type"], "value", 0.0, 500.0, 51)
+    return got.select("event_type", F.col("at"), F.round("density", 8).alias("density"))
 
 
 @query()
