@@ -76,6 +76,29 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM w
+        ), sizes AS (SELECT doc_id, len(s) AS n FROM s),
+        flat AS (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+            FROM flat a JOIN flat b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * common >= 85 * (x.n + y.n - common)
+        ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+            SELECT a AS id, b AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other
+        ), low AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)
+        SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+        FROM sizes LEFT JOIN low ON id = doc_id
+    """,
     "op5_exact_top_k": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
