@@ -202,14 +202,18 @@ def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tup
     sketches = items.select("id", "sig")
     rows, ready, links = materialise(sketches.mapInArrow(roots, "node long, id long"), "paths-1"), [], []
     for level in range(1, LEVELS + 1):
-        large = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where(F.col("n") > node_rows), "paths-large")
+        # dealt by node once; most nodes hold one document, which goes no further
+        rows = rows.repartition("node")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
+        sized = materialise(rows.join(sizes, "node"), f"paths-{level}-sized")
+        ready.append(sized.where(F.col("n") <= node_rows).select("node", "id"))
+        large = materialise(sized.where(F.col("n") > node_rows).drop("n"), "paths-large")
         if large.isEmpty():
-            ready.append(rows)
             break
-        side = small_side(large)
-        ready.append(rows.join(side.select("node"), "node", "left_anti"))
-        pivots = materialise(large.join(sketches.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot"), "paths-pivots")
-        big = rows.join(small_side(pivots, BROADCAST_ROWS), "node").join(sketches, "id").select("node", "id", "pivot", "sig", "pivot_sig")
+        pivots = large.select("node", "pivot").distinct().join(sketches.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot")
+        pivots = materialise(pivots.select("node", "pivot_sig"), "paths-pivots")
+        # ids travel to the sketches where they are few, not the other way
+        big = sketches.join(small_side(large), "id").join(small_side(pivots, BROADCAST_ROWS), "node").select("node", "id", "pivot", "sig", "pivot_sig")
         tested = materialise(big.mapInArrow(against, "node long, id long, pivot long, near boolean"), "paths-tested")
         links.append(tested.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         far = materialise(tested.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0"), "paths-far")
@@ -219,7 +223,8 @@ def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tup
         if level == LEVELS:
             ready.append(_in_blocks(rows.select("node", "id", "n"), "node", "id", F.ceil(F.col("n") / F.lit(node_rows))).drop("n"))
         else:
-            again = rows.join(sketches, "id").select("node", "id", "sig")
+            rows = materialise(rows.select("node", "id"), "paths-open")
+            again = sketches.join(small_side(rows), "id").select("node", "id", "sig")
             rows = materialise(again.mapInArrow(deeper(level), "node long, id long"), f"paths-{level + 1}")
     empty = items.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, links, empty)
@@ -401,7 +406,9 @@ def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int
     twins = materialise(sketched.groupBy("g0", "g1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "dup-twins")
     alike = sketched.join(small_side(twins), ["g0", "g1"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     alike = materialise(alike, "dup-alike")
-    heads = items.join(small_side(alike.select(F.col("a").alias("id"))), "id", "left_anti")
+    heads = items.select("id", "sig")
+    if not alike.isEmpty():
+        heads = materialise(heads.join(small_side(alike.select(F.col("a").alias("id"))), "id", "left_anti"), "dup-heads")
 
     nodes, links = _grow(heads, trees, threshold, node_rows)
     clusters = components(_candidates(nodes, heads, threshold).unionByName(links).unionByName(alike))
