@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import complexity, stats
+from ..operators import complexity, extremes, stats
 from .registry import query, table
 
 
@@ -47,7 +47,7 @@ def spx10_first_two_and_area(spark, sf_dir):
 
 @query()
 def spx11_volume_curve(spark, sf_dir):
-    return complexity.volume_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7)
+    return extremes.volume_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7)
 
 
 @query()
@@ -70,7 +70,7 @@ def spx13_localisations(spark, sf_dir):
 def spx17_frame_volumes(spark, sf_dir):
     """A frame is a source of vectors here: ten bands of each."""
     rows = _tiles(spark, sf_dir).select((F.col("vec_id") % 4).alias("frame_idx"), "vec_id", F.slice("embedding", 1, 10).alias("s"))
-    return complexity.volume_curves(rows, ["frame_idx"], "vec_id", "s", 7, "datasetMean")
+    return extremes.volume_curves(rows, ["frame_idx"], "vec_id", "s", 7, "datasetMean")
 
 
 @query()
