@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -35,3 +36,14 @@ def with_group(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
         side = F.broadcast(side)
     same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(side[f"_k_{k}"]) for k in keys))
     return df.join(side, same).drop(*[f"_k_{k}" for k in keys])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet where checkpoints go, and read back: its
+    lineage is cut and lost executors cost nothing. ``checkpoint()`` would
+    compute it twice."""
+    ensure_checkpoints(df)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

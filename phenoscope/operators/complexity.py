@@ -19,30 +19,9 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
-def extreme_spectra(df: DataFrame, keys: list[str], id: str, spectrum: str, count: int, method: str = "projection", clip: str = "none") -> DataFrame:
-    """Per tile the ids of its extreme spectra: ``rank`` (from 0), ``id``. A
-    tile is one group in one task; invalid pixels (null spectra) are left out,
-    and a tile with fewer than ``count`` valid ones gives no rows. Ties go to
-    the smaller id. ``method``: ``projection``, ``unit`` or ``hull``."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id, kind="stable")
-        x = _stack(pdf[spectrum])
-        if clip == "legacy":
-            x = kernels.clip_legacy(x)
-        if len(x) < count:
-            return pdf.iloc[:0][keys].assign(rank=np.int32(0), id=np.int64(0))
-        at = kernels.farthest_from_hull(x, count) if method == "hull" else kernels.max_distance(x[None], count, unit=method == "unit")[0]
-        out = pdf.iloc[[0] * len(at)][keys].reset_index(drop=True)
-        return out.assign(rank=np.arange(len(at), dtype=np.int32), id=pdf[id].to_numpy()[at])
-
-    rows = df.where(F.col(spectrum).isNotNull() & ~F.exists(spectrum, lambda v: v.isNull() | F.isnan(v)))
-    return rows.select(*keys, id, spectrum).groupBy(*keys).applyInPandas(pick, _schema(df, keys) + "rank int, id long")
-
-
 def volume_curves(df: DataFrame, keys: list[str], id: str, spectrum: str, count: int, origin: str = "minEndmember", by_bands: bool = True, gram: bool = False) -> DataFrame:
-    """Per tile or frame the volumes of its extreme spectra: ``m`` (from 1),
-    ``volume``."""
+    """Per tile the volumes of its extreme spectra: ``m`` (from 1), ``volume``. A
+    tile is one group in one task; ``extremes`` takes frames of any size."""
 
     def curve(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _stack(pdf.sort_values(id, kind="stable")[spectrum])[None]
@@ -131,17 +110,25 @@ def sliding_complexity(df: DataFrame, keys: list[str], spectrum: str, size: int,
     return parts.groupBy(*keys, "y", "x").agg((F.sum("total") / F.sum("n")).alias("complexity"))
 
 
-def functional_complexity(df: DataFrame, keys: list[str], id: str, spectrum: str, low: float = 400.0, high: float = 2500.0) -> DataFrame:
+def functional_complexity(df: DataFrame, keys: list[str], spectrum: str, low: float = 400.0, high: float = 2500.0) -> DataFrame:
     """Spread of the spectra of each key as functions of wavelength; the bands
-    lie evenly between ``low`` and ``high``."""
-
-    def value(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _stack(pdf.sort_values(id)[spectrum])
-        waves = np.linspace(low, high, x.shape[1])
-        w = np.gradient(waves)
-        return pdf.iloc[:1][keys].assign(value=kernels.functional_complexity(x, waves, w / w.sum(), low=low, high=high))
-
-    return df.select(*keys, id, spectrum).groupBy(*keys).applyInPandas(value, _schema(df, keys) + "value double")
+    lie evenly between ``low`` and ``high``. The spline coefficients, scaled by
+    their inner product, are fixed sums of the bands, so the spread is the sum
+    of their variances: one aggregate, a key is no single task's work. Spectra
+    that are null, hold a null or NaN, or differ in length from the most
+    frequent one are left out; a key of one spectrum has 0."""
+    valid = df.where(F.col(spectrum).isNotNull() & ~F.exists(spectrum, lambda v: v.isNull() | F.isnan(v)))
+    length = valid.groupBy(F.size(spectrum).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    bands = length["n"] if length else 2
+    waves = np.linspace(low, high, bands)
+    gaps = np.gradient(waves)
+    parts = [
+        F.aggregate(F.zip_with(spectrum, F.array(*[F.lit(float(w)) for w in row]), lambda v, w: v.cast("double") * w), F.lit(0.0), lambda s, v: s + v)
+        for row in kernels.functional_weights(waves, gaps / gaps.sum(), low=low, high=high)
+    ]
+    rows = valid.where(F.size(spectrum) == bands).select(*keys, *[c.alias(f"_f{i}") for i, c in enumerate(parts)])
+    spread = sum((F.coalesce(F.var_samp(f"_f{i}"), F.lit(0.0)) for i in range(1, len(parts))), F.coalesce(F.var_samp("_f0"), F.lit(0.0)))
+    return rows.groupBy(*keys).agg(F.sqrt(spread).alias("value"))
 
 
 def smoothed_spectra(df: DataFrame, id: str, spectrum: str, window: int = 15, degree: int = 3) -> DataFrame:

@@ -48,6 +48,23 @@ def max_distance(x: np.ndarray, count: int, valid: np.ndarray | None = None, uni
     return out
 
 
+def steps_until(ends: np.ndarray, stop: float) -> int:
+    """How many extreme spectra were found before the direction between the
+    last two, the earlier directions projected out, came to a squared length of
+    ``stop``."""
+    dirs, steps = [], min(2, len(ends))
+    for k in range(2, len(ends)):
+        way = ends[k - 1] - ends[k - 2]
+        for u in dirs:
+            way = way - u * (way @ u)
+        norm = way @ way
+        if norm <= stop:
+            break
+        dirs += [way / np.sqrt(norm)] if norm > TINY else []
+        steps += 1
+    return steps
+
+
 def farthest_from_hull(x: np.ndarray, count: int, stop: float = 0.0) -> np.ndarray:
     """Extreme spectra of one set by distance to the affine hull of those found
     (longest first, then the farthest); fewer if the distance squared falls to
@@ -263,6 +280,17 @@ def functional_complexity(spectra: np.ndarray, waves: np.ndarray, weights: np.nd
     return float(np.sqrt(np.trace(z.T @ z) / max(1, len(z) - 1)))
 
 
+def functional_weights(waves: np.ndarray, weights: np.ndarray, splines: int = 6, ridge: float = 1e-4, low: float = 400.0, high: float = 2500.0) -> np.ndarray:
+    """The matrix ``(splines, bands)`` that takes a spectrum to the coefficients
+    whose summed variances are the squared ``functional_complexity``."""
+    grid = np.linspace(low, high, 1001)
+    basis = b_splines(waves, splines, low, high)
+    fit = np.linalg.solve(basis.T @ (weights[:, None] * basis) + ridge * np.eye(splines), (weights[:, None] * basis).T)
+    on_grid = b_splines(grid, splines, low, high)
+    inner = np.trapezoid(on_grid[:, :, None] * on_grid[:, None], grid, axis=0) / (high - low)
+    return np.linalg.cholesky(inner + TINY * np.eye(splines)).T @ fit
+
+
 def b_splines(x: np.ndarray, count: int, low: float, high: float, degree: int = 3) -> np.ndarray:
     inner = np.linspace(low, high, count - degree + 1)
     knots = np.concatenate([[low] * degree, inner, [high] * degree])

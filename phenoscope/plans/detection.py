@@ -110,8 +110,9 @@ def det11_frame_shifts(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    """Orders of a customer as a pixel's series."""
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("pixel"), "o_orderdate", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("v"))
+    """Orders of ten neighbouring customers as a pixel's series: its length stays
+    what it is, however many customers there are."""
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 10).alias("pixel"), "o_orderdate", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("v"))
     return rows.select("pixel", time.fractional_year(F.col("o_orderdate")).alias("t"), "v", (F.col("o_orderkey") % 11 != 0).alias("ok"))
 
 
@@ -212,7 +213,7 @@ def frq06_sparse_log(spark, sf_dir):
     return harmonic.pooled_frequencies(_series(spark, sf_dir), ["pixel"], "t", "v", "cirl")
 
 
-@query("""WITH s AS (SELECT o_custkey % 150 AS pixel, o_totalprice / 1e5 AS v, year(o_orderdate) + CAST(epoch_us(o_orderdate) - epoch_us(make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0)) AS DOUBLE)
+@query("""WITH s AS (SELECT o_custkey // 10 AS pixel, o_totalprice / 1e5 AS v, year(o_orderdate) + CAST(epoch_us(o_orderdate) - epoch_us(make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0)) AS DOUBLE)
   / (epoch_us(make_timestamp(year(o_orderdate) + 1, 1, 1, 0, 0, 0)) - epoch_us(make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0))) AS t FROM orders),
  c AS (SELECT pixel, t, v - avg(v) OVER (PARTITION BY pixel) AS z, count(*) OVER (PARTITION BY pixel) AS n FROM s), f AS (SELECT unnest(range(1, 61)) * 2e-1 AS f),
  a AS (SELECT pixel, n, f, 2 * sqrt(pow(sum(z * cos(2 * pi() * f * t)), 2) + pow(sum(z * sin(2 * pi() * f * t)), 2)) / n AS amp FROM c, f GROUP BY 1, 2, 3)

@@ -14,22 +14,22 @@ def _tiles(spark, sf_dir):
 
 @query()
 def spx01_maxd_tile(spark, sf_dir):
-    return complexity.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7)
+    return extremes.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7)
 
 
 @query()
 def spx05_maxd_legacy_clip(spark, sf_dir):
-    return complexity.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, clip="legacy")
+    return extremes.extreme_spectra(extremes.clip_legacy(_tiles(spark, sf_dir), ["label"], "embedding"), ["label"], "vec_id", "embedding", 7)
 
 
 @query()
 def spx06_maxd_unit(spark, sf_dir):
-    return complexity.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, method="unit")
+    return extremes.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, unit=True)
 
 
 @query()
 def spx08_maxd_affine_hull(spark, sf_dir):
-    return complexity.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, method="hull")
+    return extremes.extreme_spectra(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, hull=True)
 
 
 @query("""WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, round(list_inner_product(e, e), 9) AS q FROM e),
@@ -52,30 +52,27 @@ def spx11_volume_curve(spark, sf_dir):
 
 @query()
 def spx10_gram_volume_curve(spark, sf_dir):
-    return complexity.volume_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, gram=True)
+    return extremes.volume_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 7, gram=True)
 
 
 @query()
 def spx13_localisations(spark, sf_dir):
     """The last volume for each choice of origin."""
-    out = None
-    for origin in ("zero", "datasetMean", "endmemberMean", "closestToMean", "minEndmember"):
-        v = complexity.volume_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 6, origin, by_bands=False)
-        v = v.groupBy("label").agg(F.max_by("volume", "m").alias("volume")).withColumn("origin", F.lit(origin))
-        out = v if out is None else out.unionByName(v)
-    return out
+    origins = ["zero", "datasetMean", "endmemberMean", "closestToMean", "minEndmember"]
+    v = extremes.localised_curves(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding", 6, origins, by_bands=False)
+    return v.groupBy("label", "origin").agg(F.max_by("volume", "m").alias("volume")).select("label", "volume", "origin")
 
 
 @query()
 def spx17_frame_volumes(spark, sf_dir):
-    """A frame is a source of vectors here: ten bands of each."""
-    rows = _tiles(spark, sf_dir).select((F.col("vec_id") % 4).alias("frame_idx"), "vec_id", F.slice("embedding", 1, 10).alias("s"))
+    """Four frames, dealt by number."""
+    rows = _tiles(spark, sf_dir).select((F.col("vec_id") % 4).alias("frame_idx"), "vec_id", F.col("embedding").alias("s"))
     return extremes.volume_curves(rows, ["frame_idx"], "vec_id", "s", 7, "datasetMean")
 
 
 @query()
 def spx19_functional_complexity(spark, sf_dir):
-    return complexity.functional_complexity(_tiles(spark, sf_dir), ["label"], "vec_id", "embedding")
+    return complexity.functional_complexity(_tiles(spark, sf_dir), ["label"], "embedding")
 
 
 @query("""WITH g AS (SELECT label, arg_max(vec_id, embedding[1]) AS hi, max(embedding[1]) AS hv, min(embedding[1]) AS lv FROM embeddings GROUP BY 1) (SELECT label, hv AS v, 'top' AS side FROM g ORDER BY hv DESC LIMIT 3) UNION ALL (SELECT label, lv, 'bottom' FROM g ORDER BY lv LIMIT 3)""")

@@ -6,7 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenoscope.operators import extremes, kernels, stacks
+from phenoscope.operators import complexity, extremes, kernels, stacks
+
+
+@pytest.fixture(params=[0, extremes.WHOLE_ROWS])
+def whole(request, monkeypatch):
+    """All frames by steps, then all of them whole in a task."""
+    monkeypatch.setattr(extremes, "WHOLE_ROWS", request.param)
 
 
 def cloud(spark, x, extra=()):
@@ -15,7 +21,7 @@ def cloud(spark, x, extra=()):
 
 
 @pytest.mark.parametrize("unit", [False, True])
-def test_extreme_spectra(spark, unit):
+def test_extreme_spectra(spark, whole, unit):
     x = np.random.default_rng(3).random((300, 9))
     x[50] = x[10]  # a repeated spectrum
     extra = [(1, 900, None), (1, 901, [float("nan")] * 9), (None, 5, [9.0] * 9), (2, 7, [1.0] * 9)]
@@ -25,7 +31,7 @@ def test_extreme_spectra(spark, unit):
 
 
 @pytest.mark.parametrize("origin", ["zero", "datasetMean", "endmemberMean", "closestToMean", "minEndmember"])
-def test_volume_curves(spark, origin):
+def test_volume_curves(spark, whole, origin):
     x = np.random.default_rng(5).random((80, 12))
     got = extremes.volume_curves(cloud(spark, x), ["k"], "id", "s", 6, origin).orderBy("m").collect()
     ends = x[kernels.max_distance(x[None], 6)[0]][None]
@@ -34,7 +40,7 @@ def test_volume_curves(spark, origin):
     assert [r.volume for r in got] == pytest.approx(want.tolist(), rel=1e-9, abs=1e-15)
 
 
-def test_projected_volumes(spark):
+def test_projected_volumes(spark, whole):
     x = np.random.default_rng(6).random((60, 8))
     got = [r.volume for r in extremes.projected_volumes(cloud(spark, x), ["k"], "id", "s", 5).orderBy("m").collect()]
     ends = x[kernels.max_distance(x[None], 5)[0]]
@@ -45,7 +51,43 @@ def test_projected_volumes(spark):
     assert got == pytest.approx([0.0] * 5, abs=1e-5)
 
 
-def test_extremes_of_nothing(spark):
+def test_farthest_from_hull(spark, whole):
+    x = np.random.default_rng(8).random((120, 9))
+    got = extremes.extreme_spectra(cloud(spark, x), ["k"], "id", "s", 7, hull=True).orderBy("rank").collect()
+    assert [r.id for r in got] == kernels.farthest_from_hull(x, 7).tolist()
+    line = np.outer(np.arange(1, 9), np.ones(4))  # two ends span it, nothing is left
+    got = extremes.extreme_spectra(cloud(spark, line), ["k"], "id", "s", 4, hull=True).orderBy("rank").collect()
+    assert [r.id for r in got] == [7, 0]
+
+
+@pytest.mark.parametrize("low, high", [(-0.5, 0.9), (-0.5, 3.0), (0.1, 1.7), (0.1, 0.9)])
+def test_clip_legacy(spark, low, high):
+    x = np.random.default_rng(9).uniform(low, high, (40, 5))
+    got = extremes.clip_legacy(cloud(spark, x, [(1, 99, None)]), ["k"], "s").orderBy("id").collect()
+    assert [r.s for r in got] == kernels.clip_legacy(x).tolist()
+
+
+def test_functional_complexity(spark):
+    x = np.random.default_rng(10).random((90, 31))
+    waves = np.linspace(400, 2500, 31)
+    w = np.gradient(waves)
+    want = kernels.functional_complexity(x, waves, w / w.sum())
+    rows = cloud(spark, x, [(1, 99, None), (1, 98, [float("nan")] * 31), (1, 97, [1.0]), (2, 96, [0.5] * 31)])
+    got = {r.k: r.value for r in complexity.functional_complexity(rows, ["k"], "s").collect()}
+    assert got[1] == pytest.approx(want, rel=1e-9)
+    assert got[2] == 0.0
+    assert complexity.functional_complexity(rows.where("false"), ["k"], "s").count() == 0
+
+
+def test_extreme_sets_of_both_kinds(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.random((50, 6)), rng.random((30, 6))
+    rows = cloud(spark, x, [(2, i, v.tolist()) for i, v in enumerate(y)])
+    got = {r.k: r.picks for r in extremes.extreme_sets(rows, ["k"], "id", "s", 5, whole=40).collect()}
+    assert got == {1: kernels.max_distance(x[None], 5)[0].tolist(), 2: kernels.max_distance(y[None], 5)[0].tolist()}
+
+
+def test_extremes_of_nothing(spark, whole):
     assert extremes.extreme_spectra(cloud(spark, np.zeros((0, 3))), ["k"], "id", "s", 3).count() == 0
 
 
