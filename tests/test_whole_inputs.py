@@ -15,7 +15,7 @@ from .test_operators import plain_sliding
 
 registry.load()
 
-#: Pixels of the fixture; most lie above any bound that the queries ever had.
+#: Pixels of the fixture, ten customers each; most lie above any bound that the queries ever had.
 PIXELS = (3, 12, 25, 35, 70, 149)
 
 
@@ -24,7 +24,7 @@ def orders(spark, tmp_path_factory):
     rng, rows = np.random.default_rng(5), []
     for p in PIXELS:
         days = rng.choice(2400, 40, replace=False)
-        rows += [(len(rows) + i, p, datetime.datetime(1992, 1, 1) + datetime.timedelta(int(d)), float(1e5 * (2 + np.cos(2 * np.pi * d / 365.25) + 0.3 * rng.normal()))) for i, d in enumerate(days)]
+        rows += [(len(rows) + i, 10 * p + i % 10, datetime.datetime(1992, 1, 1) + datetime.timedelta(int(d)), float(1e5 * (2 + np.cos(2 * np.pi * d / 365.25) + 0.3 * rng.normal()))) for i, d in enumerate(days)]
     folder = str(tmp_path_factory.mktemp("orders"))
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
     return folder
