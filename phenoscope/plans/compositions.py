@@ -25,13 +25,14 @@ def frq09_integer_spectrum(spark, sf_dir):
     return frequency.integer_spectrum(rows, ["user_id"], "p", "value", 16).select("user_id", "k", F.round("amp", 3).alias("amp"))
 
 
-@query("""WITH g AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS y, CAST(p_partkey % 50 AS INTEGER) AS x, p_retailprice AS v FROM part), t AS (SELECT unnest(range(0, 20)) AS tx), u AS (SELECT tx, unnest(range(0, 15)) AS ty FROM t)
+@query("""WITH g AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS y, CAST(p_partkey % 50 AS INTEGER) AS x, p_retailprice AS v FROM part), t AS (SELECT unnest(range(0, 22)) AS tx), u AS (SELECT tx, unnest(range(0, 1 + CAST(floor((SELECT max(y) + 1e-1 FROM g) / 23e-1) AS BIGINT))) AS ty FROM t)
  SELECT CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, v FROM u JOIN g ON g.x = CAST(round_even(tx * 23e-1 + 4e-1, 0) AS INTEGER) AND g.y = CAST(round_even(ty * 23e-1 + 4e-1, 0) AS INTEGER)""")
 def mos03_nearest_reprojection(spark, sf_dir):
-    """A raster onto a coarser grid, nearest pixel."""
+    """A raster onto a coarser grid that covers it, nearest pixel."""
     k = F.col("p_partkey")
     g = table(spark, sf_dir, "part").select(F.floor(k / 50).cast("int").alias("y"), (k % 50).cast("int").alias("x"), F.col("p_retailprice").alias("v"))
-    cells = spark.range(300).select(F.floor(F.col("id") / 20).cast("int").alias("ty"), (F.col("id") % 20).cast("int").alias("tx"))
+    rows = g.agg(F.floor((F.max("y") + 0.1) / 2.3).cast("int").alias("last")).select(F.explode(F.sequence(F.lit(0), "last")).alias("ty"))
+    cells = rows.repartition("ty").select("ty", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("tx"))
     at = cells.select("ty", "tx", raster.to_pixel(F.col("tx") * 2.3 + 0.4, 0.0, 1.0).alias("x"), raster.to_pixel(F.col("ty") * 2.3 + 0.4, 0.0, 1.0).alias("y"))
     return at.join(g, ["y", "x"]).select("ty", "tx", "v")
 
