@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, langid, mixing, neardup, packing, quality, rules, sharding, tokencount, topk
+from . import anchors, arrowfile, importance, langid, mixing, neardup, packing, quality, rules, sharding, tokencount, topk
 from .tokens import public_path
 
 SEQUENCE, END_ID = 1024, 2
@@ -59,6 +59,16 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = anchors.remove_repeats(_documents(spark, sf_dir), window=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return importance.resample(_documents(spark, sf_dir), target, percent=10, min_words=20, seed=2024, buckets=10_000, low=1, high=1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +82,8 @@ QUERIES = {
         op8_quality_classifier,
         op9_quality_rules,
         op10_kd_sharding,
+        op11_anchor_dedup,
+        op12_importance_resampling,
     )
 }
 
@@ -115,4 +127,56 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_anchor_dedup": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w)
+        ), judged AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS repeated FROM windows),
+        gone AS (
+            SELECT r, list(DISTINCT k) AS k FROM (SELECT r, unnest(range(i, i + 13)) AS k FROM judged WHERE repeated) GROUP BY r
+        ), kept AS (
+            SELECT doc_id, len(w) AS n, CASE WHEN k IS NULL THEN w
+                ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(k, i)), lambda i: w[i]) END AS kept
+            FROM w LEFT JOIN gone USING (r)
+        )
+        SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept
+    """,
+    "op12_importance_resampling": r"""
+        WITH bits AS (
+            -- the reflected polynomial of crc32, a byte at a time
+            SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS steps
+            FROM (SELECT unnest(range(256)) AS i)
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), b AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f
+            FROM benchmark
+        ), f AS (SELECT r, unnest(w) AS f FROM d),
+        entries AS (
+            SELECT f, hex(encode(f)) AS x, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t
+            FROM (SELECT f, false AS target FROM f UNION ALL SELECT f, true FROM b) GROUP BY f
+        ), hashed AS (
+            SELECT f, s, t, xor(4294967295, list_reduce(
+                list_concat([4294967295], list_transform(range(len(x) // 2), lambda k: CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT))),
+                lambda c, y: xor(c // 256, bits.steps[CAST(xor(c, y) % 256 AS INTEGER) + 1]))) % 10000 AS bucket
+            FROM entries, bits
+        ), buckets AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000)
+                / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+            FROM buckets
+        ), weights AS (
+            SELECT r, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT r, doc_id, len(w) AS n, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+            FROM d LEFT JOIN weights USING (r)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (WHERE n >= 20) OVER () AS eligible FROM scored
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN n >= 20 AND k <= 10 * eligible // 100 THEN k END AS rank FROM ranked
+    """,
 }
