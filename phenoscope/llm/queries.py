@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, arrowfile, importance, langid, mixing, neardup, packing, quality, rules, sharding, tokencount, topk
+from . import alignment, anchors, arrowfile, importance, langid, mixing, neardup, packing, quality, rules, sharding, tokencount, topk
 from .tokens import public_path
 
 SEQUENCE, END_ID = 1024, 2
@@ -69,6 +69,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_documents(spark, sf_dir), target, percent=10, min_words=20, seed=2024, buckets=10_000, low=1, high=1)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_documents(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select("doc_id", *alignment.SUMS, digest.alias("groups_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +90,7 @@ QUERIES = {
         op10_kd_sharding,
         op11_anchor_dedup,
         op12_importance_resampling,
+        op13_token_alignment,
     )
 }
 
