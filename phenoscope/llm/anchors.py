@@ -10,7 +10,8 @@ around a shared anchor is hashed whole (128 bits), and the least id that has the
 window decides.
 
 How it runs
-    Anchors are made unique in each chunk of documents before they are shuffled:
+    Of texts that are equal, only that of the least id is searched; each other one
+    goes whole. Anchors are made unique in each chunk of documents before they are shuffled:
     of an anchor that several documents of a chunk have, the least and the
     greatest id stand for all, the others are already known to be shared and are
     dealt evenly. The same holds for the long windows. So a passage that a third
@@ -37,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import join_skewed, materialise
+
 WINDOW = 13
 #: For every two remainders modulo PERIOD, some shift takes both into COVER
 #: (a perfect difference set). An anchor and the largest shift fill a window.
@@ -91,7 +94,9 @@ def _salted(keys: tuple[np.ndarray, ...], ids: np.ndarray, both_ends: bool) -> t
         stands[:-1] |= first[1:]
         stands[-1] = True
     mixed = (sorted_keys[0][new_id] ^ d.view(np.uint64)) * _MULTIPLIERS[0] >> np.uint64(44)
-    return order, np.where(stands, 0, 1 + mixed.astype(np.int64)).astype(np.int32)
+    salt = np.where(stands, 0, 1 + mixed.astype(np.int64)).astype(np.int32)
+    as_read = np.argsort(order)  # a document's rows stay together, which packs well in a shuffle
+    return order[as_read], salt[as_read]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
@@ -167,12 +172,12 @@ def _cut_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, 1):
             out = []
-            cut = [r for r in chunk if r[2]]
+            cut = [r for r in chunk if r[2] and not r[3]]
             codes, row, _, left = _laid_out(cut, window)
             a = _rolled(codes, window, 0)
             starts = np.searchsorted(row, np.arange(len(cut) + 1))
             gone = {}
-            for i, (_, words, repeated) in enumerate(cut):
+            for i, (_, words, repeated, _) in enumerate(cut):
                 lo, n = starts[i], max(len(words) - window + 1, 0)
                 hit = np.flatnonzero(np.isin(a[lo : lo + n], np.array(repeated, np.int64).view(np.uint64)))
                 covered = np.zeros(len(words) + 1, np.int64)
@@ -180,8 +185,10 @@ def _cut_rows(window: int):
                 np.add.at(covered, hit + window, -1)
                 gone[i] = np.cumsum(covered)[:-1] > 0
             turn = iter(range(len(cut)))
-            for doc_id, words, repeated in chunk:
-                if repeated:
+            for doc_id, words, repeated, copy in chunk:
+                if copy and len(words) >= window:
+                    kept = []
+                elif repeated and not copy:
                     dropped = gone[next(turn)]
                     kept = [w for w, x in zip(words, dropped.tolist(), strict=True) if not x]
                 else:
@@ -193,26 +200,37 @@ def _cut_rows(window: int):
     return rows
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """``id`` and the hashes of those of its texts that a smaller id has, too."""
+    named = texts.where("text IS NOT NULL").select("id", F.md5("text").alias("name"), F.xxhash64("text").alias("hash"))
+    least = named.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("most > least")
+    least = materialise(least.drop("most"), "copies")
+    later = join_skewed(named, least, ["name"], "n").where("id > least")
+    return later.groupBy("id").agg(F.collect_set("hash").alias("copies"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words left,
     joined by one space) of every row of ``docs``."""
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    known, unknown = texts.where("id IS NOT NULL"), texts.where("id IS NULL")
+    known = texts.where("id IS NOT NULL").join(_copies(texts.where("id IS NOT NULL")), "id", "left")
+    copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
+    known, unknown = known.select("id", "text", copy.alias("copy")), texts.where("id IS NULL")
 
-    anchors = known.mapInArrow(_anchor_rows(window), "h long, salt int, id long")
+    anchors = known.where("NOT copy").select("id", "text").mapInArrow(_anchor_rows(window), "h long, salt int, id long")
     same = Window.partitionBy("h", "salt")
     shared = anchors.withColumn("other", F.max("id").over(same) > F.min("id").over(same)).where("salt <> 0 OR other")
     shared = shared.groupBy("id").agg(F.collect_list("h").alias("found"))
 
-    long = known.join(shared, "id").select("id", "text", "found").mapInArrow(_window_rows(window), "a long, b long, salt int, id long")
+    long = known.where("NOT copy").join(shared, "id").select("id", "text", "found").mapInArrow(_window_rows(window), "a long, b long, salt int, id long")
     same = Window.partitionBy("a", "b", "salt")
     repeated = long.withColumn("least", F.min("id").over(same)).where("salt <> 0 OR id > least")
     repeated = repeated.groupBy("id").agg(F.collect_list("a").alias("found"))
 
-    judged = known.join(repeated, "id", "left").select("id", "text", "found")
-    nothing = unknown.withColumn("found", F.lit(None).cast("array<long>"))
+    judged = known.join(repeated, "id", "left").select("id", "text", "found", "copy")
+    nothing = unknown.select("*", F.lit(None).cast("array<long>").alias("found"), F.lit(False).alias("copy"))
     schema = "doc_id long, n_words long, n_removed long, kept binary"
     out = judged.mapInArrow(_cut_rows(window), schema).unionByName(nothing.mapInArrow(_cut_rows(window), schema))
     return out.withColumn("kept", F.col("kept").cast("string"))
