@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from ._common import materialise, small_side, worker_cache
 from .tokens import byte_symbols
 
 #: Aligned segments that are broadcast at most.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Bytes of text, and distinct segments, that a task takes on at once.
 TASK_BYTES, TASK_SEGMENTS = 4 << 20, 40_000
 SPACE_MARK = "▁"
@@ -91,21 +92,15 @@ def _checked(paths: tuple[str, str]):
 
 
 def _encoded(paths: tuple[str, str]):
-    kinds = [("segment", pa.string()), ("n", pa.int64())] + [(c, pa.list_(pa.int32())) for c in ("a", "a_bytes", "b", "b_bytes")]
+    kinds = [("segment", pa.string()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(paths)
         for batch in batches:
-            texts, n = batch.column(0).to_pylist(), batch.column(1)
-            a, la, b, lb = [], [], [], []
-            for ids_a, ids_b, same in pair.encode(texts):
-                if not same:
-                    raise ValueError("a segment doesn't come back byte by byte")
-                a.append(ids_a)
-                la.append([len(pair.bytes_a[i]) for i in ids_a])
-                b.append(ids_b)
-                lb.append([len(pair.bytes_b[i]) for i in ids_b])
-            columns = [batch.column(0), n, *[pa.array(x, pa.list_(pa.int32())) for x in (a, la, b, lb)]]
+            a, b, same = zip(*pair.encode(batch.column(0).to_pylist()), strict=True)
+            if not all(same):
+                raise ValueError("a segment doesn't come back byte by byte")
+            columns = [batch.column(0), batch.column(1), *[pa.array(x, pa.list_(pa.int32())) for x in (a, b)]]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
 
     return rows
@@ -119,14 +114,17 @@ def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``segment, n`` of distinct segments with their ``n_a, n_b, groups``
     (as a text) and ``links`` (pairs of ids), one row each, written."""
     paths = (path_a, path_b)
-    encoded = segments.mapInArrow(_encoded(paths), "segment string, n long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    encoded = segments.mapInArrow(_encoded(paths), "segment string, n long, a array<int>, b array<int>")
     parts = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments.count() // TASK_SEGMENTS))
-    token = lambda c: F.transform(F.arrays_zip(c, f"{c}_bytes"), lambda t: F.struct(t[c].alias("id"), t[f"{c}_bytes"].alias("bytes")))
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), token(c).alias("t")) for k, c in enumerate("ab")])
-    dealt = encoded.select("segment", "n", sides.alias("sides")).repartition(parts, "segment")
-    tokens = dealt.select("segment", "n", F.inline("sides")).select("segment", "n", "side", F.posexplode("t").alias("place", "token"))
-    reached = F.sum("token.bytes").over(Window.partitionBy("segment", "side").orderBy("place"))
-    tokens = tokens.select("segment", "n", "side", F.col("token.id").alias("id"), reached.alias("end"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("ids")) for k, c in enumerate("ab")])
+    dealt = encoded.repartition(parts, "segment").select("segment", "n", F.inline(sides))
+    tokens = dealt.select("segment", "n", "side", F.posexplode("ids").alias("place", "id"))
+    # bytes of each id: two constants of the vocabularies' sizes
+    pair = _pair(paths)
+    sizes = [F.from_json(F.lit(json.dumps([len(of[i]) for i in range(len(of))])), "array<int>") for of in (pair.bytes_a, pair.bytes_b)]
+    size = F.when(F.col("side") == 0, F.get(sizes[0], F.col("id"))).otherwise(F.get(sizes[1], F.col("id")))
+    reached = F.sum(size).over(Window.partitionBy("segment", "side").orderBy("place"))
+    tokens = tokens.select("segment", "n", "side", "id", reached.alias("end"))
     # the two sides' rows of an end meet; a token without partner stays alone
     of_side = lambda k: F.max(F.when(F.col("side") == k, F.col("id")))
     ends = tokens.groupBy("segment", "end").agg(F.max("n").alias("n"), of_side(0).alias("a"), of_side(1).alias("b"))
@@ -153,8 +151,9 @@ def priced_segments(aligned: DataFrame) -> DataFrame:
     counts = links.groupBy("a", "b").agg(F.sum("n").alias("count"))
     best = F.max("count").over(Window.partitionBy("b"))  # no more rows than the first vocabulary has
     pairs = materialise(counts.withColumn("best", (F.col("count") == best).cast("long")), "pairs")
-    sums = links.join(small_side(pairs), ["a", "b"]).groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return materialise(aligned.drop("links").join(sums, "segment"), "priced")
+    told = [c for c in aligned.columns if c != "links"]
+    links = aligned.select(*told, F.inline("links")).join(small_side(pairs), ["a", "b"])
+    return materialise(links.groupBy(*told).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "priced")
 
 
 def _least_frequent(entries: DataFrame) -> int:
