@@ -131,5 +131,22 @@ def _bucket_starts(sums: DataFrame, keys: list[str], b: str, off: str, start: st
     return sums.join(tops, [*keys, wide]).select(*keys, b, (F.col(first) + F.coalesce(F.sum(off).over(inside), F.lit(0))).alias(start))
 
 
+def ranked(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``rows`` (written ones) with their place in ``order``, from 1: a sort by
+    ranges, places in each range, and the rows of the ranges before it. Let
+    ``order`` end with what tells equal rows apart, so they can be divided."""
+    spark, at = rows.sparkSession, "_rt_at"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = materialise(placed, "ranked")  # the upper bits are the range, the lower ones the place in it
+    part, inside = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    total, before = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each range
+        before.append((r["part"], total))
+        total += r["count"]
+    starts = spark.createDataFrame(before, "_rt_part long, _rt_before long")
+    return placed.join(F.broadcast(starts), part == F.col("_rt_part")).withColumn(out, F.col("_rt_before") + inside + 1).select(*rows.columns, out)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

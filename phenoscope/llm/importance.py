@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, ranked
 
 BUCKETS, PERCENT, MIN_WORDS, SEED = 10_000, 10, 20, 2024
 #: Entries of the dictionary that are broadcast at most.
@@ -164,21 +164,6 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, low: int =
     return lows.withColumn("copy", F.explode(F.expr("sequence(lo, least(lo + 4095L, rows - 1))"))).drop("rows", "lo")
 
 
-def _ranked(rows: DataFrame, order: list, out: str) -> DataFrame:
-    """``rows`` (written ones) with their place in ``order``, from 1."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialise(placed, "ranked")  # the upper bits of _at are the range, the lower ones the place in it
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    total, before = 0, []
-    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each range
-        before.append((r["part"], total))
-        total += r["count"]
-    starts = spark.createDataFrame(before, "_part long, _before long")
-    return placed.join(F.broadcast(starts), part == F.col("_part")).withColumn(out, F.col("_before") + inside + 1).select(*rows.columns, out)
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,
@@ -198,6 +183,6 @@ def resample(
     enough = F.col("words") >= min_words
     drawn = scored.where(enough).count() * percent // 100
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("key"), F.asc("copy")]
-    ranked = _ranked(scored.where(enough), order, "rank").withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
+    places = ranked(scored.where(enough), order, "rank").withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
     rest = scored.where(~enough).withColumn("rank", F.lit(None).cast("long"))
-    return ranked.unionByName(rest).select("doc_id", "n_features", "weight", "score", "rank")
+    return places.unionByName(rest).select("doc_id", "n_features", "weight", "score", "rank")

@@ -392,6 +392,17 @@ def _shared_ids(told: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(first, "doc_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
 
+def _once(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """``texts`` without repeated rows: the texts of ids that several rows have
+    are made distinct, before and after a shuffle of these rows alone."""
+    again = materialise(told.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "dup-again")
+    if again.isEmpty():
+        return texts
+    # null ids are in no class
+    texts, again = texts.where("id is not null"), small_side(again)
+    return texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())
+
+
 def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int = TREES, node_rows: int = NODE_ROWS) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``. Sets link when
     ``100 * intersection >= percent * union``."""
@@ -418,7 +429,7 @@ def group_near_duplicates(docs: DataFrame, width: int, percent: int, trees: int
     weights = weights.select("component", parts.alias("parts"))
     members = materialise(members.join(weights, "component").select("id", F.col("component").alias("key"), "n", "parts"), "dup-members")
     wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members  # four numbers a row
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(wanted, "id")
+    texts = _once(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null"), some).join(wanted, "id")
     confirmed = [_confirmed(texts.where("parts <= 1"), width, percent)]
     if not members.where("parts > 1").isEmpty():
         large = texts.where("parts > 1")
@@ -454,10 +465,15 @@ def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
     gone = materialise(judged.where("not kept and doc_id is not null").select("doc_id").distinct(), "dup-gone")
     few = gone.count() <= BROADCAST_ROWS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == distinct:
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    again = materialise(again, "dup-again")
+    if again.isEmpty():
         return left
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_m"))
-    one = one.select("doc_id", *[F.col("_m")[c].alias(c) for c in ["text", *rest]]).select(docs.columns)
-    return left.where("doc_id is null").unionByName(one)
+    again = small_side(again)
+    # the least text of an id, then any of its rows: not every type has an order
+    rows = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*[c for c in docs.columns if not _is_map(docs, c)]))).alias("_m"))
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(rows.select("_m.*"))
+
+
+def _is_map(df: DataFrame, name: str) -> bool:
+    return "map<" in df.schema[name].dataType.simpleString()

@@ -95,7 +95,7 @@ def features(texts: list[str | None], sources: list, langs: list, chars: list) -
         # source, language and the order of magnitude of the length, each in a
         # third of the places
         bits = -1 if c is None else int(max(0, c)).bit_length()
-        page[i] = [base + k * (VALUES // 3) + zlib.crc32(v.encode()) % (VALUES // 3) for k, v in enumerate((f"s{s}", f"l{lang}", f"n{bits}"))]
+        page[i] = [base + k * (VALUES // 3) + zlib.crc32(v.encode()) % (VALUES // 3) for k, v in enumerate(("null" if s is None else f"s{s}", "null" if lang is None else f"l{lang}", f"n{bits}"))]
     steps = WORDS + np.arange(FIGURES) * BINS + np.minimum((shape * BINS).astype(np.int64), BINS - 1)
     more = np.concatenate((steps, page), 1)
     row = np.concatenate((row, np.repeat(np.arange(n), more.shape[1])))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, each_copy, join_skewed, materialise, running_total, small_side, text_or_empty
+from ._common import buckets_for, each_copy, join_skewed, materialise, ranked, running_total, small_side, text_or_empty
 
 #: Bytes that each document costs besides its text.
 ROW_BYTES = 16
@@ -38,9 +38,9 @@ BINS, SLACK = 512, 0.004
 def with_rank(df: DataFrame, name: str, out: str) -> DataFrame:
     """``df`` with ``out``: the place of column ``name`` among its distinct
     values in order, -1 for null."""
-    # the window sorts distinct values only, not rows
-    ranks = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)))
-    ranks = materialise(ranks, f"kd-rank-{name}")
+    # distinct values are sorted by ranges, not rows
+    values = materialise(df.select(name).where(F.col(name).isNotNull()).distinct(), f"kd-values-{name}")
+    ranks = ranked(values, [F.asc(name)], out)
     return df.join(small_side(ranks), name, "left").withColumn(out, F.coalesce(F.col(out).cast("double"), F.lit(-1.0))).select(*df.columns, out)
 
 

@@ -209,3 +209,44 @@ def test_texts_fall_apart_at_spaces(spark):
         parts = [*pair.encode(r.s)]
         assert [i for p in parts for i in p[0]] == whole[0], r.t
         assert [i for p in parts for i in p[1]] == whole[1], r.t
+
+
+def test_repeated_rows_with_a_near_copy(spark):
+    """3,000 repeats of a row are one text wherever texts are compared."""
+    from phenoscope.llm import neardup
+
+    rng = random.Random(8)
+    text = fixtures.prose(rng, 60)
+    data = [(7, text, "xx", "s", 1)] * 3000 + [(8, text + " more", "xx", "s", 1), (9, fixtures.prose(rng, 60), "xx", "s", 1), (None, text, "xx", "s", 1)]
+    docs = fixtures.documents(spark, data)
+    told = neardup._describe(docs, 3).where("n_shingles > 0 and doc_id is not null")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    assert sorted(r.id for r in neardup._once(texts, told).collect()) == [7, 8, 9]
+    rows = neardup.group_near_duplicates(docs, 3, 85).collect()
+    assert len(rows) == 3003 and {r.component_id for r in rows if r.doc_id in (7, 8)} == {7}
+
+
+def test_one_row_of_an_id_is_kept_whatever_its_columns(spark):
+    from phenoscope.llm import neardup
+
+    docs = fixtures.documents(spark, [(1, "b x", "xx", "s", 1), (1, "a x", "xx", "s", 2), (2, "c y", None, None, None)])
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("n_chars")))
+    kept = neardup.keep_one(docs, neardup.group_near_duplicates(docs, 5, 80)).collect()
+    assert sorted((r.doc_id, r.text, r.m["k"]) for r in kept) == [(1, "a x", 2), (2, "c y", None)]
+
+
+def test_null_metadata_is_not_the_text_none():
+    from phenoscope.llm import quality
+
+    of = lambda s, lang: set(quality.features(["a b"], [s], [lang], [3])[0].tolist())
+    assert of(None, "en") != of("None", "en") and of("s", None) != of("s", "None")
+
+
+def test_ranks_of_many_sources(spark):
+    from phenoscope.llm import sharding
+
+    names = [f"https://h{i % 50021}/{i}" for i in range(20_000)]
+    random.Random(1).shuffle(names)
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "source string")
+    got = {r.source: r.at for r in sharding.with_rank(df, "source", "at").collect()}
+    assert got == {n: float(k) for k, n in enumerate(sorted(names), 1)} | {None: -1.0}
