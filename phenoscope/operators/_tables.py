@@ -27,8 +27,7 @@ def ensure_checkpoints(df: DataFrame) -> None:
 def with_group(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with the columns of ``stats``, which has one row a key (null keys
     included). Few keys are broadcast, so no key gathers its rows in a task."""
-    ensure_checkpoints(df)
-    stats = stats.checkpoint()
+    stats = written(stats)
     if not keys:
         return df.join(F.broadcast(stats))  # one row
     side = stats.withColumnsRenamed({k: f"_k_{k}" for k in keys})

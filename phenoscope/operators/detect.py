@@ -93,75 +93,94 @@ class Drift:
         state = (mean, std, counter, steps + int(valid))
         return ((0.0, 1.0, 0, 0) if status == 2 else state), status
 
-
-    def steps(self, score: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """Statuses of many series at once (rows: series, columns: time), each
-        from the start; the same rules as ``step``."""
-        n = len(score)
+    def steps(self, score: np.ndarray, valid: np.ndarray, first: np.ndarray, start: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Statuses of series that lie end to end, the k-th from ``first[k]``
+        on, by the rules of ``step``; the first one goes on from ``start``.
+        Also the state after the last row.
+
+        Series are sorted by length and stepped together as long as several
+        are left; the rest of the longest ones go row by row. Memory is that of
+        the rows, whatever their lengths."""
+        out = np.zeros(len(score), np.int32)
+        length = np.diff(np.append(first, len(score)))
+        order = np.argsort(-length, kind="stable")
+        begin, long = first[order], length[order]
+        n = len(first)
         mean, std = np.full(n, self.START[0]), np.full(n, self.START[1])
         counter, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        out = np.zeros(score.shape, np.int32)
-        for k in range(score.shape[1]):
-            s, v, warming = score[:, k], valid[:, k], seen < self.warm
-            far = s > mean + self.drift * std
-            calm = s <= mean + self.warning * std
-            counter = np.where(v, np.where(far & ~warming, counter + 1, 0), counter)
-            drifted = far & (counter >= self.run)
-            status = np.where(drifted, 2, np.where(~far & ~calm, 1, 0))
+        if start is not None:
+            at = int(np.flatnonzero(order == 0)[0])
+            mean[at], std[at], counter[at], seen[at] = start
+        k, active = 0, int((long > 0).sum())
+        while active >= FEW_SERIES:
+            rows = begin[:active] + k
+            s, v, m, d, c, w = score[rows], valid[rows], mean[:active], std[:active], counter[:active], seen[:active]
+            warming = w < self.warm
+            far = s > m + self.drift * d
+            calm = s <= m + self.warning * d
+            c = np.where(v, np.where(far & ~warming, c + 1, 0), c)
+            status = np.where(far & (c >= self.run), 2, np.where(~far & ~calm, 1, 0))
             status = np.where(v, np.where(warming, 3, status), 0)
             moved = v & (calm | warming)
-            gap = np.where(moved, s - mean, 0.0)
-            mean = mean + self.alpha * gap
-            std = np.where(moved, np.sqrt((1 - self.alpha) * std**2 + self.alpha * gap**2), std)
-            seen = seen + v
+            gap = np.where(moved, s - m, 0.0)
+            d = np.where(moved, np.sqrt((1 - self.alpha) * d**2 + self.alpha * gap**2), d)
             anew = status == 2
-            mean, std = np.where(anew, 0.0, mean), np.where(anew, 1.0, std)
-            counter, seen = np.where(anew, 0, counter), np.where(anew, 0, seen)
-            out[:, k] = status
-        return out
-
-
+            mean[:active], std[:active] = np.where(anew, 0.0, m + self.alpha * gap), np.where(anew, 1.0, d)
+            counter[:active], seen[:active] = np.where(anew, 0, c), np.where(anew, 0, w + v)
+            out[rows] = status
+            k += 1
+            active = int(np.searchsorted(-long[:active], -k, "left"))
+        for j in range(active):
+            lo, hi = int(begin[j]) + k, int(begin[j] + long[j])
+            state = (float(mean[j]), float(std[j]), int(counter[j]), int(seen[j]))
+            for i, (x, ok) in enumerate(zip(score[lo:hi].tolist(), valid[lo:hi].tolist(), strict=True), lo):
+                state, out[i] = self.step(state, x, ok)
+            mean[j], std[j], counter[j], seen[j] = state
+        last = int(np.flatnonzero(order == n - 1)[0])
+        return out, (float(mean[last]), float(std[last]), int(counter[last]), int(seen[last]))
+
+
+#: With fewer series left, each is stepped by itself.
+FEW_SERIES = 8
 #: Rows whose series are stepped together.
 STEP_ROWS = 50_000
 
 
-def drift_statuses(df: DataFrame, keys: list[str], order: list[str], score: str, valid: str, detector: Drift | None = None) -> DataFrame:
-    """Batch form: every row of a key, in order, with its ``status``."""
+def drift_statuses(df: DataFrame, keys: list[str], order: list[str], score: str, valid: str, detector: Drift | None = None, step_rows: int = STEP_ROWS) -> DataFrame:
+    """Batch form: every row of a key, in order, with its ``status``. A task
+    holds about ``step_rows`` rows; a longer key goes on from its state."""
     detector = detector or Drift()
     names = [*keys, *order]
 
-    def judged(table: pa.Table) -> pa.Table:
-        changed = np.zeros(len(table), bool)
-        for k in keys:
-            codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
-            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
-            changed[1:] |= codes[1:] != codes[:-1]
-        lane = np.cumsum(changed)
-        first = np.concatenate(([0], np.flatnonzero(changed)))
-        place = np.arange(len(lane)) - first[lane]
-        s, v = np.zeros((len(first), place.max() + 1)), np.zeros((len(first), place.max() + 1), bool)
-        ok = np.nan_to_num(table[valid].to_numpy(zero_copy_only=False).astype(float)) > 0
-        s[lane, place] = np.where(ok, np.nan_to_num(table[score].to_numpy(zero_copy_only=False).astype(float)), 0.0)
-        v[lane, place] = ok
-        return table.select(names).append_column("status", pa.array(detector.steps(s, v)[lane, place], pa.int32()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < STEP_ROWS:
-                continue
+        held, count, before, state = [], 0, None, None
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            nonlocal before, state
             table = pa.Table.from_batches(held).combine_chunks()
-            last = [table[k][-1] for k in keys]
-            cut = len(table) - 1
-            while cut and all(table[k][cut - 1] == x for k, x in zip(keys, last)):
-                cut -= 1
-            if cut:
-                yield from judged(table.slice(0, cut)).to_batches()
-            held, count = table.slice(cut).to_batches(), len(table) - cut
+            changed = np.zeros(len(table), bool)
+            for k in keys:
+                codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+                codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            first = np.concatenate(([0], np.flatnonzero(changed)))
+            ok = np.nan_to_num(table[valid].to_numpy(zero_copy_only=False).astype(float)) > 0
+            s = np.where(ok, np.nan_to_num(table[score].to_numpy(zero_copy_only=False).astype(float)), 0.0)
+            # the key that the rows before ended with goes on from its state
+            goes_on = before is not None and before == [table[k][0] for k in keys]
+            statuses, state = detector.steps(s, ok, first, state if goes_on else None)
+            before = [table[k][-1] for k in keys]
+            yield from table.select(names).append_column("status", pa.array(statuses, pa.int32())).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= step_rows:
+                yield from judged()
+                held, count = [], 0
         if count:
-            yield from judged(pa.Table.from_batches(held).combine_chunks()).to_batches()
+            yield from judged()
 
     rows = df.select(*names, score, valid)
     schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("status", T.IntegerType())])

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import ensure_checkpoints
+from ._tables import written
 
 
 def bbox_intersects(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -114,16 +114,15 @@ def overlapping_boxes(boxes: DataFrame, id: str, cell: float, share: float) -> D
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, component``: the smallest id reachable over ``a``-``b`` edges, by
-    passing labels until none changes. Each round's labels are checkpointed."""
+    passing labels until none changes. Each round's labels are written."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    ensure_checkpoints(edges)
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
+    labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         # and the label of the label, which halves long chains
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old").checkpoint()
+        step = written(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
         labels = step.select("id", "component")
         if step.where("component < old").isEmpty():
             return labels

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Median absolute deviation to standard deviation of a normal variable.
@@ -24,49 +24,75 @@ def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: floa
     return counts.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) * width))
 
 
+#: Split points of a range that a histogram of equal widths doesn't narrow.
+SPLITS = 64
+
+
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 4096, keep: int = 20_000) -> list[float | None]:
     """Quantiles with linear interpolation, as ``percentile`` gives them, of all
-    non-null values. Histograms narrow the range of each rank down to at most
-    ``keep`` values (or equal ones), which the driver sorts: no task gathers
-    the distinct values."""
+    non-null values: -inf comes first, then numbers, inf and NaN. Histograms
+    narrow the range of each rank down to at most ``keep`` values (or equal
+    ones), which the driver sorts: no task gathers the distinct values. Where
+    bins of equal width leave most values in one of them, the next round splits
+    that range at approximate quantiles instead, so values of any spread end in
+    a few rounds."""
     rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    endless = F.lit(float("inf"))
+    numbers = rows.where(~F.isnan("v") & (F.abs("v") < endless))
+    least, most, odd = (F.coalesce(F.sum(c.cast("long")), F.lit(0)) for c in (F.col("v") == -endless, F.col("v") == endless, F.isnan("v")))
+    n, under, over, nans = rows.agg(F.count("*"), least, most, odd).first()
     if not n:
         return [None] * len(shares)
     ranks = sorted({f(s * (n - 1)) for s in shares for f in (math.floor, math.ceil)})
-    found: dict[int, float] = {}
-    todo = [(low, high, 0, n, ranks)]  # value range, values before it, values in it, ranks
+    found: dict[int, float] = {r: -math.inf for r in ranks if r < under}
+    found |= {r: math.inf if r < n - nans else math.nan for r in ranks if r >= n - nans - over}
+    inside = [r for r in ranks if r not in found]
+    # value range, values before it, values in it, ranks, whether to split at quantiles
+    todo = [(*numbers.agg(F.min("v"), F.max("v")).first(), under, n - under - over - nans, inside, False)] if inside else []
     while todo:
         small = [t for t in todo if t[3] <= keep or t[0] == t[1]]
         wide = [t for t in todo if t not in small]
-        for lo, hi, before, count, wanted in small:
+        for lo, hi, before, _, wanted, _ in small:
             if lo == hi:
                 found |= dict.fromkeys(wanted, lo)
             else:
-                values = sorted(r["v"] for r in rows.where(F.col("v").between(lo, hi)).collect())
+                values = sorted(r["v"] for r in numbers.where(F.col("v").between(lo, hi)).collect())
                 found |= {r: values[r - before] for r in wanted}
         todo = []
         if wide:
             # one pass for all ranges that are still wide
-            spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t[0]).alias("lo"), F.lit(t[1]).alias("hi")) for i, t in enumerate(wide)])
-            at = rows.select("v", F.explode(F.filter(spans, lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("s"))
-            place = F.least(F.floor((F.col("v") - F.col("s.lo")) / (F.col("s.hi") - F.col("s.lo")) * bins), F.lit(bins - 1))
+            spans = [F.struct(F.lit(i).alias("i"), F.lit(t[0]).alias("lo"), F.lit(t[1]).alias("hi"), _splits(numbers, t)) for i, t in enumerate(wide)]
+            at = numbers.select("v", F.explode(F.filter(F.array(*spans), lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("s"))
+            # halves keep the width of the widest range finite
+            even = (F.col("v") / 2 - F.col("s.lo") / 2) / (F.col("s.hi") / 2 - F.col("s.lo") / 2) * bins
+            place = F.when(F.size("s.cuts") > 0, F.size(F.filter("s.cuts", lambda c: c <= F.col("v")))).otherwise(F.least(F.floor(even), F.lit(bins - 1)))
             cells = at.groupBy(F.col("s.i").alias("i"), place.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("i", "b").collect()
-            for i, (_, _, before, _, wanted) in enumerate(wide):
+            for i, (_, _, before, count, wanted, _) in enumerate(wide):
                 upto = before
                 for c in (c for c in cells if c["i"] == i):
                     here = [r for r in wanted if upto <= r < upto + c["m"]]
                     if here:
-                        todo.append((c["a"], c["z"], upto, c["m"], here))
+                        todo.append((c["a"], c["z"], upto, c["m"], here, 2 * c["m"] > count))
                     upto += c["m"]
     out = []
     for s in shares:
         at = s * (n - 1)
         lo, hi = found[math.floor(at)], found[math.ceil(at)]
-        out.append(lo if lo == hi else lo * (math.ceil(at) - at) + hi * (at - math.floor(at)))
+        out.append(lo if lo == hi or math.floor(at) == at else lo * (math.ceil(at) - at) + hi * (at - math.floor(at)))
     return out
 
 
+def _splits(numbers: DataFrame, span: tuple) -> Column:
+    """Approximate quantiles of a range that is to be split at them, else none;
+    the range's own ends part from what lies between."""
+    cuts = []
+    if span[-1]:
+        shares = [k / SPLITS for k in range(1, SPLITS)]
+        inner = numbers.where(F.col("v").between(span[0], span[1]))
+        cuts = sorted({*inner.agg(F.percentile_approx("v", shares, 100 * SPLITS)).first()[0], span[1]} - {span[0]})
+    return F.array(*[F.lit(c) for c in cuts]).cast("array<double>").alias("cuts")
+
+
 def scale_factor(df: DataFrame, keys: list[str], x: str, y: str, digits: int) -> DataFrame:
     ratio = F.col(y) / F.nullif(F.col(x), F.lit(0.0))
     xy, xx = F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -261,6 +263,71 @@ def test_exact_quantiles(spark, kind):
     assert exact_quantiles(df.limit(0), "v", shares) == [None] * 5
 
 
+@pytest.mark.parametrize("odd", [[math.inf], [math.nan], [-math.inf, -math.inf, math.inf, math.nan, math.nan]])
+def test_exact_quantiles_of_odd_values(spark, odd):
+    """Infinities and NaN beyond ``keep`` values end, in the order of percentile."""
+    from pyspark.sql import functions as F
+
+    from phenoscope.operators.stats import exact_quantiles
+
+    x = [*np.random.default_rng(3).normal(size=500).tolist(), *odd]
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = df.agg(F.percentile("v", shares)).first()[0]
+    assert exact_quantiles(df, "v", shares, bins=16, keep=50) == pytest.approx(want, nan_ok=True)
+
+
+def test_exact_quantiles_of_any_spread_end_soon(spark, monkeypatch):
+    """Values over 600 orders of magnitude, where bins of equal width hardly narrow."""
+    from phenoscope.operators import stats
+
+    x = np.concatenate((10.0 ** np.linspace(-300, 300, 3001), [-1.7e308, 1.7e308], np.full(500, 2.0)))
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    rounds, plain = [], stats._splits
+    monkeypatch.setattr(stats, "_splits", lambda *a: rounds.append(1) or plain(*a))
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert stats.exact_quantiles(df, "v", shares, bins=16, keep=50) == pytest.approx(np.quantile(x, shares).tolist())
+    assert len(rounds) < 30
+
+
+def test_drift_of_one_long_series_among_many(spark):
+    """A key of 100,000 rows beside 10,000 keys of one: rows set the memory."""
+    import resource
+
+    from phenoscope.operators import detect
+
+    rng = np.random.default_rng(4)
+    score = rng.normal(1.0, 0.1, 110_000) + (rng.random(110_000) < 0.02)
+    valid = rng.random(110_000) < 0.95
+    first = np.concatenate(([0], np.arange(100_000, 110_000)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got, last = detect.Drift().steps(score, valid, first)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # kB
+    state, want = detect.Drift.START, []
+    for x, ok in zip(score[:100_000].tolist(), valid[:100_000].tolist(), strict=True):
+        state, status = detect.Drift().step(state, x, ok)
+        want.append(status)
+    assert got[:100_000].tolist() == want and len(got) == 110_000
+    assert last == detect.Drift().step(detect.Drift.START, float(score[-1]), bool(valid[-1]))[0]
+
+
+def test_drift_goes_on_over_batches(spark):
+    from phenoscope.operators import detect
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, float(rng.normal(1, 0.1) + (rng.random() < 0.1)), bool(rng.random() < 0.9)) for k, n in enumerate([400, 1, 150, 3, 90]) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, s double, ok boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.k, r.i): r.status for r in detect.drift_statuses(df, ["k"], ["i"], "s", "ok", step_rows=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    state, want = {}, {}
+    for k, i, x, ok in rows:
+        state[k], want[(k, i)] = detect.Drift().step(state.get(k, detect.Drift.START), x, ok)
+    assert got == want
+
+
 def test_scores_of_null_keys(spark):
     import math
 
