@@ -37,12 +37,16 @@ def with_group(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(side, same).drop(*[f"_k_{k}" for k in keys])
 
 
+def scratch(df: DataFrame, name: str) -> str:
+    """A new path where checkpoints go."""
+    ensure_checkpoints(df)
+    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet where checkpoints go, and read back: its
     lineage is cut and lost executors cost nothing. ``checkpoint()`` would
     compute it twice."""
-    ensure_checkpoints(df)
-    spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from ..sources import metadata
+from ..operators._tables import scratch
+from ..sources import cube, metadata
 from .registry import query, table
 
 _S = "WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_custkey * 37 % 1000 AS DOUBLE) END AS x0, CAST(c_custkey * 91 % 700 AS DOUBLE) AS y0, CAST(c_custkey * 37 % 1000 + 8 + c_custkey % 9 AS DOUBLE) AS x1, CAST(c_custkey * 91 % 700 + 8 + c_custkey % 7 AS DOUBLE) AS y1 FROM customer)"
@@ -116,3 +117,16 @@ def src19_pixel_json(spark, sf_dir):
     inner = ev.groupBy("user_id", "event_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), "value"))).alias("m"))
     text = inner.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "m")))).alias("js"))
     return metadata.flatten_pixels(text, "js", ["user_id"]).select("user_id", "category", F.col("key").cast("long").alias("event_id"), "value")
+
+
+@query("""SELECT CAST(vec_id // 400 AS INTEGER) AS frame, CAST(vec_id % 400 // 20 AS INTEGER) AS y, CAST(vec_id % 20 AS INTEGER) AS x, CAST(embedding[1] AS DOUBLE) AS first, CAST(list_max(embedding) AS DOUBLE) AS peak
+ FROM embeddings WHERE vec_id % 400 // 20 BETWEEN 5 AND 12 AND vec_id % 20 >= 14""")
+def src01_cube_hyperslab(spark, sf_dir):
+    """All vectors written as a cube of 20 x 20 pixels a frame; then a window of
+    every frame, for which only the tiles that it meets are opened."""
+    v = F.col("vec_id")
+    pixels = table(spark, sf_dir, "embeddings").select(F.floor(v / 400).alias("frame"), F.floor(v % 400 / 20).alias("y"), (v % 20).alias("x"), F.col("embedding").alias("spectrum"))
+    path = scratch(pixels, "cube")
+    cube.write_tiles(pixels, path, tile=8)
+    window = cube.read_tiles(spark, path).where("y between 5 and 12 and x >= 14")
+    return window.select("frame", "y", "x", F.get("spectrum", F.lit(0)).alias("first"), F.array_max("spectrum").alias("peak"))
