@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import kernels
+from . import kernels, moments
 
 #: Default periods in years.
 PERIODS = (1.19, 1.499, 1.0)
@@ -165,6 +165,70 @@ def harmonized(df: DataFrame, keys: list[str], t: str, y: str, valid: str, run:
     return _per_series(df, keys, [t], series, "change_at double, change_count long, mean_rmse double")
 
 
+def _dynamic_fits(tt: np.ndarray, yy: np.ndarray, ok: np.ndarray, freqs: np.ndarray, window: float, min_span: float, least: int, k: int, ridge: float) -> dict[str, np.ndarray]:
+    """Predictions, standard errors, frequencies and amplitudes of all
+    observations that have a trailing window, by running sums."""
+    out = {"at": np.zeros(0, np.int64), "predicted": np.zeros(0), "bound": np.zeros(0), "frequency": np.zeros((0, k)), "amplitude": np.zeros((0, k))}
+    if not ok.any():
+        return out
+    t, y = tt[ok], yy[ok]
+    lo, hi = np.searchsorted(t, tt - window, "left"), np.searchsorted(t, tt, "left")
+    fine = (tt - t[0] >= min_span) & (hi - lo >= max(least, 1))
+    fine[fine] = (t[hi[fine] - 1] - t[lo[fine]]) >= min_span
+    at, lo, hi = np.flatnonzero(fine), lo[fine], hi[fine]
+    parts = []
+    for part, first, last in moments.blocks(lo, hi):
+        base, v = t[first:last] - t[first], y[first:last]
+        a, z, target = lo[part] - first, hi[part] - first, tt[at[part]] - t[first]
+        fits = moments.Fits(base, v, a, z, freqs, k, ridge, centred=True)
+        sigma = moments.robust_sigma(base, v, a, z, fits, freqs, 1e-6)
+        x = fits.design(target, freqs)
+        spread = np.linalg.solve(fits.gram + ridge * np.eye(x.shape[1]), x[..., None])[..., 0]
+        pairs = fits.coef[:, 1:].reshape(len(x), k, 2)
+        parts.append(((x * fits.coef).sum(1), sigma * np.sqrt(1 + (x * spread).sum(1)), freqs[fits.picks], np.hypot(pairs[..., 0], pairs[..., 1])))
+    if parts:
+        out = {"at": at, **{n: np.concatenate(c) for n, c in zip(("predicted", "bound", "frequency", "amplitude"), zip(*parts, strict=True), strict=True)}}
+    return out
+
+
+def dynamic_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window: float = 4.0, min_span: float = 0.1, bins: int = 100, least: int = 8, k: int = 2, low: float = 0.2, high: float = 4.0, ridge: float = 1e-5, factor: float = 2.0, run: int = 4) -> DataFrame:
+    """Dynamic harmonic regression, every observation with its ``predicted``
+    value, ``bound`` (standard error ``S`` of the prediction), ``frequency`` and
+    ``amplitude`` (arrays of ``k``), ``anomaly`` (valid and beyond ``factor *
+    S``), ``streak`` (anomalies in a row) and ``change`` (the streak has reached
+    ``run``).
+
+    Frequencies are pursued one by one on the trailing ``window`` years, all
+    windows of a series together. Invalid observations are predicted, too; they
+    are never anomalies and end a streak. Without ``least`` valid observations
+    over ``min_span`` years there is no prediction (nulls), and a streak stays.
+    Null values are invalid. Of equal times none sees the others."""
+    freqs = np.linspace(low, high, bins)
+
+    def series(pdf: pd.DataFrame) -> pd.DataFrame:
+        tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
+        ok = pdf[valid].eq(True).to_numpy(bool) & np.isfinite(yy)
+        got = _dynamic_fits(tt, yy, ok, freqs, window, min_span, least, k, ridge)
+        at = got["at"]
+        out = pd.DataFrame({t: tt, y: pdf[y].to_numpy(), "predicted": None, "bound": None, "frequency": None, "amplitude": None, "anomaly": False}, dtype=object)
+        for c in ("predicted", "bound", "frequency", "amplitude"):
+            column = np.full(len(tt), None, object)
+            column[at] = [v.tolist() for v in got[c]]
+            out[c] = column
+        odd = np.zeros(len(tt), bool)
+        odd[at] = ok[at] & (np.abs(yy[at] - got["predicted"]) > factor * got["bound"])
+        out["anomaly"] = odd
+        settles = ~ok.copy()
+        settles[at] |= ~odd[at]
+        count = np.cumsum(odd)
+        out["streak"] = count - np.maximum.accumulate(np.where(settles, count, 0)) if len(tt) else count
+        out["change"] = out["streak"].to_numpy(int) >= run
+        return out
+
+    schema = f"{t} double, {y} double, predicted double, bound double, frequency array<double>, amplitude array<double>, anomaly boolean, streak long, change boolean"
+    return _per_series(df, keys, [t, y], series, schema)
+
+
 def dynamic(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window: float = 4.0, min_span: float = 0.1, bins: int = 100, least: int = 8, k: int = 2, low: float = 0.2, high: float = 4.0, ridge: float = 1e-5, factor: float = 2.0, run: int = 4, estimator: str = "omp") -> DataFrame:
     """Dynamic harmonic regression. For each observation: ``k`` frequencies of
     the trailing window by the chosen estimator, a ridge fit, a robust sigma
@@ -174,15 +238,30 @@ def dynamic(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window:
 
     def frequencies(tt: np.ndarray, yy: np.ndarray) -> np.ndarray:
         z = yy - yy.mean()
-        if estimator == "omp":
-            return kernels.matching_pursuit(tt, z, freqs, k, ridge)[0]
         if estimator == "nomp":
             return kernels.refined_pursuit(tt, z, freqs, k)[0]
         if estimator == "ndft":
             return kernels.distinct_peaks(freqs, kernels.spectrum(tt, z, freqs), k)
         return kernels.distinct_peaks(freqs, kernels.sparse_spectrum(tt, z, freqs, "l1" if estimator == "bpdn" else "log", 200), k)
 
+    def pursued(pdf: pd.DataFrame) -> dict:
+        ok = pdf[valid].to_numpy(bool)
+        tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
+        got = _dynamic_fits(tt, yy, ok, freqs, window, min_span, least, k, ridge)
+        scored = ok[got["at"]]
+        at, bounds, tops = got["at"][scored], got["bound"][scored], np.round(1 / got["frequency"][scored, 0], 2)
+        odd = np.abs(yy[at] - got["predicted"][scored]) > factor * bounds
+        hits, first, flags = 0, None, dict(zip(at.tolist(), odd.tolist(), strict=True))
+        for i in range(len(tt)):
+            hits = 0 if not ok[i] or flags.get(i) is False else hits + int(flags.get(i, False))
+            if hits == run and flags.get(i) and first is None:
+                first = float(tt[i])
+        values, counts = np.unique(tops, return_counts=True)
+        return {"change_at": first, "anomalies": int(odd.sum()), "mean_bound": float(bounds.mean()) if len(at) else None, "period": float(values[np.argmax(counts)]) if len(at) else None, "scored": len(at)}
+
     def series(pdf: pd.DataFrame) -> dict:
+        if estimator == "omp":
+            return pursued(pdf)
         ok = pdf[valid].to_numpy(bool)
         tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
         hits, first, anomalies, bounds, tops = 0, None, 0, [], []
@@ -227,21 +306,27 @@ def spectral_features(df: DataFrame, keys: list[str], t: str, y: str, valid: str
     def series(pdf: pd.DataFrame) -> pd.DataFrame:
         ok = pdf[valid].to_numpy(bool)
         tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
-        feats, good = [], []
-        for i in range(len(tt)):
-            row, fine = [], bool(ok[i])
-            for w in windows:
-                use = ok & (tt <= tt[i]) & (tt >= tt[i] - w)
-                if use.sum() < least:
-                    row += [0.0] * width
-                    fine = False
-                    continue
-                wt, wy = tt[use] - tt[i], yy[use]
-                f, coef = kernels.matching_pursuit(wt, wy, freqs, k)
-                rest = wy - kernels.harmonics(wt, list(1 / f), linear=False) @ coef
-                row += [*coef, float(rest.std())]
-            feats.append([float(v) for v in row])
-            good.append(fine)
+        feats, good = np.zeros((len(tt), 0)), ok.copy()
+        u, v = tt[ok], yy[ok]
+        for w in windows:
+            part = np.zeros((len(tt), width))
+            lo, hi = np.searchsorted(u, tt - w, "left"), np.searchsorted(u, tt, "right")
+            at = np.flatnonzero(hi - lo >= least)
+            for block, first, last in moments.blocks(lo[at], hi[at]):
+                rows = at[block]
+                base = u[first:last] - u[first]
+                fits = moments.Fits(base, v[first:last], lo[rows] - first, hi[rows] - first, freqs, k, 1e-5, centred=False)
+                c, g = fits.coef, fits.gram
+                # residuals' mean and square mean, and phases from the observation on
+                mean = (fits.total - (g[:, 0] * c).sum(1)) / fits.n
+                square = (fits.squares - 2 * (c * fits.right).sum(1) + np.einsum("ni,nij,nj->n", c, g, c)) / fits.n
+                turn = 2 * np.pi * freqs[fits.picks] * (tt[rows] - u[first])[:, None]
+                a, b = c[:, 1::2].copy(), c[:, 2::2].copy()
+                c[:, 1::2], c[:, 2::2] = a * np.cos(turn) + b * np.sin(turn), b * np.cos(turn) - a * np.sin(turn)
+                part[rows] = np.column_stack((c, np.sqrt(np.maximum(square - mean**2, 0))))
+            good[hi - lo < least] = False
+            feats = np.concatenate((feats, part), 1)
+        feats = [f.tolist() for f in feats]
         return pd.DataFrame({t: tt, "features": feats, "ok": good})
 
     return _per_series(df, keys, [t], series, f"{t} double, features array<double>, ok boolean")

@@ -199,6 +199,14 @@ def hrm08_dhr(spark, sf_dir):
     return harmonic.dynamic(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0, bins=40)
 
 
+@query()
+def hrm10_prediction_bounds(spark, sf_dir):
+    """Every observation of every series with its prediction and bound; the
+    pixel's, as its orders may share a time, are told by it."""
+    out = harmonic.dynamic_rows(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0)
+    return out.select("pixel", "t", "v", *[F.round(c, 6).alias(c) for c in ("predicted", "bound")], F.round(F.get("frequency", F.lit(0)), 6).alias("frequency"), "anomaly", "streak", "change")
+
+
 @query()
 def hrm09_dhr_refined(spark, sf_dir):
     return harmonic.dynamic(_series(spark, sf_dir), ["pixel"], "t", "v", "ok", window=2.0, bins=40, estimator="nomp", k=1)
