@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import time
 from ..operators import extremes, stacks
+from ..operators._tables import scratch, written
+from ..sources import archives
 from .registry import query, table
 from .spatial import _G, _grid, _height
 
@@ -89,3 +91,35 @@ def fn25_colour_image(spark, sf_dir):
 @query()
 def spx07_projected_volumes(spark, sf_dir):
     return extremes.projected_volumes(table(spark, sf_dir, "embeddings").where("label is not null"), ["label"], "vec_id", "embedding", 7)
+
+
+_DAY = 86_400_000_000
+
+
+@query(f"""WITH l AS (SELECT p_partkey // 400 AS r, CAST(p_partkey % 400 // 20 AS INTEGER) AS y, CAST(p_partkey % 20 AS INTEGER) AS x, CASE WHEN p_size > 3 THEN [CAST(p_size AS DOUBLE), CAST(p_retailprice AS DOUBLE)] END AS s,
+  CASE WHEN p_size % 7 = 0 THEN 255 WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS mask FROM part),
+ ok AS (SELECT r FROM l GROUP BY r HAVING (400 - count(*) + count(*) FILTER (WHERE mask <> 0)) / 400e0 <= 5e-1),
+ q AS (SELECT *, (r // 2 * 40 + r % 2) * {_DAY} AS us, CAST(r // 2 AS BIGINT) AS pass FROM l JOIN ok USING (r)),
+ c AS (SELECT pass, y, x, max({{'us': us, 's': s}}) FILTER (WHERE s IS NOT NULL) AS m, coalesce(min(mask) FILTER (WHERE mask <> 255), 255) AS mask FROM q GROUP BY ALL),
+ t AS (SELECT pass, min(us) AS frame_us FROM q GROUP BY 1)
+ SELECT frame_us, y, x, m.s[1] AS b1, m.s[2] AS b2, CAST(mask AS INTEGER) AS mask FROM c JOIN t USING (pass)""")
+def src06_src08_scene_files(spark, sf_dir):
+    """Scenes of 400 parts written as folders and archives, every third as both;
+    listed, made unique, judged by their quality rasters, read by strips and
+    composed to frames."""
+    k = F.col("p_partkey")
+    r = F.floor(k / 400)
+    mask = F.when(F.col("p_size") % 7 == 0, 255).when(F.col("p_size") % 5 == 0, 1).otherwise(0)
+    spectrum = F.when(F.col("p_size") > 3, F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")))
+    rows = table(spark, sf_dir, "part").select(r.alias("r"), F.floor(k % 400 / 20).alias("y"), (k % 20).alias("x"), spectrum.alias("spectrum"), mask.alias("mask"))
+    forms = F.explode(F.when(F.col("r") % 3 == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("r") % 2 == 0)))
+    rows = rows.select(F.format_string("L%08d", "r").alias("scene"), ((F.floor(F.col("r") / 2) * 40 + F.col("r") % 2) * _DAY).alias("us"), F.lit(32610).alias("epsg"), forms.alias("packed"), "y", "x", "spectrum", "mask")
+    root = scratch(rows, "scenes")
+    archives.write_scenes(rows, root, 2, 20, 20)
+    found = written(archives.members(spark, root))
+    scenes = written(archives.clear_scenes(archives.catalogue(found), found, 20, lambda m: m != 0, 0.5))
+    pixels = archives.scene_pixels(scenes, found, ["B1", "B2"], 20, strip=8)
+    flags = scenes.withColumns({"sensor": F.lit("L"), "good": F.array(F.lit(True), F.lit(True))})
+    # pixels that no scene has shown are not in the frame
+    out = stacks.sensor_stack(flags, pixels, ["sensor"], 2 * _DAY, 400, least=0.0)
+    return out.select("frame_us", "y", "x", F.get("spectrum", F.lit(0)).alias("b1"), F.get("spectrum", F.lit(1)).alias("b2"), "mask")
