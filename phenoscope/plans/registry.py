@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import compositions, detection, scalar, scenes, series, spatial, spectra, stacks, statistics  # noqa: F401
+    from . import compositions, detection, scalar, scenes, series, spatial, spectra, stacks, statistics, streams  # noqa: F401
