@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..operators._tables import scratch
-from ..sources import cube, metadata
+from ..sources import cube, metadata, readers, sinks
 from .registry import query, table
 
 _S = "WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_custkey * 37 % 1000 AS DOUBLE) END AS x0, CAST(c_custkey * 91 % 700 AS DOUBLE) AS y0, CAST(c_custkey * 37 % 1000 + 8 + c_custkey % 9 AS DOUBLE) AS x1, CAST(c_custkey * 91 % 700 + 8 + c_custkey % 7 AS DOUBLE) AS y1 FROM customer)"
@@ -130,3 +130,15 @@ def src01_cube_hyperslab(spark, sf_dir):
     cube.write_tiles(pixels, path, tile=8)
     window = cube.read_tiles(spark, path).where("y between 5 and 12 and x >= 14")
     return window.select("frame", "y", "x", F.get("spectrum", F.lit(0)).alias("first"), F.array_max("spectrum").alias("peak"))
+
+
+@query("""SELECT p_partkey // 50 AS y, p_partkey % 50 AS x, CAST(p_size AS DOUBLE) AS a, CAST(p_retailprice AS DOUBLE) AS b, round(p_retailprice - p_size, 6) AS apart FROM part""")
+def src18_raster_pair(spark, sf_dir):
+    """Two headerless rasters written from the parts, read in splits and joined
+    by place."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 50).alias("y"), (k % 50).alias("x"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("b"))
+    paths = [scratch(rows, f"raster-{c}") for c in "ab"]
+    for c, path in zip("ab", paths, strict=True):
+        sinks.write_raster(rows, path, c)
+    return readers.raster_pair(spark, *paths).select("y", "x", "a", "b", F.round(F.col("b") - F.col("a"), 6).alias("apart"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators._tables import written
+
 
 def delimited_after_header(spark: SparkSession, path: str, skip: int, names: list[str], fill: float | None = None, delimiter: str = ",") -> DataFrame:
     """A CSV whose table starts after ``skip`` lines and a header line. Lines
@@ -28,23 +30,33 @@ def irradiance_table(spark: SparkSession, path: str, factor: float = 10.0) -> Da
     return out.where(F.col("nm").isNotNull() & F.col("irradiance").isNotNull())
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` (from 0) and ``value`` of text files, which are split like any
+    other: lines of each split are counted, and the counts of the splits before
+    it are added. Several files count on in order of their paths."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = written(lines)  # once, so the places of the lines stay as they are
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    total, before = 0, []
+    for r in splits.orderBy("file", "block").collect():  # a row for each split
+        before.append((r["file"], r["block"], r["first"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(before, "file string, block long, first long, before long")
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
 def raster_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A raster without a header: ``y, x, value``. The line's number comes from
-    its place in the file, so a raster is one file and one partition."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-    def number(batches):
-        import pandas as pd
-
-        y = 0
-        for pdf in batches:
-            for line in pdf["value"]:
-                v = [float(a) if a.strip() else None for a in line.split(",")]
-                yield pd.DataFrame({"y": y, "x": range(len(v)), "value": v})
-                y += 1
-
-    schema = StructType([StructField("y", LongType()), StructField("x", LongType()), StructField("value", DoubleType())])
-    return spark.read.option("wholetext", False).text(path).coalesce(1).mapInPandas(number, schema)
+    """A raster without a header: ``y, x, value``. The row is the line's number;
+    fields that are no numbers are null."""
+    fields = numbered_lines(spark, path).select(F.col("line").alias("y"), F.posexplode(F.split("value", ",")).alias("x", "v"))
+    return fields.select("y", F.col("x").cast("long").alias("x"), F.expr("try_cast(trim(v) as double)").alias("value"))
+
+
+def raster_pair(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """Two rasters of one shape side by side: ``y, x, a, b``; places that only
+    one of them has are null in the other."""
+    a, b = raster_csv(spark, first).withColumnRenamed("value", "a"), raster_csv(spark, second).withColumnRenamed("value", "b")
+    return a.join(b, ["y", "x"], "full")
 
 
 def pixel_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,15 @@ def write_results(df: DataFrame, path: str, params: dict[str, str]) -> None:
     spark.createDataFrame([(k, str(v)) for k, v in sorted(params.items())], "name string, value string").write.mode("overwrite").parquet(f"{path}/run_params")
 
 
+def write_raster(df: DataFrame, path: str, value: str) -> None:
+    """``y, x`` and a value as lines of comma-separated numbers without a
+    header, in files whose names follow the rows. Null is an empty field."""
+    cell = F.struct("x", F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
+    lines = df.groupBy("y").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    lines = lines.select("y", F.concat_ws(",", F.transform("cells", lambda c: c["v"])).alias("value"))
+    lines.repartitionByRange("y").sortWithinPartitions("y").select("value").write.text(path)
+
+
 def replace_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     """One column recomputed, all others as they are."""
     return df.select(*[value.alias(c) if c == name else F.col(c) for c in df.columns])
