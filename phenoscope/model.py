@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import complexity, raster, series, zscore
+from .operators import candidates, complexity, raster, series, zscore
 
 #: DDL of each relation. Fill values and NaN become null at the scan, flags
 #: are widened to signed integers, and ``invalid`` is true for masked pixels.
@@ -64,3 +64,9 @@ class Cube:
         rows = zscore.log_zscore(rows, "complexity", ["frame_idx"], out="z_frame")
         rows = zscore.log_zscore(rows, "complexity", ["spacecraft"], out="z_sensor")
         return zscore.log_zscore(rows, "complexity", ["spacecraft", "y", "x"], least=2, out="z_pixel")
+
+    def extremes(self, top: int = 10, separation: float = 10, chip: int = 10, **options) -> DataFrame:
+        """The frames and places of the highest and lowest complexity."""
+        v = self.complexity(**options)
+        rows = self.pixels.select("frame_idx", "y", "x", "invalid").join(v, ["frame_idx", "y", "x"], "left")
+        return candidates.frame_extremes(rows, ["frame_idx"], "complexity", "invalid", self.height, self.width, separation, chip, top)

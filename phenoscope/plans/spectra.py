@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import complexity, extremes, stats
+from ..operators import candidates, complexity, extremes, stats
 from .registry import query, table
 
 
@@ -82,6 +82,40 @@ def spx20_candidate_frames(spark, sf_dir):
     return top.unionByName(g.orderBy("lv").limit(3).select("label", F.col("lv").alias("v"), F.lit("bottom").alias("side")))
 
 
+_FRAMES = "g AS (SELECT p_partkey // 400 AS frame, p_partkey % 400 // 20 AS y, p_partkey % 20 AS x, CAST(p_retailprice * p_size AS DOUBLE) AS v, p_size % 17 = 0 AS bad, p_size % 2 AS kind FROM part)"
+
+
+def _frames(spark, sf_dir):
+    """Frames of 20 x 20 parts."""
+    k = F.col("p_partkey")
+    at = table(spark, sf_dir, "part").select(F.floor(k / 400).alias("frame"), F.floor(k % 400 / 20).alias("y"), (k % 20).alias("x"), (F.col("p_retailprice") * F.col("p_size")).cast("double").alias("v"), (F.col("p_size") % 17 == 0).alias("bad"), (F.col("p_size") % 2).alias("kind"))
+    return at
+
+
+@query(f"""WITH {_FRAMES}, c AS (SELECT * FROM g a WHERE NOT bad AND y BETWEEN 2 AND 17 AND x BETWEEN 2 AND 17 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.bad AND b.frame = a.frame AND (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) < 25e-1 * 25e-1)),
+ e AS (SELECT frame, max({{'v': v, 'y': -y, 'x': -x}}) AS hi, min({{'v': v, 'y': y, 'x': x}}) AS lo FROM c GROUP BY 1),
+ f AS (SELECT frame, -hi.y AS y, -hi.x AS x, hi.v AS v FROM e UNION SELECT frame, lo.y, lo.x, lo.v FROM e),
+ r AS (SELECT *, 'high' AS side, row_number() OVER (ORDER BY v DESC, frame, y, x) AS rank FROM f UNION ALL SELECT *, 'low', row_number() OVER (ORDER BY v, frame, y, x) FROM f)
+ SELECT frame, y, x, v, side, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def spx20_extreme_pixels(spark, sf_dir):
+    """The highest and lowest values of all frames, away from masks and edges."""
+    return candidates.frame_extremes(_frames(spark, sf_dir), ["frame"], "v", "bad", 20, 20, separation=2.5, chip=4, top=10)
+
+
+_PLACES = """h AS (SELECT y0 AS y, x0 AS x, kind, CAST('0x' || sha256('7:' || y0 || ':' || x0)[1:12] AS BIGINT) AS h FROM (SELECT p_partkey // 50 AS y0, p_partkey % 50 AS x0, p_size % 3 AS kind FROM part)),
+ p AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY h, y, x) AS INTEGER) AS patch FROM h)"""
+
+
+@query(f"""WITH {_PLACES}, q AS (SELECT p_partkey // 50 AS py, p_partkey % 50 AS px, CAST(p_retailprice AS DOUBLE) AS v FROM part)
+ SELECT kind, patch, y, x, py - y AS dy, px - x AS dx, v FROM p JOIN q ON py BETWEEN y AND y + 7 AND px BETWEEN x AND x + 7 WHERE patch <= 40""")
+def src24_balanced_patches(spark, sf_dir):
+    """Forty patches of 8 x 8 pixels of each class, drawn from the whole raster."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 50).alias("y"), (k % 50).alias("x"), F.col("p_retailprice").cast("double").alias("v"), (F.col("p_size") % 3).alias("kind"))
+    places = candidates.draw_places(rows, "kind", 40, seed=7)
+    return candidates.patches(rows.drop("kind"), places, 8)
+
+
 @query()
 def spx23_principal_components(spark, sf_dir):
     """First three principal components by Spark ML."""
