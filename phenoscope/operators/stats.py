@@ -151,31 +151,6 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, low: float, high:
     return rows.groupBy(*keys, "at").agg((F.sum(F.col("m") * F.exp(-z * z / 2)) / F.first(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def mahalanobis(df: DataFrame, keys: list[str], id: str, vector: str, ridge: float = 1e-5) -> DataFrame:
-    """Distance of each vector to its key's mean over the square root of the
-    dimension; null for keys with fewer than dimension + 2 vectors. Means and
-    covariances are sums over rows, only the small inverse runs in Python."""
-    bands = df.select(*keys, id, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    other = df.select(id, F.posexplode(vector).alias("j", "w")).withColumn("w", F.col("w").cast("double"))
-    means = bands.groupBy(*keys, "i").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-    cov = bands.join(other, id).groupBy(*keys, "i", "j").agg(F.covar_samp("v", "w").alias("c"))
-
-    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max()) + 1
-        c = np.zeros((d, d))
-        c[pdf["i"], pdf["j"]] = pdf["c"]
-        inv = np.linalg.inv(c + ridge * np.eye(d))
-        i, j = np.indices((d, d)).reshape(2, -1)
-        return pdf.iloc[[0] * len(i)][keys].reset_index(drop=True).assign(i=i, j=j, p=inv.ravel())
-
-    types = dict(df.dtypes)
-    inverse = cov.groupBy(*keys).applyInPandas(invert, ", ".join(f"{k} {types[k]}" for k in keys) + ", i int, j int, p double")
-    centred = bands.join(means, [*keys, "i"]).select(*keys, id, "i", (F.col("v") - F.col("m")).alias("d"), "n")
-    right = centred.select(id, F.col("i").alias("j"), F.col("d").alias("e"))
-    sums = centred.join(inverse, [*keys, "i"]).join(right, [id, "j"]).groupBy(*keys, id).agg(F.sum(F.col("d") * F.col("p") * F.col("e")).alias("q"), F.max("n").alias("n"), F.count_distinct("i").alias("k"))
-    return sums.select(*keys, id, F.when(F.col("n") >= F.col("k") + 2, F.sqrt(F.col("q") / F.col("k"))).alias("distance"))
-
-
 def simplex_volumes(spark: SparkSession, trials: int, points: int, bands: int, seed: int) -> DataFrame:
     """Largest parallelotope volume found by random spectra, for each number of
     vectors. Every trial is seeded by its own number."""

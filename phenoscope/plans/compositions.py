@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import time
-from ..operators import complexity, detect, frequency, raster, series, stats, zscore
+from ..operators import complexity, components, detect, frequency, raster, series, stats, zscore
 from ..sources import metadata, sinks
 from .registry import query, table
 from .spectra import _grid
@@ -84,16 +84,6 @@ def det07_retrospective_scoring(spark, sf_dir):
     return out.groupBy("user_id").agg(F.min(F.when(F.col("status") == 2, F.col("ts"))).alias("first_drift"), F.count_if(F.col("status") == 2).alias("drift_count"))
 
 
-@query()
-def det10_impulse_response(spark, sf_dir):
-    """A step of each height through the drift detector: when it is seen."""
-    steps = spark.range(5).select(F.col("id").alias("height"), F.explode(F.sequence(F.lit(0), F.lit(79))).alias("t"))
-    wave = 1 + 0.01 * F.sin(F.col("t").cast("double"))
-    rows = steps.select("height", "t", (wave + F.when(F.col("t") >= 50, F.col("height") * 0.1).otherwise(0.0)).alias("score"), F.lit(True).alias("ok"))
-    out = detect.drift_statuses(rows, ["height"], ["t"], "score", "ok")
-    return out.groupBy("height").agg(F.min(F.when(F.col("status") == 2, F.col("t"))).alias("seen_at"))
-
-
 @query("""WITH w AS (SELECT event_id, user_id, epoch_us(ts) AS us, value, avg(ln(value)) OVER p AS m, stddev_samp(ln(value)) OVER p AS s, row_number() OVER o AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS dt, dayofyear(ts) AS doy FROM events WHERE value > 0 WINDOW p AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY ts, event_id))
  SELECT event_id, round(greatest(-5e0, least(5e0, (ln(value) - m) / nullif(s, 0))), 6) AS z, round(sin(2 * pi() * doy / 365.25e0), 7) AS doy_sin, round(1 - exp(-1e-1 * dt / 8.64e10), 7) AS weight, CAST(n AS BIGINT) AS pos FROM w""")
 def ml01_sample_features(spark, sf_dir):
@@ -109,8 +99,8 @@ def ml01_sample_features(spark, sf_dir):
 @query()
 def ml04_default_scorer(spark, sf_dir):
     """Distances of each key's vectors flagged at a contamination of a fifth."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("v"))
-    return stats.contamination(stats.mahalanobis(rows, ["label"], "vec_id", "v"), "distance", 0.2)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), "embedding")
+    return stats.contamination(components.mahalanobis(rows, ["half"], "vec_id", "embedding"), "distance", 0.2)
 
 
 @query()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import series, stats
+from ..operators import components, series, stats
 from .registry import query, table
 
 
@@ -140,25 +140,14 @@ def agg09_kernel_density(spark, sf_dir):
 
 @query()
 def agg20_mahalanobis(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
-    return stats.mahalanobis(rows, ["label"], "vec_id", "v")
+    """All bands; labels are taken in halves, so that a group has more vectors
+    than bands."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), "embedding")
+    return components.mahalanobis(rows, ["half"], "vec_id", "embedding").withColumn("distance", F.round("distance", 8))
 
 
 @query()
-def agg21_volume_monte_carlo(spark, sf_dir):
-    return stats.simplex_volumes(spark, trials=4000, points=6, bands=4, seed=3)
-
-
-@query("""WITH s AS (SELECT unnest(range(0, 61)) AS i), t AS (SELECT a.i AS a, b.i AS b, 60 - a.i - b.i AS c FROM s a, s b WHERE a.i + b.i <= 60) SELECT max(pow(a + b, 2) * (a + 4 * b + 3 * c)) / pow(60e0, 3) AS squared FROM t""")
-def agg22_volume_bound(spark, sf_dir):
-    """Largest squared volume over all splits of 60 into three counts."""
-    return stats.discrete_bound(spark, 60)
-
-
-@query("""WITH c AS (SELECT unnest(range(0, 2048)) AS code) SELECT CAST(code AS INTEGER) AS code, bit_count(code) AS terms FROM c WHERE bit_count(code) BETWEEN 6 AND 10""")
-def agg23_configuration_grid(spark, sf_dir):
-    """All subsets of eleven options that have six to ten of them."""
-    return spark.range(2048).select(F.col("id").cast("int").alias("code"), F.bit_count("id").alias("terms")).where("terms between 6 and 10")
-
-
-
+def ml09_reconstruction_error(spark, sf_dir):
+    """What eight principal components of each half of the labels leave of a vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), "embedding")
+    return components.reconstruction_error(rows, ["half"], "vec_id", "embedding", 8).withColumn("error", F.round("error", 10))
