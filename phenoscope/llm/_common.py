@@ -3,10 +3,13 @@ single task has to compute alone."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,11 +29,30 @@ def worker_cache(name: str, make: Callable[[], object]):
     asks for its own drops it, so stages that follow each other don't add up."""
     if name not in _cache:
         _cache.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _cache[name] = make()
     return _cache[name]
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of this worker hold unused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leaving(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` for ``mapInArrow``, giving memory back when a task ends, so that
+    workers that wait between stages don't keep the largest batch they had."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or
     a temporary folder where a local session names none (tests)."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_side, worker_cache
+from ._common import leaving, materialise, small_side, worker_cache
 from .mixing import _mix64
 
 COORDS = 64
@@ -110,7 +110,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 cols = [part.column(0), pa.array(size), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(sig, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "s0", "s1", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s0 long, s1 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(leaving(run), "doc_id long, n_shingles long, s0 long, s1 long, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -200,7 +200,7 @@ def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tup
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], ["node", "id", "pivot", "near"])
 
     sketches = items.select("id", "sig")
-    rows, ready, links = materialise(sketches.mapInArrow(roots, "node long, id long"), "paths-1"), [], []
+    rows, ready, links = materialise(sketches.mapInArrow(leaving(roots), "node long, id long"), "paths-1"), [], []
     for level in range(1, LEVELS + 1):
         # dealt by node once; most nodes hold one document, which goes no further
         rows = rows.repartition("node")
@@ -214,7 +214,7 @@ def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tup
         pivots = materialise(pivots.select("node", "pivot_sig"), "paths-pivots")
         # ids travel to the sketches where they are few, not the other way
         big = sketches.join(small_side(large), "id").join(small_side(pivots, BROADCAST_ROWS), "node").select("node", "id", "pivot", "sig", "pivot_sig")
-        tested = materialise(big.mapInArrow(against, "node long, id long, pivot long, near boolean"), "paths-tested")
+        tested = materialise(big.mapInArrow(leaving(against), "node long, id long, pivot long, near boolean"), "paths-tested")
         links.append(tested.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         far = materialise(tested.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0"), "paths-far")
         tested = tested.join(small_side(far), "node")
@@ -225,7 +225,7 @@ def _grow(items: DataFrame, trees: int, threshold: float, node_rows: int) -> tup
         else:
             rows = materialise(rows.select("node", "id"), "paths-open")
             again = sketches.join(small_side(rows), "id").select("node", "id", "sig")
-            rows = materialise(again.mapInArrow(deeper(level), "node long, id long"), f"paths-{level + 1}")
+            rows = materialise(again.mapInArrow(leaving(deeper(level)), "node long, id long"), f"paths-{level + 1}")
     empty = items.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, links, empty)
 
@@ -281,7 +281,7 @@ def _candidates(nodes: DataFrame, items: DataFrame, threshold: float) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["a", "b"])
 
     rows = nodes.join(items.select("id", "sig"), "id").select("node", "id", "sig")
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(leaving(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def _confirmed(clusters: DataFrame, width: int, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return clusters.select("key", "id", "text").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
+    return clusters.select("key", "id", "text").repartition("key").sortWithinPartitions("key", "id").mapInArrow(leaving(run), "a long, b long").distinct()
 
 
 def _near_pivots(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _near_pivots(texts: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(hit, pa.bool_())], ["key", "id", "hit"])
 
     pivots = materialise(texts.where("id = key").groupBy("key").agg(F.min("text").alias("pivot_text")), "dup-pivots")
-    tested = texts.select("key", "id", "text").join(small_side(pivots, PIVOT_ROWS), "key").mapInArrow(run, "key long, id long, hit boolean")
+    tested = texts.select("key", "id", "text").join(small_side(pivots, PIVOT_ROWS), "key").mapInArrow(leaving(run), "key long, id long, hit boolean")
     return materialise(tested.groupBy("key", "id").agg(F.min("hit").alias("near"), F.max("hit").alias("linked")), "dup-tested")
 
 

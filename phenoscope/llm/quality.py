@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialise, small_side, worker_cache
+from ._common import leaving, materialise, small_side, worker_cache
 
 #: Held-back labels of each class that calibrate at most, and one label in how
 #: many is held back.
@@ -189,7 +189,7 @@ def _counts(rows: DataFrame, model: Model | None) -> tuple[np.ndarray, np.ndarra
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int64()) for a in at), pa.array(total[at])], ["k", "c", "b", "n"])
 
-    parts = rows.select("y", "places").mapInArrow(run, "k long, c long, b long, n long")
+    parts = rows.select("y", "places").mapInArrow(leaving(run), "k long, c long, b long, n long")
     sums = parts.groupBy("k", "c", "b").agg(F.sum("n").alias("n")).toPandas()  # at most 4 WIDTH rows
     out = np.zeros((2, 2, WIDTH))
     out[sums["k"], sums["c"], sums["b"]] = sums["n"]
@@ -207,7 +207,7 @@ def _calibrated(held: DataFrame, weights: np.ndarray) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, s.T)], ["y", "a", "b", "c"])
 
     # at most CALIBRATION_ROWS rows of each class; sorted, as sums depend on it
-    got = held.select("y", "places").mapInArrow(run, "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])
+    got = held.select("y", "places").mapInArrow(leaving(run), "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])
     y, s = got["y"].to_numpy(float), got[["a", "b", "c"]].to_numpy(float)
     model.content, model.page = regression(s[:, :2], y), regression(s[:, 2:], y)
     model.mix = regression(model.views(s), y)
@@ -244,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     kinds = [known.where((F.col("y") == c) & (F.pmod(turn, F.lit(HELD_BACK)) == 0)).orderBy(turn, "doc_id").limit(CALIBRATION_ROWS) for c in (0, 1)]
     held = kinds[0].unionByName(kinds[1]).select("doc_id", F.lit(True).alias("held"))
     known = materialise(known.join(held, "doc_id", "left").select("doc_id", "y", F.coalesce("held", F.lit(False)).alias("held")), "quality-labels")
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views(docs)).mapInArrow(describe, "doc_id long, places binary")
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views(docs)).mapInArrow(leaving(describe), "doc_id long, places binary")
     rows = seen.join(small_side(known), "doc_id", "left")
     rows = materialise(rows.select(F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("held", F.lit(False)).alias("held"), "places"), "quality-features")
 
@@ -284,7 +284,7 @@ def with_scores(docs: DataFrame, model: Model | None, threshold: float = THRESHO
     # own columns by place, so their names don't matter
     seen = docs.select(*[f.name for f in own], *[c.alias(f"_view_{len(own)}_{k}") for k, c in enumerate(_views(docs))])
     schema = T.StructType([*own, *(T.StructField(n, T.DoubleType()) for n in names)])
-    return seen.mapInArrow(run, schema).withColumn("kept", F.col("score") >= threshold)
+    return seen.mapInArrow(leaving(run), schema).withColumn("kept", F.col("score") >= threshold)
 
 
 def kept_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -302,7 +302,7 @@ def kept_documents(docs: DataFrame, model: Model | None, threshold: float = THRE
                 yield pa.RecordBatch.from_arrays(part.columns[:width], part.schema.names[:width]).filter(pa.array(good))
 
     seen = docs.select(*docs.columns, *[c.alias(f"_view_{width}_{k}") for k, c in enumerate(_views(docs))])
-    return seen.mapInArrow(run, docs.schema)
+    return seen.mapInArrow(leaving(run), docs.schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import worker_cache
+from ._common import leaving, worker_cache
 
 #: Rows and bytes of text that are encoded together and handed to Spark at once.
 OUT_ROWS, OUT_BYTES = 1000, 64 << 20
@@ -270,4 +270,4 @@ def with_ids(docs: DataFrame, path: str, end_id: int | None, text: str = "text",
                 cols = [c for i, c in enumerate(part.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*cols, coded], [*(f.name for f in fields), out])
 
-    return docs.select(*[f.name for f in fields], text).mapInArrow(encode, schema)
+    return docs.select(*[f.name for f in fields], text).mapInArrow(leaving(encode), schema)
