@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import leaving, worker_cache
 
 #: Rows and bytes of text that are encoded together and handed to Spark at once.
-OUT_ROWS, OUT_BYTES = 1000, 64 << 20
+OUT_ROWS, OUT_BYTES = 1000, 4 << 20
 #: A word of more characters makes its text go to the tokenizers library, whose
 #: merging of one word does not grow with the square of its length.
 LONG_WORD = 1000
@@ -245,7 +246,8 @@ def encoder(path: str) -> TextEncoder:
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most OUT_ROWS rows and about OUT_BYTES of text."""
-    sizes = np.array([len(t) if t else 0 for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], np.int64)
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo = 0
     while lo < len(sizes):
         fit = int(np.searchsorted(np.cumsum(sizes[lo : lo + OUT_ROWS]), OUT_BYTES, "right"))
