@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoscope.llm import mixing, neardup, packing, quality, rules
-from phenoscope.llm._common import materialise
+from phenoscope.llm._common import materialise, short_batches
 from phenoscope.llm.tokens import public_path
 
 SEQUENCE, END_ID = 1024, 2
@@ -24,12 +24,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
+    short_batches(spark)
     model = quality.learn(docs, _labels(spark, sf_dir))
     return quality.kept_documents(docs, model)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
+    short_batches(spark)
     rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
     return rules.with_verdict(rows, _labels(spark, sf_dir)).where("kept").select("_doc.*")
 
@@ -37,16 +39,19 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles,
     similarity 0.8 or more)."""
+    short_batches(spark)
     return neardup.keep_one(docs, neardup.group_near_duplicates(docs, width=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words of each source that its weight calls for."""
+    short_batches(spark)
     return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most SEQUENCE tokens and their places in sequences."""
+    short_batches(spark)
     return packing.pack_digests(docs, public_path("byte_bpe_50k.json"), END_ID, SEQUENCE)
 
 

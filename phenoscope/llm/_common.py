@@ -34,6 +34,18 @@ def worker_cache(name: str, make: Callable[[], object]):
     return _cache[name]
 
 
+#: Rows of texts that travel to a Python worker and back at once.
+ARROW_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of the session hold ARROW_ROWS rows at most: executors
+    keep the buffers of the largest batch, on both sides, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def give_back() -> None:
     """Returns to the system what the allocators of this worker hold unused."""
     gc.collect()
