@@ -89,6 +89,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """Like ``materialise``, with the rows of a ``key`` in one of ``parts``
+    buckets: what groups or joins by the key later doesn't shuffle them again.
+    Give rows that are dealt by ``key`` into ``parts`` already, so each task
+    writes one file."""
+    spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    # buckets would be given up where an explode stands between scan and grouping
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    path = f"{scratch_root(spark)}/{unique}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(unique)
+    return spark.table(unique)
+
+
 #: Rows of ids or other short rows that may be broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 

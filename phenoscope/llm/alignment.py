@@ -11,10 +11,12 @@ How it runs
     once, by the relations above; how often it occurs weighs its links. The
     equi-join of the two sides on (segment, end) is said as one grouping of both
     sides' rows: a full outer join forgets in Spark how its rows are dealt, and
-    would shuffle all tokens again. Then the texts, dealt once by a hash of their rows, meet
-    the aligned segments: entries above a count that at most FREQUENT segments
-    reach are broadcast, the others come by shuffle. So no segment that many
-    documents hold is one task's work.
+    would shuffle all tokens again. Aligned segments lie in buckets by segment,
+    so pricing their links and joining them to texts shuffles none of them. Then
+    the texts, dealt once by a hash of their rows, meet them: entries above a
+    count that at most FREQUENT segments reach are broadcast, the others meet
+    their occurrences bucket by bucket. So no segment that many documents hold
+    is one task's work.
 
 Defined results
     Null and empty texts, and those that a tokenizer doesn't give back byte by
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_side, worker_cache
+from ._common import bucketed, materialise, small_side, worker_cache
 from .tokens import byte_symbols
 
 #: Aligned segments that are broadcast at most.
@@ -110,12 +112,12 @@ def _segments(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), text), _CUT)
 
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align_segments(segments: DataFrame, path_a: str, path_b: str, parts: int) -> DataFrame:
     """``segment, n`` of distinct segments with their ``n_a, n_b, groups``
-    (as a text) and ``links`` (pairs of ids), one row each, written."""
+    (as a text) and ``links`` (pairs of ids), one row each, written in ``parts``
+    buckets of segments."""
     paths = (path_a, path_b)
     encoded = segments.mapInArrow(_encoded(paths), "segment string, n long, a array<int>, b array<int>")
-    parts = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments.count() // TASK_SEGMENTS))
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("ids")) for k, c in enumerate("ab")])
     dealt = encoded.repartition(parts, "segment").select("segment", "n", F.inline(sides))
     tokens = dealt.select("segment", "n", "side", F.posexplode("ids").alias("place", "id"))
@@ -141,19 +143,21 @@ def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
         F.max("n").alias("n"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.collect_list("link").alias("links"), F.array_sort(F.collect_list(F.struct("group", "text"))).alias("g")
     )
     told = F.concat_ws(";", F.transform("g", lambda g: g["text"]))
-    return materialise(whole.select("segment", "n", "n_a", "n_b", F.size("g").alias("n_groups"), "links", told.alias("groups")), "aligned")
+    return bucketed(whole.select("segment", "n", "n_a", "n_b", F.size("g").alias("n_groups"), "links", told.alias("groups")), "aligned", "segment", parts)
 
 
-def priced_segments(aligned: DataFrame) -> DataFrame:
+def priced_segments(aligned: DataFrame, parts: int) -> DataFrame:
     """``aligned`` with ``n_links``, ``n_best`` and ``count_sum`` in place of
-    the links, written: a pair's count is how many links of the corpus hold it."""
+    the links, in the same buckets: a pair's count is how many links of the
+    corpus hold it."""
     links = aligned.select("segment", "n", F.inline("links"))
     counts = links.groupBy("a", "b").agg(F.sum("n").alias("count"))
     best = F.max("count").over(Window.partitionBy("b"))  # no more rows than the first vocabulary has
     pairs = materialise(counts.withColumn("best", (F.col("count") == best).cast("long")), "pairs")
     told = [c for c in aligned.columns if c != "links"]
     links = aligned.select(*told, F.inline("links")).join(small_side(pairs), ["a", "b"])
-    return materialise(links.groupBy(*told).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "priced")
+    priced = links.groupBy(*told).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return bucketed(priced, "priced", "segment", parts)
 
 
 def _least_frequent(entries: DataFrame) -> int:
@@ -180,7 +184,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     rows = rows.where(~odd).unionByName(rows.where(odd).mapInArrow(_checked((path_a, path_b)), "doc_id long, text string"))
 
     found = rows.select(F.explode(_segments(F.col("text"))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
-    priced = priced_segments(align_segments(materialise(found, "segments"), path_a, path_b))
+    found = materialise(found, "segments")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_SEGMENTS))
+    priced = priced_segments(align_segments(found, path_a, path_b, parts), parts)
     least = _least_frequent(priced)
     entry = F.struct(*SUMS, "groups").alias("entry")
     often = priced.where(F.col("n") >= least).select(F.col("segment").alias("known"), entry)
