@@ -9,6 +9,7 @@ import gc
 import math
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -89,17 +90,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
-    """Like ``materialise``, with the rows of a ``key`` in one of ``parts``
-    buckets: what groups or joins by the key later doesn't shuffle them again.
-    Give rows that are dealt by ``key`` into ``parts`` already, so each task
-    writes one file."""
-    spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    # buckets would be given up where an explode stands between scan and grouping
-    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    path = f"{scratch_root(spark)}/{unique}"
-    df.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(unique)
-    return spark.table(unique)
+def scratch_table(df: DataFrame, name: str, key: str | None = None, parts: int = 1) -> str:
+    """Like ``materialise``, as a table of a database in the shared folder, so
+    that ``DROP TABLE`` gives its disk back; its name is returned. With ``key``
+    its rows lie in ``parts`` buckets: what groups or joins by the key later
+    doesn't shuffle them again. Give rows that are dealt by ``key`` into
+    ``parts`` then, so each task writes one file."""
+    spark, root = df.sparkSession, scratch_root(df.sparkSession)
+    database = f"phenoscope_{zlib.crc32(root.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/{database}'")
+    table = f"{database}.{name}_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    if key:
+        # buckets would be given up where an explode stands between scan and grouping
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        writer = writer.bucketBy(parts, key)
+    writer.saveAsTable(table)
+    return table
 
 
 #: Rows of ids or other short rows that may be broadcast; more are shuffled.

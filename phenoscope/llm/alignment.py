@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucketed, materialise, small_side, worker_cache
+from ._common import materialise, scratch_table, small_side, worker_cache
 from .tokens import byte_symbols
 
 #: Aligned segments that are broadcast at most.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Bytes of text, and distinct segments, that a task takes on at once.
 TASK_BYTES, TASK_SEGMENTS = 4 << 20, 40_000
 SPACE_MARK = "▁"
@@ -112,9 +112,19 @@ def _segments(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), text), _CUT)
 
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str, parts: int) -> DataFrame:
-    """``segment, n`` of distinct segments with their ``n_a, n_b, groups``
-    (as a text) and ``links`` (pairs of ids), one row each, written in ``parts``
+def _packed(groups: Column) -> Column:
+    """A groups text has thirteen different characters: two go into a byte."""
+    digits = F.translate(groups, ",|;", "abc")
+    return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("f"), digits)).otherwise(digits))
+
+
+def _unpacked(groups: Column) -> Column:
+    return F.translate(F.hex(groups), "ABCF", ",|;")
+
+
+def align_segments(segments: DataFrame, path_a: str, path_b: str, parts: int) -> str:
+    """The table of ``segment, n`` of distinct segments with their ``n_a, n_b``,
+    packed ``groups`` and ``links`` (pairs of ids), one row each, in ``parts``
     buckets of segments."""
     paths = (path_a, path_b)
     encoded = segments.mapInArrow(_encoded(paths), "segment string, n long, a array<int>, b array<int>")
@@ -143,11 +153,12 @@ def align_segments(segments: DataFrame, path_a: str, path_b: str, parts: int) ->
         F.max("n").alias("n"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.collect_list("link").alias("links"), F.array_sort(F.collect_list(F.struct("group", "text"))).alias("g")
     )
     told = F.concat_ws(";", F.transform("g", lambda g: g["text"]))
-    return bucketed(whole.select("segment", "n", "n_a", "n_b", F.size("g").alias("n_groups"), "links", told.alias("groups")), "aligned", "segment", parts)
+    whole = whole.select("segment", "n", "n_a", "n_b", F.size("g").alias("n_groups"), "links", _packed(told).alias("groups"))
+    return scratch_table(whole, "aligned", "segment", parts)
 
 
-def priced_segments(aligned: DataFrame, parts: int) -> DataFrame:
-    """``aligned`` with ``n_links``, ``n_best`` and ``count_sum`` in place of
+def priced_segments(aligned: DataFrame, parts: int) -> str:
+    """The table of ``aligned`` with ``n_links``, ``n_best`` and ``count_sum`` in place of
     the links, in the same buckets: a pair's count is how many links of the
     corpus hold it."""
     links = aligned.select("segment", "n", F.inline("links"))
@@ -157,7 +168,7 @@ def priced_segments(aligned: DataFrame, parts: int) -> DataFrame:
     told = [c for c in aligned.columns if c != "links"]
     links = aligned.select(*told, F.inline("links")).join(small_side(pairs), ["a", "b"])
     priced = links.groupBy(*told).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return bucketed(priced, "priced", "segment", parts)
+    return scratch_table(priced, "priced", "segment", parts)
 
 
 def _least_frequent(entries: DataFrame) -> int:
@@ -184,9 +195,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     rows = rows.where(~odd).unionByName(rows.where(odd).mapInArrow(_checked((path_a, path_b)), "doc_id long, text string"))
 
     found = rows.select(F.explode(_segments(F.col("text"))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
-    found = materialise(found, "segments")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_SEGMENTS))
-    priced = priced_segments(align_segments(found, path_a, path_b, parts), parts)
+    found = scratch_table(found, "segments")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spark.table(found).count() // TASK_SEGMENTS))
+    aligned = align_segments(spark.table(found), path_a, path_b, parts)
+    priced = spark.table(priced_segments(spark.table(aligned), parts))
+    for done in (found, aligned):
+        spark.sql(f"DROP TABLE {done} PURGE")
     least = _least_frequent(priced)
     entry = F.struct(*SUMS, "groups").alias("entry")
     often = priced.where(F.col("n") >= least).select(F.col("segment").alias("known"), entry)
@@ -206,8 +220,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     near = near.groupBy("key", "doc_id", "rows").agg(*collected)
     far = far.groupBy("key").agg(*collected).select(F.col("key").alias("far_key"), *[F.col(c).alias(f"far_{c}") for c in (*SUMS, "parts")])
     both = near.join(far, F.col("key") == F.col("far_key"), "left")
-    none = F.array().cast("array<struct<place:int,g:string>>")
+    none = F.array().cast("array<struct<place:int,g:binary>>")
     parts_sorted = F.array_sort(F.concat("parts", F.coalesce("far_parts", none)))
     sums = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"far_{c}", F.lit(0))).alias(c) for c in SUMS]
-    out = both.select("doc_id", "rows", *sums, F.concat_ws(";", F.transform(parts_sorted, lambda p: p["g"])).alias("groups"))
+    out = both.select("doc_id", "rows", *sums, F.concat_ws(";", F.transform(parts_sorted, lambda p: _unpacked(p["g"]))).alias("groups"))
     return out.withColumn("copy", F.explode(F.expr("sequence(1L, rows)"))).drop("rows", "copy")
