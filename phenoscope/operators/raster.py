@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
+
 
 def stretch(df: DataFrame, keys: list[str], value: str, low: float, high: float, gamma: float = 1.0, out: str = "stretched") -> DataFrame:
     """Percentile stretch of each frame to 0..255 with a gamma, truncated; null
@@ -91,25 +93,17 @@ def box_mean(df: DataFrame, value: str, size: int, height: int, width: int) -> D
     return back.select("y", "x", (F.col("m") / F.nullif(F.col("c"), F.lit(0))).alias("mean"))
 
 
-def mean_spectral_distance(df: DataFrame, spectrum: str, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """Per pixel: the mean, over the windows that cover it, of the windows' mean
-    Euclidean distance to their mean spectrum."""
-    from .zscore import _windows
-
-    rows = _windows(df.where(F.col(spectrum).isNotNull()), size, stride, height, width)
-    bands = rows.select("wy", "wx", F.posexplode(spectrum).alias("band", "v")).groupBy("wy", "wx", "band").agg(F.avg("v").alias("m"))
-    mean = bands.groupBy("wy", "wx").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("mean"))
-    gap = F.sqrt(F.aggregate(F.zip_with(spectrum, "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    per = rows.join(mean, ["wy", "wx"]).groupBy("wy", "wx").agg(F.avg(gap).alias("d"))
-    return rows.select("y", "x", "wy", "wx").join(per, ["wy", "wx"]).groupBy("y", "x").agg(F.avg("d").alias("msd"))
+def mean_spectral_distance(df: DataFrame, spectrum: str, size: int, stride: int, height: int, width: int, keys: list[str] | None = None, band_rows: int = windows.SPECTRAL_ROWS) -> DataFrame:
+    """Per pixel of each frame (``keys``): the mean, over the windows that cover
+    it, of the windows' mean Euclidean distance to their mean spectrum. Spectra
+    that are null or hold a null or NaN take no part."""
+    rows = df.where(~F.exists(spectrum, lambda v: v.isNull() | F.isnan(v)))
+    return windows.by_pixel(rows, keys or [], spectrum, "msd", size, stride, height, width, windows.spectral_distance, band_rows)
 
 
 def best_window(df: DataFrame, value: str, clear: Column, size: int, stride: int, height: int, width: int, least: float) -> DataFrame:
     """The window with the largest clear share, then variance; the first one
     of equals. Windows below ``least`` are left out."""
-    from .zscore import _windows
-
-    w = _windows(df, size, stride, height, width).groupBy("wy", "wx").agg(
-        (F.count_if(clear) / F.lit(size * size)).alias("share"), F.round(F.coalesce(F.var_pop(F.when(clear, F.col(value))), F.lit(0.0)), 6).alias("variance")
-    )
+    w = windows.clear_windows(df, [], value, clear, size, stride, height, width)
+    w = w.select("wy", "wx", (F.col("clear") / F.lit(size * size)).alias("share"), F.round("variance", 6).alias("variance"))
     return w.where(F.col("share") >= least).orderBy(F.desc("share"), F.desc("variance"), "wy", "wx").limit(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import windows
 from ._tables import with_group
 
 
@@ -32,36 +33,17 @@ def interval_coverage(df: DataFrame, keys: list[str], z: str, bound: float = 1.6
     return df.where(F.col(z).isNotNull()).groupBy(*keys).agg(F.avg((F.abs(z) <= bound).cast("double")).alias("coverage"))
 
 
-def _windows(df: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """A row for each whole window (origin ``wy, wx``) that a pixel is in."""
+def local_zscore(df: DataFrame, value: str, size: int, stride: int, height: int, width: int, keys: list[str] | None = None, band_rows: int = windows.BAND_ROWS) -> DataFrame:
+    """Per pixel of each frame (``keys``): the mean, over the windows that cover
+    it, of its z-score in the window (sd with n, at least two values; 0 where they
+    are all equal)."""
+    rows = df.withColumn(value, F.col(value).cast("double"))
+    return windows.by_pixel(rows, keys or [], value, "z", size, stride, height, width, windows.standardised(size), band_rows)
 
-    def origins(at: str, extent: int) -> Column:
-        low = F.greatest(F.lit(0), F.ceil((F.col(at) - size + 1) / stride)).cast("int")
-        high = F.least(F.floor(F.col(at) / stride), F.lit((extent - size) // stride)).cast("int")
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    rows = df.select("*", F.explode(origins("y", height)).alias("_j"))
-    rows = rows.select("*", F.explode(origins("x", width)).alias("_i"))
-    return rows.withColumn("wy", F.col("_j") * stride).withColumn("wx", F.col("_i") * stride).drop("_i", "_j")
-
-
-def local_zscore(df: DataFrame, value: str, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """Per pixel: the mean, over the windows that cover it, of its z-score in
-    the window (sd with n, at least two values; 0 where they are all equal)."""
-    rows = _windows(df.where(F.col(value).isNotNull()), size, stride, height, width)
-    stats = rows.groupBy("wy", "wx").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count(value).alias("_n")).where("_n >= 2")
-    z = F.when(F.col("_s") <= 1e-12, F.lit(0.0)).otherwise((F.col(value) - F.col("_m")) / F.col("_s"))
-    return rows.join(stats, ["wy", "wx"]).groupBy("y", "x").agg(F.avg(z).alias("z"))
-
-
-def annular_zscore(df: DataFrame, value: str, size: int, guard: int, stride: int, height: int, width: int) -> DataFrame:
+def annular_zscore(df: DataFrame, value: str, size: int, guard: int, stride: int, height: int, width: int, keys: list[str] | None = None, band_rows: int = windows.BAND_ROWS) -> DataFrame:
     """Like ``local_zscore``, but the statistics come from the ring outside the
     guard box (five pixels at least, sd above 1e-6), and only pixels inside the
     guard box are scored."""
-    rows = _windows(df.where(F.col(value).isNotNull()), size, stride, height, width)
-    c, g = size // 2, guard // 2
-    inner = F.greatest(F.abs(F.col("y") - F.col("wy") - c), F.abs(F.col("x") - F.col("wx") - c)) <= g
-    rows = rows.withColumn("inner", inner)
-    ring = F.when(~F.col("inner"), F.col(value))
-    stats = rows.groupBy("wy", "wx").agg(F.avg(ring).alias("_m"), F.stddev_pop(ring).alias("_s"), F.count(ring).alias("_n")).where("_n >= 5 and _s > 1e-6")
-    return rows.where("inner").join(stats, ["wy", "wx"]).groupBy("y", "x").agg(F.avg((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
+    rows = df.withColumn(value, F.col(value).cast("double"))
+    return windows.by_pixel(rows, keys or [], value, "z", size, stride, height, width, windows.standardised(size, guard, 5), band_rows)

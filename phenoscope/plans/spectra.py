@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, complexity, extremes, stats
+from ..operators import candidates, complexity, extremes, hulls, stats
 from .registry import query, table
 
 
@@ -127,6 +127,29 @@ def spx23_principal_components(spark, sf_dir):
     return model.transform(rows).select("vec_id", vector_to_array("p").alias("p"))
 
 
+_ENDS = "p AS (SELECT p_brand AS k, CAST(p_size AS BIGINT) AS x, CAST(round(p_retailprice * 100) AS BIGINT) AS y, p_partkey AS id FROM part), e AS (SELECT k, x, max(y) AS hi, min(y) AS lo FROM p GROUP BY 1, 2), r AS (SELECT k, min(x) AS x0, max(x) AS x1 FROM e GROUP BY 1)"
+
+
+def _no_chord(end: str, sign: str) -> str:
+    """No chord between points on both sides passes the point or leaves it inside."""
+    return f"NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.k = b.k WHERE a.k = e.k AND a.x < e.x AND b.x > e.x AND (b.{end} - a.{end}) * (e.x - a.x) {sign} (e.{end} - a.{end}) * (b.x - a.x))"
+
+
+@query(f"""WITH {_ENDS}, c AS (SELECT e.k, e.x, e.hi AS y FROM e JOIN r USING (k) WHERE {_no_chord("hi", ">=")} UNION SELECT e.k, e.x, e.lo FROM e JOIN r USING (k) WHERE {_no_chord("lo", "<=")})
+ SELECT k AS p_brand, min(id) AS p_partkey, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c JOIN p USING (k, x, y) GROUP BY 1, 3, 4""")
+def spx23_hull_corners(spark, sf_dir):
+    """Corners of the convex hulls of sizes and prices (in cents), by brand."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").alias("x"), F.round(F.col("p_retailprice") * 100).cast("long").alias("y"))
+    return hulls.convex_hulls(rows, ["p_brand"], "p_partkey", "x", "y").drop("corner")
+
+
+@query()
+def spx23_hulls_of_components(spark, sf_dir):
+    """Hulls, label by label, of the vectors on their first two principal components."""
+    p = spx23_principal_components(spark, sf_dir).join(_tiles(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    return hulls.convex_hulls(p.select("label", "vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")), ["label"], "vec_id", "x", "y")
+
+
 @query()
 def fn19_smoothed_spectra(spark, sf_dir):
     return complexity.smoothed_spectra(_tiles(spark, sf_dir), "vec_id", "embedding")
@@ -137,7 +160,7 @@ def _grid(spark, sf_dir, side=40, height=None):
     or of the next frame after every ``height`` rows."""
     n = F.col("vec_id")
     frame, at = (F.floor(n / (side * height)), n % (side * height)) if height else (F.lit(0).cast("long"), n)
-    return table(spark, sf_dir, "embeddings").select(frame.alias("frame"), F.floor(at / side).cast("int").alias("y"), (at % side).cast("int").alias("x"), F.slice("embedding", 1, 10).alias("s"))
+    return table(spark, sf_dir, "embeddings").select(frame.alias("frame"), F.floor(at / side).cast("int").alias("y"), (at % side).cast("int").alias("x"), F.col("embedding").alias("s"))
 
 
 @query()
@@ -154,6 +177,3 @@ def win02_sliding_complexity(spark, sf_dir):
 def win04_sliding_use_rest(spark, sf_dir):
     rows = _grid(spark, sf_dir, 20, 25).withColumn("s", F.when((F.col("y") != 5) | (F.col("x") != 5), F.col("s")))
     return complexity.sliding_complexity(rows, ["frame"], "s", 3, 1, 7, 25, 20, band_rows=8, on_invalid="use_rest")
-
-
-
