@@ -13,7 +13,8 @@ def log_zscore(df: DataFrame, value: str, keys: list[str], valid: Column | None
     """``(ln v - mean) / sd`` over the rows of ``keys`` that are valid and
     positive (sd with n - 1). Null where fewer than ``least`` rows take part or
     they are all equal; ``strict`` raises on the latter. ``score='positive'``
-    also scores positive rows that are not valid. The statistics are sums before
+    also scores positive rows that are not valid, ``score='all'`` every row: the
+    logarithm of 0 is -inf, that of less NaN. The statistics are sums before
     the shuffle, so a key may hold any share of the rows."""
     positive = F.coalesce(F.col(value) > 0, F.lit(False))
     used = positive if valid is None else positive & F.coalesce(valid, F.lit(False))
@@ -22,7 +23,8 @@ def log_zscore(df: DataFrame, value: str, keys: list[str], valid: Column | None
     counted = F.when(used, log)
     stats = df.groupBy(*keys).agg(F.avg(counted).alias("_mean"), F.stddev_samp(counted).alias("_sd"), F.count(counted).alias("_n"))
     mean, sd, n = F.col("_mean"), F.col("_sd"), F.col("_n")
-    scored = log if score == "positive" else counted
+    endless = F.when(F.col(value) == 0, F.lit(float("-inf"))).when(F.col(value) < 0, F.lit(float("nan")))
+    scored = {"positive": log, "all": F.coalesce(log, endless)}.get(score, counted)
     flat = F.raise_error(F.lit("constant group")).cast("double") if strict else F.lit(None).cast("double")
     z = F.when((n >= max(least, 2)) & (sd == 0), flat).otherwise((scored - mean) / F.nullif(sd, F.lit(0.0)))
     return with_group(df, stats, keys).withColumn(out, F.when(n >= least, z)).drop("_mean", "_sd", "_n")

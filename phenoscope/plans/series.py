@@ -30,8 +30,12 @@ def z01_log_zscore_frame(spark, sf_dir):
 @query("""WITH s AS (SELECT event_type, avg(ln(value)) AS m, stddev_samp(ln(value)) AS s FROM events WHERE value > 0 AND user_id % 4 <> 0 GROUP BY 1)
  SELECT event_id, round((ln(value) - m) / nullif(s, 0), 7) AS z FROM events JOIN s USING (event_type)""")
 def z01_log_zscore_scores_masked(spark, sf_dir):
-    """Statistics from valid rows, scores for every positive one."""
-    return _z(spark, sf_dir, ["event_type"], valid=F.col("user_id") % 4 != 0, score="positive")
+    """Statistics from valid positive rows, scores for every row of a type that
+    has any: -inf for a value of 0."""
+    ev, valid = table(spark, sf_dir, "events"), F.col("user_id") % 4 != 0
+    known = ev.where(valid & (F.col("value") > 0)).select("event_type").distinct()
+    rows = zscore.log_zscore(ev.join(known, "event_type", "left_semi"), "value", ["event_type"], valid=valid, score="all")
+    return rows.select("event_id", F.round("z", 7).alias("z"))
 
 
 @query("""WITH c AS (SELECT *, user_id % 3 AS sensor FROM events WHERE value > 0) SELECT event_id, round((ln(value) - avg(ln(value)) OVER w) / nullif(stddev_samp(ln(value)) OVER w, 0), 7) AS z FROM c WINDOW w AS (PARTITION BY sensor)""")
