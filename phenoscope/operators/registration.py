@@ -190,7 +190,9 @@ def register_frames(df: DataFrame, keys: list[str], frame: str, value: str, vali
         return pdf[[*told, "y0", "x0", "clear"]].head(1).assign(dy=dy, dx=dx, degrees=degrees, r=r)
 
     fields = [f for f in inside.select(*told, "y0", "x0", "clear").schema.fields] + [T.StructField(c, T.DoubleType()) for c in ("dy", "dx", "degrees", "r")]
-    fitted = inside.groupBy(*told).applyInPandas(fit, T.StructType(fields))
+    # a fit costs far more time than bytes, so partitions must not be merged by size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = inside.repartition(parts, *told).groupBy(*told).applyInPandas(fit, T.StructType(fields))
     offset = F.hypot(F.col("dx") * pixel[1], F.col("dy") * pixel[0])
     out = pairs.select(*told).distinct().join(fitted, told, "left").withColumn("offset", offset)
     return out.withColumn("verdict", F.when(F.col("dy").isNull(), "no overlap").when(F.col("offset") > limit, "too far").otherwise("ok"))

@@ -36,3 +36,13 @@ def test_scores_of_all_rows(spark, tmp_path):
     rows += [(0, 1, "one", 3.0), (0, 2, "one", 0.0), (0, 4, "none", 2.0), (0, 1, "none", 0.0), (0, 1, None, 2.0)]
     got, want = both(spark, events(spark, str(tmp_path), rows), "z01_log_zscore_scores_masked", "events")
     assert got == want and len(got) == 11
+
+
+def test_no_pixels_are_broadcast(spark, tmp_path):
+    from phenoscope.plans import detection
+
+    rows = [(k, 1000.0 + k % 7) for k in range(1, 400)]
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    pixels = detection._lit_frames(spark, str(tmp_path))
+    assert "Broadcast" not in pixels._jdf.queryExecution().executedPlan().toString()
+    assert pixels.count() == 2 * 4 * 4096 and pixels.where("v is null").isEmpty()
