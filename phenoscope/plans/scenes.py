@@ -40,18 +40,15 @@ _PAIRS = _S + """, p AS (SELECT a.id AS a, b.id AS b, (least(a.x1, b.x1) - great
  FROM s a JOIN s b ON a.id > b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"""
 
 
-def _pairs(spark, sf_dir):
-    return joins.overlapping_boxes(_scenes(spark, sf_dir).where("x0 is not null"), "id", 20.0, 0.5)
-
-
 @query(_PAIRS + " SELECT a, b, round(cover, 7) AS cover FROM p WHERE cover >= 5e-1")
 def jn07_scene_overlap(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", F.round("cover", 7).alias("cover"))
+    pairs = joins.overlapping_boxes(_scenes(spark, sf_dir), "id", 20.0, 0.5)
+    return pairs.select("a", "b", F.round("cover", 7).alias("cover"))
 
 
 @query(_PAIRS.replace("WITH s AS", "WITH RECURSIVE s AS") + """, e AS (SELECT a, b FROM p WHERE cover >= 5e-1 UNION SELECT b, a FROM p WHERE cover >= 5e-1), r AS (SELECT DISTINCT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT id, min(seen) AS component FROM r GROUP BY 1""")
 def jn08_components(spark, sf_dir):
-    return joins.components(_pairs(spark, sf_dir))
+    return joins.overlap_components(_scenes(spark, sf_dir), "id", 20.0, 0.5)
 
 
 @query(_S + " SELECT CAST(floor((x0 / 3 + 180) / 6) AS INTEGER) + 1 AS zone, min(least(x0, x1)) AS lo, max(greatest(x0, x1)) AS hi, CAST(ceil((max(x1) - min(x0)) / 30e0) AS INTEGER) AS cols FROM s WHERE x0 IS NOT NULL GROUP BY 1")

@@ -46,3 +46,19 @@ def test_no_pixels_are_broadcast(spark, tmp_path):
     pixels = detection._lit_frames(spark, str(tmp_path))
     assert "Broadcast" not in pixels._jdf.queryExecution().executedPlan().toString()
     assert pixels.count() == 2 * 4 * 4096 and pixels.where("v is null").isEmpty()
+
+
+def test_copies_of_scenes(spark, tmp_path, monkeypatch):
+    """Keys 63,000 apart have equal boxes: pairs of boxes are made of pairs of
+    places, and components never see them."""
+    from phenoscope.operators import joins
+
+    keys = [k + 63_000 * c for k in (1, 2, 7, 50, 1001, 7001, 14_001) for c in range(9)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("jn07_scene_overlap", "jn08_components"):
+        got, want = both(spark, str(tmp_path), name, "customer")
+        assert got == want and got
+    seen, whole = [], joins.components
+    monkeypatch.setattr(joins, "components", lambda e: seen.append(e.count()) or whole(e))
+    registry.QUERIES["jn08_components"](spark, str(tmp_path))
+    assert seen[0] < 30
