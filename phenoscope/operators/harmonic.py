@@ -6,11 +6,15 @@ number of pixels. Times are fractional years, ``valid`` marks usable rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import kernels, moments
 
@@ -19,19 +23,61 @@ PERIODS = (1.19, 1.499, 1.0)
 
 
 def _per_series(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame], dict | pd.DataFrame], schema: str) -> DataFrame:
+    """What ``run`` says of each key's rows in ``order``. Spark deals and sorts
+    the rows, so a batch holds many series; a series may go over several.
+    Where ``run`` has ``together``, that is asked about some series at once."""
     types = dict(df.dtypes)
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        got = run(pdf)
-        out = pd.DataFrame([got]) if isinstance(got, dict) else got
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    schema = "".join(f"{k} {types[k]}, " for k in keys) + schema
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def told(asked: list[tuple[list, pd.DataFrame]]) -> pa.RecordBatch:
+        series = [pdf for _, pdf in asked]
+        found = run.together(series) if hasattr(run, "together") else [run(pdf) for pdf in series]
+        parts = list(zip([key for key, _ in asked], found, strict=True))
+        if isinstance(parts[0][1], dict):
+            out = pd.DataFrame([got for _, got in parts], dtype=object)
+            sizes = np.ones(len(parts), np.int64)
+        else:
+            out, sizes = pd.concat([got for _, got in parts], ignore_index=True), np.array([len(got) for _, got in parts])
+        at = np.repeat(np.arange(len(parts)), sizes)
+        columns = [pa.array([key[i] for key, _ in parts], arrow.field(i).type).take(pa.array(at)) for i in range(len(keys))]
+        columns += [pa.Array.from_pandas(out[f.name], type=f.type) for f in list(arrow)[len(keys) :]]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def all_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key_of = lambda b: [b.column(k)[0].as_py() for k in keys]
+
+        def ended() -> tuple[list, pd.DataFrame]:
+            return key_of(held[0]), pa.Table.from_batches(held).to_pandas()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh = np.zeros(b.num_rows, bool)
+            for k in keys:
+                fresh[1:] |= np.diff(b.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)) != 0
+            fresh[0] = bool(held) and key_of(held[0]) != key_of(b)
+            starts = np.flatnonzero(fresh)
+            if not len(starts):
+                held.append(b)
+                continue
+            parts, first = [], int(starts[0])
+            if first:
+                held.append(b.slice(0, first))
+            parts.append(ended())
+            pdf = b.to_pandas()
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                parts.append((key_of(b.slice(lo, 1)), pdf.iloc[lo:hi]))
+            held = [b.slice(int(starts[-1]))]
+            yield told(parts)
+        if held:
+            yield told([ended()])
 
     # a series costs far more time than bytes, so partitions must not be merged by size
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).groupBy(*keys).applyInPandas(grouped, "".join(f"{k} {types[k]}, " for k in keys) + schema)
+    sorted_rows = df.repartition(parts, *keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order])
+    return sorted_rows.mapInArrow(all_series, schema)
 
 
 def train_and_scan(df: DataFrame, keys: list[str], t: str, y: str, valid: str, end: float, periods=(1.0, 0.5), least: int = 15, factor: float = 3.5, run: int = 3, floor: float = 1e-5) -> DataFrame:
@@ -107,7 +153,8 @@ def _trailing_fits(tt: np.ndarray, yy: np.ndarray, window: float, least: int, wi
     sums = lambda x: np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, 0)))
     part = lambda x: (s := sums(x))[i] - s[lo]
     g, b, q, n = part(a[:, :, None] * a[:, None]), part(a * yy[:, None]), part(yy**2), i - lo
-    sound = (np.linalg.cond(g) < 1e8) & (n > a.shape[1])
+    root = np.linalg.eigvalsh(g)
+    sound = (root[:, -1] < 1e8 * root[:, 0]) & (n > a.shape[1])
     predicted, square = np.zeros(len(i)), np.zeros(len(i))
     if sound.any():
         c = np.linalg.solve(g[sound], b[sound][..., None])[..., 0]
@@ -146,28 +193,39 @@ def harmonized_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str,
 def harmonized(df: DataFrame, keys: list[str], t: str, y: str, valid: str, run: int = 4, **options) -> DataFrame:
     """Per series what ``harmonized_rows`` finds: the time its first change
     begins, the number of observations in a change, and the mean error."""
-    window, least, widest = options.get("window", 3.0), options.get("least", 12), options.get("widest", 5.0)
-    periods, factor, floor = options.get("periods", PERIODS), options.get("factor", 3.0), options.get("floor", 1e-5)
-    terms = options.get("linear", True), options.get("quadratic", False)
-
     def series(pdf: pd.DataFrame) -> dict:
-        ok = pdf[valid].to_numpy(bool)
-        tt, yy = pdf[t].to_numpy(float)[ok], pdf[y].to_numpy(float)[ok]
-        i, predicted, rmse = _trailing_fits(tt, yy, window, least, widest, periods, *terms, floor)
-        hits, count, first = 0, 0, None
-        for k, odd in zip(i, np.abs(yy[i] - predicted) > factor * rmse):
-            hits = hits + 1 if odd else 0
-            if hits >= run:
-                count += 1
-                first = float(tt[k - run + 1]) if first is None else first
-        return {"change_at": first, "change_count": count, "mean_rmse": float(rmse.mean()) if len(i) else None}
+        return _changes(pdf, t, y, valid, run, **options)
 
     return _per_series(df, keys, [t], series, "change_at double, change_count long, mean_rmse double")
 
 
-def _dynamic_fits(tt: np.ndarray, yy: np.ndarray, ok: np.ndarray, freqs: np.ndarray, window: float, min_span: float, least: int, k: int, ridge: float) -> dict[str, np.ndarray]:
+def sweep(df: DataFrame, keys: list[str], t: str, y: str, valid: str, settings: list[dict], run: int = 4) -> DataFrame:
+    """``harmonized`` for several settings in one pass: ``change_count_i`` and
+    ``mean_rmse_i`` of setting ``i``."""
+
+    def series(pdf: pd.DataFrame) -> dict:
+        return {f"{c}_{i}": v for i, s in enumerate(settings) for c, v in _changes(pdf, t, y, valid, run, **s).items() if c != "change_at"}
+
+    return _per_series(df, keys, [t], series, ", ".join(f"change_count_{i} long, mean_rmse_{i} double" for i in range(len(settings))))
+
+
+def _changes(pdf: pd.DataFrame, t: str, y: str, valid: str, run: int, window: float = 3.0, least: int = 12, widest: float = 5.0, periods=PERIODS, factor: float = 3.0, floor: float = 1e-5, linear: bool = True, quadratic: bool = False) -> dict:
+    ok = pdf[valid].to_numpy(bool)
+    tt, yy = pdf[t].to_numpy(float)[ok], pdf[y].to_numpy(float)[ok]
+    i, predicted, rmse = _trailing_fits(tt, yy, window, least, widest, periods, linear, quadratic, floor)
+    hits, count, first = 0, 0, None
+    for k, odd in zip(i.tolist(), (np.abs(yy[i] - predicted) > factor * rmse).tolist()):
+        hits = hits + 1 if odd else 0
+        if hits >= run:
+            count += 1
+            first = float(tt[k - run + 1]) if first is None else first
+    return {"change_at": first, "change_count": count, "mean_rmse": float(rmse.mean()) if len(i) else None}
+
+
+def _dynamic_fits(tt: np.ndarray, yy: np.ndarray, ok: np.ndarray, freqs: np.ndarray, window: float, min_span: float, least: int, k: int, ridge: float, estimator: str = "omp") -> dict[str, np.ndarray]:
     """Predictions, standard errors, frequencies and amplitudes of all
-    observations that have a trailing window, by running sums."""
+    observations that have a trailing window: by running sums for frequencies
+    of the grid, else by tables with a row a window."""
     out = {"at": np.zeros(0, np.int64), "predicted": np.zeros(0), "bound": np.zeros(0), "frequency": np.zeros((0, k)), "amplitude": np.zeros((0, k))}
     if not ok.any():
         return out
@@ -180,6 +238,9 @@ def _dynamic_fits(tt: np.ndarray, yy: np.ndarray, ok: np.ndarray, freqs: np.ndar
     for part, first, last in moments.blocks(lo, hi):
         base, v = t[first:last] - t[first], y[first:last]
         a, z, target = lo[part] - first, hi[part] - first, tt[at[part]] - t[first]
+        if estimator != "omp":
+            parts += [_laid_out_fits(base, v, a[r], z[r], target[r], freqs, k, ridge, estimator) for r in moments.shares(a, z)]
+            continue
         fits = moments.Fits(base, v, a, z, freqs, k, ridge, centred=True)
         sigma = moments.robust_sigma(base, v, a, z, fits, freqs, 1e-6)
         x = fits.design(target, freqs)
@@ -191,6 +252,29 @@ def _dynamic_fits(tt: np.ndarray, yy: np.ndarray, ok: np.ndarray, freqs: np.ndar
     return out
 
 
+def _laid_out_fits(t: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray, freqs: np.ndarray, k: int, ridge: float, estimator: str) -> tuple[np.ndarray, ...]:
+    """``predicted, bound, frequency, amplitude`` of windows whose frequencies
+    are refined off the grid (``nomp``) or distinct peaks (``ndft``)."""
+    at, inside = moments.laid_out(lo, hi, len(t))
+    when, v = t[at] - target[:, None], np.where(inside, y[at], 0.0)
+    if estimator == "nomp":
+        start = freqs[moments.Fits(t, y, lo, hi, freqs, k, 1e-5, centred=True).picks]
+        centred = np.where(inside, v - (v.sum(1) / (hi - lo))[:, None], 0.0)
+        f = moments.refined(when, centred, inside, start, freqs[1] - freqs[0] if len(freqs) > 1 else 0.0)
+    else:
+        f = moments.strongest(t, y, lo, hi, freqs, k)
+    phase = 2 * np.pi * when[..., None] * f[:, None, :]
+    pairs = np.stack((np.cos(phase), np.sin(phase)), -1).reshape(*when.shape, -1)
+    a = np.concatenate((np.ones((*when.shape, 1)), pairs), -1) * inside[..., None]
+    x = np.tile([1.0] + [1.0, 0.0] * k, (len(lo), 1))
+    turned = np.swapaxes(a, 1, 2)
+    both = np.linalg.solve(turned @ a + ridge * np.eye(1 + 2 * k), np.concatenate((turned @ v[..., None], x[..., None]), 2))
+    coef, spread = both[..., 0], both[..., 1]
+    sigma = moments.sigmas(v - (a @ coef[..., None])[..., 0], inside, 1e-6)
+    pairs = coef[:, 1:].reshape(len(x), k, 2)
+    return (x * coef).sum(1), sigma * np.sqrt(1 + (x * spread).sum(1)), f, np.hypot(pairs[..., 0], pairs[..., 1])
+
+
 def dynamic_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window: float = 4.0, min_span: float = 0.1, bins: int = 100, least: int = 8, k: int = 2, low: float = 0.2, high: float = 4.0, ridge: float = 1e-5, factor: float = 2.0, run: int = 4) -> DataFrame:
     """Dynamic harmonic regression, every observation with its ``predicted``
     value, ``bound`` (standard error ``S`` of the prediction), ``frequency`` and
@@ -210,11 +294,12 @@ def dynamic_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str, win
         ok = pdf[valid].eq(True).to_numpy(bool) & np.isfinite(yy)
         got = _dynamic_fits(tt, yy, ok, freqs, window, min_span, least, k, ridge)
         at = got["at"]
-        out = pd.DataFrame({t: tt, y: pdf[y].to_numpy(), "predicted": None, "bound": None, "frequency": None, "amplitude": None, "anomaly": False}, dtype=object)
+        out = {t: tt, y: pdf[y].to_numpy()}
         for c in ("predicted", "bound", "frequency", "amplitude"):
-            column = np.full(len(tt), None, object)
-            column[at] = [v.tolist() for v in got[c]]
-            out[c] = column
+            out[c] = column = np.full(len(tt), None, object)
+            values = got[c].tolist()
+            for i, v in zip(at.tolist(), values, strict=True):
+                column[i] = v
         odd = np.zeros(len(tt), bool)
         odd[at] = ok[at] & (np.abs(yy[at] - got["predicted"]) > factor * got["bound"])
         out["anomaly"] = odd
@@ -222,8 +307,8 @@ def dynamic_rows(df: DataFrame, keys: list[str], t: str, y: str, valid: str, win
         settles[at] |= ~odd[at]
         count = np.cumsum(odd)
         out["streak"] = count - np.maximum.accumulate(np.where(settles, count, 0)) if len(tt) else count
-        out["change"] = out["streak"].to_numpy(int) >= run
-        return out
+        out["change"] = out["streak"] >= run
+        return pd.DataFrame(out)
 
     schema = f"{t} double, {y} double, predicted double, bound double, frequency array<double>, amplitude array<double>, anomaly boolean, streak long, change boolean"
     return _per_series(df, keys, [t, y], series, schema)
@@ -238,16 +323,12 @@ def dynamic(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window:
 
     def frequencies(tt: np.ndarray, yy: np.ndarray) -> np.ndarray:
         z = yy - yy.mean()
-        if estimator == "nomp":
-            return kernels.refined_pursuit(tt, z, freqs, k)[0]
-        if estimator == "ndft":
-            return kernels.distinct_peaks(freqs, kernels.spectrum(tt, z, freqs), k)
         return kernels.distinct_peaks(freqs, kernels.sparse_spectrum(tt, z, freqs, "l1" if estimator == "bpdn" else "log", 200), k)
 
     def pursued(pdf: pd.DataFrame) -> dict:
         ok = pdf[valid].to_numpy(bool)
         tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
-        got = _dynamic_fits(tt, yy, ok, freqs, window, min_span, least, k, ridge)
+        got = _dynamic_fits(tt, yy, ok, freqs, window, min_span, least, k, ridge, estimator)
         scored = ok[got["at"]]
         at, bounds, tops = got["at"][scored], got["bound"][scored], np.round(1 / got["frequency"][scored, 0], 2)
         odd = np.abs(yy[at] - got["predicted"][scored]) > factor * bounds
@@ -260,7 +341,7 @@ def dynamic(df: DataFrame, keys: list[str], t: str, y: str, valid: str, window:
         return {"change_at": first, "anomalies": int(odd.sum()), "mean_bound": float(bounds.mean()) if len(at) else None, "period": float(values[np.argmax(counts)]) if len(at) else None, "scored": len(at)}
 
     def series(pdf: pd.DataFrame) -> dict:
-        if estimator == "omp":
+        if estimator in ("omp", "nomp", "ndft"):
             return pursued(pdf)
         ok = pdf[valid].to_numpy(bool)
         tt, yy = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
@@ -344,7 +425,23 @@ def pooled_frequencies(df: DataFrame, keys: list[str], t: str, y: str, estimator
         if estimator == "nomp":
             f, coef = kernels.refined_pursuit(tt, z, freqs, 1)
             return {"frequency": float(f[0]), "amplitude": float(np.hypot(coef[1], coef[2]))}
-        amp = kernels.spectrum(tt, z, freqs) * 2 / len(tt) if estimator == "ndft" else kernels.sparse_spectrum(tt, z, freqs, "l1" if estimator == "bpdn" else "log", 300)
+        if estimator == "ndft":
+            return strongest(kernels.spectrum(tt, z, freqs) * 2 / len(tt))
+        return together([pdf])[0]
+
+    def strongest(amp: np.ndarray) -> dict:
         return {"frequency": float(freqs[amp.argmax()]), "amplitude": float(amp.max())}
 
+    def together(series: list[pd.DataFrame], few: int = 16) -> list[dict]:
+        out = [{"frequency": None, "amplitude": None} for _ in series]
+        long = [i for i, pdf in enumerate(series) if len(pdf) >= least]
+        for k in range(0, len(long), few):
+            some = long[k : k + few]
+            times, values = ([series[i][c].to_numpy(float) for i in some] for c in (t, y))
+            for i, amp in zip(some, kernels.sparse_spectra(times, values, freqs, "l1" if estimator == "bpdn" else "log", 300), strict=True):
+                out[i] = strongest(amp)
+        return out
+
+    if estimator in ("bpdn", "cirl"):
+        series.together = together
     return _per_series(df, keys, [t], series, "frequency double, amplitude double")

@@ -5,6 +5,8 @@ Spectra are ``(batch, pixels, bands)``; everything is float64.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 TINY = 1e-12
@@ -215,20 +217,30 @@ def refined_pursuit(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, k: int, ste
 def sparse_spectrum(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, penalty: str = "l1", steps: int = 800, share: float = 0.15) -> np.ndarray:
     """Amplitudes of a sparse fit by proximal gradients: an L1 penalty, or the
     log-sum penalty (reweighted L1) for ``penalty='log'``."""
-    y = y - y.mean()
-    a = np.concatenate([np.cos(2 * np.pi * t[:, None] * freqs), np.sin(2 * np.pi * t[:, None] * freqs)], 1)
-    weight = share * np.abs(a.T @ y).max()
-    rate = 1 / max(np.linalg.norm(a, 2) ** 2, TINY)
-    x, last, m = np.zeros(a.shape[1]), np.zeros(a.shape[1]), 1.0
+    return sparse_spectra([t], [y], freqs, penalty, steps, share)[0]
+
+
+def sparse_spectra(times: list[np.ndarray], values: list[np.ndarray], freqs: np.ndarray, penalty: str = "l1", steps: int = 800, share: float = 0.15) -> np.ndarray:
+    """``sparse_spectrum`` of several series together, a row each."""
+    half = len(freqs)
+    # steps run on the products; their largest eigenvalue is the squared norm
+    gram, right, rate = np.zeros((len(times), 2 * half, 2 * half)), np.zeros((len(times), 2 * half)), np.zeros((len(times), 1))
+    for i, (t, y) in enumerate(zip(times, values, strict=True)):
+        phase = 2 * np.pi * t[:, None] * freqs
+        a = np.concatenate([np.cos(phase), np.sin(phase)], 1)
+        gram[i], right[i] = a.T @ a, a.T @ (y - y.mean())
+        rate[i] = 1 / max(np.linalg.eigvalsh(gram[i] if len(t) > 2 * half else a @ a.T)[-1], TINY)
+    weight = share * np.abs(right).max(1, keepdims=True, initial=0)
+    gram, right, fixed = gram * rate[..., None], right * rate, weight * rate
+    x, last, m = np.zeros_like(right), np.zeros_like(right), 1.0
     for step in range(steps):
         eps = 1e-3 if step < steps // 2 else 1e-4
-        w = weight / (np.abs(x) + eps) * eps if penalty == "log" else weight
-        new = last - rate * (a.T @ (a @ last - y))
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * w, 0)
-        m2 = (1 + np.sqrt(1 + 4 * m * m)) / 2
+        bound = fixed * eps / (np.abs(x) + eps) if penalty == "log" else fixed
+        new = last - np.matmul(gram, last[..., None])[..., 0] + right
+        new -= np.minimum(np.maximum(new, -bound), bound)
+        m2 = (1 + math.sqrt(1 + 4 * m * m)) / 2
         last, x, m = new + (m - 1) / m2 * (new - x), new, m2
-    half = len(freqs)
-    return np.hypot(x[:half], x[half:])
+    return np.hypot(x[:, :half], x[:, half:])
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray, upsample: int = 1) -> tuple[float, float]:
