@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Median absolute deviation to standard deviation of a normal variable.
@@ -32,7 +32,8 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int =
     """Quantiles with linear interpolation, as ``percentile`` gives them, of all
     non-null values: -inf comes first, then numbers, inf and NaN. Histograms
     narrow the range of each rank down to at most ``keep`` values (or equal
-    ones), which the driver sorts: no task gathers the distinct values. Where
+    ones), ten times that for all ranks, which the driver reads in one pass and
+    sorts: no task gathers the distinct values. Where
     bins of equal width leave most values in one of them, the next round splits
     that range at approximate quantiles instead, so values of any spread end in
     a few rounds."""
@@ -49,27 +50,34 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int =
     inside = [r for r in ranks if r not in found]
     # value range, values before it, values in it, ranks, whether to split at quantiles
     todo = [(*numbers.agg(F.min("v"), F.max("v")).first(), under, n - under - over - nans, inside, False)] if inside else []
+    root = todo[0][:2] if todo else ()
     while todo:
-        small = [t for t in todo if t[3] <= keep or t[0] == t[1]]
-        wide = [t for t in todo if t not in small]
-        for lo, hi, before, _, wanted, _ in small:
-            if lo == hi:
-                found |= dict.fromkeys(wanted, lo)
-            else:
-                values = sorted(r["v"] for r in numbers.where(F.col("v").between(lo, hi)).collect())
-                found |= {r: values[r - before] for r in wanted}
+        found |= {r: t[0] for t in todo if t[0] == t[1] for r in t[4]}
+        todo = [t for t in todo if t[0] != t[1]]
+        # the driver sorts what is left of all ranges at once
+        room = max(1, min(keep, 10 * keep // max(1, len(todo))))
+        small, wide = [t for t in todo if t[3] <= room], [t for t in todo if t[3] > room]
+        if small:
+            values: dict[int, list[float]] = {}
+            for i, v in _placed(numbers, root, small, bins).select("i", "v").collect():
+                values.setdefault(i, []).append(v)
+            for i, (_, _, before, _, wanted, _) in enumerate(small):
+                values[i].sort()
+                found |= {r: values[i][r - before] for r in wanted}
         todo = []
         if wide:
             # one pass for all ranges that are still wide
-            spans = [F.struct(F.lit(i).alias("i"), F.lit(t[0]).alias("lo"), F.lit(t[1]).alias("hi"), _splits(numbers, t)) for i, t in enumerate(wide)]
-            at = numbers.select("v", F.explode(F.filter(F.array(*spans), lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("s"))
+            at = _placed(numbers, root, wide, bins, _splits(numbers, root, wide, bins))
             # halves keep the width of the widest range finite
-            even = (F.col("v") / 2 - F.col("s.lo") / 2) / (F.col("s.hi") / 2 - F.col("s.lo") / 2) * bins
-            place = F.when(F.size("s.cuts") > 0, F.size(F.filter("s.cuts", lambda c: c <= F.col("v")))).otherwise(F.least(F.floor(even), F.lit(bins - 1)))
-            cells = at.groupBy(F.col("s.i").alias("i"), place.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("i", "b").collect()
+            even = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins
+            place = F.when(F.size("cuts") > 0, F.size(F.filter("cuts", lambda c: c <= F.col("v")))).otherwise(F.least(F.floor(even), F.lit(bins - 1)))
+            cells = at.groupBy("i", place.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("i", "b").collect()
+            of: dict[int, list] = {}
+            for c in cells:
+                of.setdefault(c["i"], []).append(c)
             for i, (_, _, before, count, wanted, _) in enumerate(wide):
                 upto = before
-                for c in (c for c in cells if c["i"] == i):
+                for c in of[i]:
                     here = [r for r in wanted if upto <= r < upto + c["m"]]
                     if here:
                         todo.append((c["a"], c["z"], upto, c["m"], here, 2 * c["m"] > count))
@@ -82,15 +90,28 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int =
     return out
 
 
-def _splits(numbers: DataFrame, span: tuple) -> Column:
-    """Approximate quantiles of a range that is to be split at them, else none;
-    the range's own ends part from what lies between."""
-    cuts = []
-    if span[-1]:
-        shares = [k / SPLITS for k in range(1, SPLITS)]
-        inner = numbers.where(F.col("v").between(span[0], span[1]))
-        cuts = sorted({*inner.agg(F.percentile_approx("v", shares, 100 * SPLITS)).first()[0], span[1]} - {span[0]})
-    return F.array(*[F.lit(c) for c in cuts]).cast("array<double>").alias("cuts")
+def _placed(numbers: DataFrame, root: tuple[float, float], spans: list[tuple], bins: int, cuts: dict[int, list[float]] | None = None) -> DataFrame:
+    """The values that lie in one of the ranges, with its number ``i``, ends and
+    ``cuts``: met by bins of the whole range, as each falls in few of them."""
+    low, high = root
+    of = lambda c: F.least(F.floor((F.col(c) / 2 - low / 2) / (high / 2 - low / 2) * bins), F.lit(bins - 1))
+    rows = [(i, t[0], t[1], (cuts or {}).get(i, [])) for i, t in enumerate(spans)]
+    ranges = numbers.sparkSession.createDataFrame(rows, "i int, lo double, hi double, cuts array<double>")
+    if len(spans) > 1:  # at most two ranges a share
+        met = ranges.withColumn("cell", F.explode(F.sequence(of("lo"), of("hi"))))
+        return numbers.withColumn("cell", of("v")).join(F.broadcast(met), "cell").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    return numbers.join(F.broadcast(ranges)).where(F.col("v").between(*spans[0][:2]))
+
+
+def _splits(numbers: DataFrame, root: tuple[float, float], spans: list[tuple], bins: int) -> dict[int, list[float]]:
+    """Approximate quantiles of the ranges that are to be split at them; a
+    range's own ends part from what lies between."""
+    some = [(i, t) for i, t in enumerate(spans) if t[-1]]
+    if not some:
+        return {}
+    shares = [k / SPLITS for k in range(1, SPLITS)]
+    found = _placed(numbers, root, [t for _, t in some], bins).groupBy("i").agg(F.percentile_approx("v", shares, 100 * SPLITS).alias("q")).collect()
+    return {some[r["i"]][0]: sorted({*r["q"], some[r["i"]][1][1]} - {some[r["i"]][1][0]}) for r in found}
 
 
 def scale_factor(df: DataFrame, keys: list[str], x: str, y: str, digits: int) -> DataFrame:

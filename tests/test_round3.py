@@ -143,3 +143,48 @@ def test_one_pass_of_series(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {p: r.n for p, r in got.items()} == {0: 1, 1: 40, 2: 300, None: 6} and all(r.sorted for r in got.values())
     assert got[1].last is None and got[0].last == 0.0
+
+
+def plain_greedy(left, right, reach):
+    """All pairs of ``(key, id, time)`` in order."""
+    pairs = sorted((lt, li, abs(lt - rt), rt, ri) for lk, li, lt in left for rk, ri, rt in right if lk == rk and abs(lt - rt) <= reach)
+    taken, done, out = set(), set(), []
+    for _, a, gap, _, b in pairs:
+        if a not in done and b not in taken:
+            done.add(a), taken.add(b), out.append((a, b, gap))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("span", [40, 400, 20_000])
+def test_greedy_pairs_without_pairs(spark, span):
+    """Dense and sparse times, equal ones, stretches over several batches; the
+    plan joins nothing."""
+    from phenoscope.operators import joins
+
+    rng = np.random.default_rng(span)
+    sides = [[(int(k), 1000 * s + i, int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, span, n)))] for s, n in ((1, 150), (2, 130))]
+    a, b = (spark.createDataFrame(rows, "k long, id long, t long") for rows in sides)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 23)
+    try:
+        got = joins.greedy_pairs(a, b, "t", "id", 9, ["k"])
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == plain_greedy(*sides, 9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_passes_of_many_quantiles(spark):
+    """99 percentiles take a few passes over the table, not two for each."""
+    from phenoscope.operators import stats
+
+    x = np.random.default_rng(3).lognormal(size=30_000).round(3)
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).repartition(4)
+    shares = [i / 100 for i in range(1, 100)]
+    sc = spark.sparkContext
+    sc.setJobGroup("quantiles", "")
+    try:
+        got = stats.exact_quantiles(df, "v", shares, keep=200)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("quantiles"))
+    finally:
+        sc.setJobGroup("other", "")
+    assert got == pytest.approx(np.quantile(x, shares).tolist()) and jobs < 60
