@@ -177,7 +177,8 @@ class TextEncoder:
         """Ids by the tokenizers library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _is_safe(self, text: str) -> bool:
+    def is_safe(self, text: str) -> bool:
+        """Whether both libraries surely give the same ids, and no special string is in it."""
         if self.fast is None or any(s in text for s in self.special) or not self._safe(text):
             return False
         # a longer word than two strides leaves one of them without a space
@@ -193,7 +194,7 @@ class TextEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if self._is_safe(t):
+            if self.is_safe(t):
                 found = self._parts(t)
                 parts += found
                 sizes[i] = len(found)
