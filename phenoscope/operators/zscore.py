@@ -15,19 +15,28 @@ def log_zscore(df: DataFrame, value: str, keys: list[str], valid: Column | None
     they are all equal; ``strict`` raises on the latter. ``score='positive'``
     also scores positive rows that are not valid, ``score='all'`` every row: the
     logarithm of 0 is -inf, that of less NaN. The statistics are sums before
-    the shuffle, so a key may hold any share of the rows."""
+    the shuffle, so a key may hold any share of the rows; sums of doubles drift
+    with their number and order, so rough scores are standardised once more by
+    exact sums."""
     positive = F.coalesce(F.col(value) > 0, F.lit(False))
     used = positive if valid is None else positive & F.coalesce(valid, F.lit(False))
     # ln of a non-positive value must never be asked for
     log = F.ln(F.when(positive, F.col(value)))
     counted = F.when(used, log)
-    stats = df.groupBy(*keys).agg(F.avg(counted).alias("_mean"), F.stddev_samp(counted).alias("_sd"), F.count(counted).alias("_n"))
+    rough = df.groupBy(*keys).agg(F.avg(counted).alias("_mean"), F.stddev_samp(counted).alias("_sd"), F.count(counted).alias("_n"))
     mean, sd, n = F.col("_mean"), F.col("_sd"), F.col("_n")
+    near = lambda x: (x - mean) / F.nullif(sd, F.lit(0.0))
+    exact = lambda x: F.sum(x.try_cast("decimal(38,20)")).cast("double")
+    rest = [exact(near(counted)).alias("_off"), exact(near(counted) * near(counted)).alias("_square")]
+    stats = with_group(df, rough, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_mean", "_sd", "_n")], *rest)
+    # what is left of mean and sd; none where infinite values allow no sums
+    off, square = F.coalesce(F.col("_off") / n, F.lit(0.0)), F.coalesce(F.col("_square"), n - 1)
+    spread = F.sqrt((square - n * off * off) / F.nullif(n - 1, F.lit(0)))
     endless = F.when(F.col(value) == 0, F.lit(float("-inf"))).when(F.col(value) < 0, F.lit(float("nan")))
     scored = {"positive": log, "all": F.coalesce(log, endless)}.get(score, counted)
     flat = F.raise_error(F.lit("constant group")).cast("double") if strict else F.lit(None).cast("double")
-    z = F.when((n >= max(least, 2)) & (sd == 0), flat).otherwise((scored - mean) / F.nullif(sd, F.lit(0.0)))
-    return with_group(df, stats, keys).withColumn(out, F.when(n >= least, z)).drop("_mean", "_sd", "_n")
+    z = F.when((n >= max(least, 2)) & (sd == 0), flat).otherwise((near(scored) - off) / spread)
+    return with_group(df, stats, keys).withColumn(out, F.when(n >= least, z)).drop("_mean", "_sd", "_n", "_off", "_square")
 
 
 def interval_coverage(df: DataFrame, keys: list[str], z: str, bound: float = 1.645) -> DataFrame:
